@@ -81,3 +81,19 @@ def texts(column: pa.ChunkedArray | pa.Array):
     """UTF-8 bytes of each text, null as empty, without decoding to ``str``."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return ((v.as_buffer().to_pybytes() if v.is_valid else b"") for v in column.cast(kind))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str = "group_size", parts: int = 1000) -> DataFrame:
+    """Join each row with its group, where ``groups`` has ``key`` once and the group's row count.
+
+    Fewer than ``parts`` groups can hold more than a ``1/parts`` share of all rows;
+    those are broadcast, so that no task gets all rows of a large group. The others
+    are joined by a shuffle.
+    """
+    most = F.lit((groups.agg(F.sum(size)).first()[0] or 0) / parts)
+    names = [c for c in groups.columns if c != key]
+    hot = groups.where(F.col(size) > most).select(F.col(key).alias("__hot"), *[F.col(c).alias(f"__{c}") for c in names])
+    tagged = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    of_hot = tagged.where(F.col("__hot").isNotNull()).select(*rows.columns, *[F.col(f"__{c}").alias(c) for c in names])
+    others = tagged.where(F.col("__hot").isNull()).select(*rows.columns).join(groups.where(F.col(size) <= most), key).select(*rows.columns, *names)
+    return of_hot.unionByName(others)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, texts
+from .common import join_groups, saved, texts
 
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 256, 10, 8192
 SEEN_LIMIT = 200_000
@@ -129,8 +129,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     matter; no rows give no rows. ``group_size`` counts rows.
     """
     rows = saved(verified_recipes(docs, id_col, text), "recipes")
-    groups = rows.groupBy("recipe").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, "recipe").select(
+    groups = saved(rows.groupBy("recipe").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    return join_groups(rows, groups, "recipe").select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", (F.octet_length("recipe") / 16).cast("long").alias("n_chunks")
     )
 
