@@ -97,3 +97,22 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str = "group
     of_hot = tagged.where(F.col("__hot").isNotNull()).select(*rows.columns, *[F.col(f"__{c}").alias(c) for c in names])
     others = tagged.where(F.col("__hot").isNull()).select(*rows.columns).join(groups.where(F.col(size) <= most), key).select(*rows.columns, *names)
     return of_hot.unionByName(others)
+
+
+def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``docs`` with ``__key``, by which rows can be ordered: ids first by value, null ids last, ties by text."""
+    sha = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    return docs.withColumn("__key", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), sha.alias("sha")))
+
+
+def keep_keys(docs: DataFrame, keys: DataFrame, id_col: str, text: str) -> DataFrame:
+    """One row of ``docs`` for each distinct ``__key`` of ``keys``, with all its columns.
+
+    Rows that have a key in common agree in id and text; one of them stays.
+    """
+    stay = saved(keys.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")), "kept")
+    kept = keyed(docs, id_col, text).join(stay, "__key")
+    if stay.where("__n > 1").isEmpty():
+        return kept.select(*docs.columns)
+    several = kept.where("__n > 1").dropDuplicates(["__key"])
+    return kept.where("__n = 1").unionByName(several).select(*docs.columns)

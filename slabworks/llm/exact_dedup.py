@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, saved, texts
+from .common import join_groups, keep_keys, keyed, saved, texts
 
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 256, 10, 8192
 SEEN_LIMIT = 200_000
@@ -138,17 +138,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group.
 
-    Rows that repeat the kept id and its text are told apart by nothing that
-    matters, so one of them stays.
+    The row with the smallest id stays, before rows without one; of rows that repeat
+    the id, the one whose text's digest is smallest.
     """
-    found = exact_dedup(docs, id_col, text).where("kept")
-    repeats = saved(found.groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count(F.lit(1)).alias("__n")), "kept")
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ").cast("binary"), 256)
-    kept = docs.withColumn("__s", sha).join(repeats, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__sha")))
-    if repeats.where("__n > 1").isEmpty():
-        return kept.select(*docs.columns)
-    several = kept.where("__n > 1").dropDuplicates(["__id", "__sha"])
-    return kept.where("__n = 1").unionByName(several).select(*docs.columns)
+    found = exact_dedup(keyed(docs, id_col, text).select("__key", text), "__key", text)
+    return keep_keys(docs, found.where("kept").select("__key"), id_col, text)
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, piece_codec
+from . import exact_dedup, piece_codec, simhash
 
 QUERIES = {
+    "op4_simhash": simhash.op4_simhash,
     "op5_sentencepiece": piece_codec.op5_sentencepiece,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
