@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, piece_codec, simhash
+from . import decontaminate, exact_dedup, language_id, piece_codec, simhash
 
 QUERIES = {
+    "op7_language_id": language_id.op7_language_id,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
     "op5_sentencepiece": piece_codec.op5_sentencepiece,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
