@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, piece_codec, simhash
+from . import chat_format, decontaminate, exact_dedup, language_id, piece_codec, simhash
 
 QUERIES = {
+    "op2_chat_format": chat_format.op2_chat_format,
     "op7_language_id": language_id.op7_language_id,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_chat_format": chat_format.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
