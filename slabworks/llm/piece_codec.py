@@ -11,7 +11,9 @@ of merges.
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -69,12 +71,36 @@ class PieceCodec:
         self.automaton = automaton
         self.shorter = {i: next((reached[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in reached), -1) for p, i in reached.items()}
         self.pairs: dict[int, bool] = {}
+        self.replays: dict[int, list] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        #: No piece goes on across these places, so what stands between them is encoded by itself.
-        alone = "".join(c for c in "\n\r\t" if not any(c in p for p in self.id))
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.id)
-        self.parts = None if inner else re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]+" if alone else "")).findall
+        self.parts = self.splitter()
+
+    def splitter(self):
+        """Splits a text where no piece goes on, so that each part is encoded by itself.
+
+        Characters that stand side by side in a piece are of one class, and pieces have
+        spaces in front only; parts are spaces and then characters of one class.
+        """
+        if any(SPACE in p.lstrip(SPACE) for p in self.id):
+            return lambda text: [text]
+        root: dict[str, str] = {}
+
+        def find(c: str) -> str:
+            while root.setdefault(c, c) != c:
+                c = root[c]
+            return c
+
+        for p in self.id:
+            p = p.lstrip(SPACE)
+            for a, b in zip(p, p[1:], strict=False):
+                root[find(a)] = find(b)
+        classes: dict[str, list[str]] = {}
+        for c in root:
+            classes.setdefault(find(c), []).append(c)
+        several = sorted((x for x in classes.values() if len(x) > 1), key=len, reverse=True)
+        runs = "|".join(f"[{re.escape(''.join(sorted(x)))}]+" for x in several)
+        return re.compile(f"{SPACE}*(?:{runs + '|' if runs else ''}[^{SPACE}])|{SPACE}+", re.DOTALL).findall
 
     def merge(self, text: str) -> list[str]:
         """Merge characters by score, the leftmost first among equals: the definition that encoding must meet."""
@@ -90,14 +116,51 @@ class PieceCodec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def replay(self, i: int) -> list[tuple[float, str, str]]:
+        """The merges that make piece ``i``, in order: score, then first and last part after each.
+
+        The entry before the first merge has no score.
+        """
+        out = self.replays.get(i)
+        if out is None:
+            parts, score = list(self.piece[i]), self.score
+            out = [(0.0, parts[0], parts[-1])]
+            while len(parts) > 1:
+                s, at = max((score.get(parts[k] + parts[k + 1], -math.inf), -k) for k in range(len(parts) - 1))
+                parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+                out.append((s, parts[0], parts[-1]))
+            self.replays[i] = out
+        return out
+
     def compatible(self, a: int, b: int) -> bool:
-        """Merging the characters of both pieces gives the two pieces."""
+        """Merging the characters of both pieces anew gives the two pieces.
+
+        Their own merges are replayed together in the order of scores, the left
+        piece first among equals; the answer is no if a merge across the border would
+        come before the next of them.
+        """
         key = a << 32 | b
         out = self.pairs.get(key)
-        if out is None:
-            if len(self.pairs) >= PAIR_CACHE:
-                self.pairs.clear()
-            out = self.pairs[key] = self.merge(self.piece[a] + self.piece[b]) == [self.piece[a], self.piece[b]]
+        if out is not None:
+            return out
+        left, right, score = self.replay(a), self.replay(b), self.score
+        i, j, out = 1, 1, True
+        while True:
+            across = score.get(left[i - 1][2] + right[j - 1][1])
+            s = left[i][0] if i < len(left) else -math.inf
+            t = right[j][0] if j < len(right) else -math.inf
+            if across is not None and across > s and across >= t:
+                out = False
+                break
+            if s == t == -math.inf:
+                break
+            if s >= t:
+                i += 1
+            else:
+                j += 1
+        if len(self.pairs) >= PAIR_CACHE:
+            self.pairs.clear()
+        self.pairs[key] = out
         return out
 
     def search(self, text: str) -> list[int] | None:
@@ -158,7 +221,7 @@ class PieceCodec:
         """Ids of a part as int32 bytes, kept in one of two generations of bounded size."""
         out = self.older.get(word)
         if out is None:
-            out = np.array(self.part(word), np.int32).tobytes()
+            out = array("i", self.part(word)).tobytes()
         if len(word) <= 64:
             if len(self.words) >= CACHE_WORDS:
                 self.older, self.words = self.words, {}
@@ -169,18 +232,13 @@ class PieceCodec:
         """Ids of a whole text as int32 bytes, without begin and end."""
         if not text:
             return b""
-        text = SPACE + text.replace(" ", SPACE)
-        if self.parts is None:
-            return self.miss(text)
-        miss = self.miss
-        get = self.words.get
-        out = []
-        for w in self.parts(text):
-            ids = get(w)
-            if ids is None:
-                ids = miss(w)
-                get = self.words.get
-            out.append(ids)
+        parts = self.parts(SPACE + text.replace(" ", SPACE))
+        out = list(map(self.words.get, parts))
+        if None in out:
+            at = -1
+            for _ in range(out.count(None)):
+                at = out.index(None, at + 1)
+                out[at] = self.words.get(parts[at]) or self.miss(parts[at])
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
