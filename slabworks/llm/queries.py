@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, language_id, license_scan, piece_codec, quality, sharding, simhash
+from . import chat_format, decontaminate, exact_dedup, kneser_ney, language_id, license_scan, piece_codec, quality, sharding, simhash
 
 QUERIES = {
+    "op6_lm_score": kneser_ney.op6_lm_score,
     "op1_quality": quality.op1_quality,
     "op8_license_scan": license_scan.op8_license_scan,
     "op10_sharding": sharding.op10_sharding,
