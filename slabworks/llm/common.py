@@ -68,6 +68,17 @@ def write_atomic(path: str, array: np.ndarray) -> None:
     os.replace(tmp, path)
 
 
+#: Rows and bytes that go to a Python worker at once, where the session has Spark's own values.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(8 << 20))}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory of workers that get whole texts; a session's own settings stay."""
+    for key, (default, ours) in BATCHES.items():
+        if default is None or spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
+
+
 def fold(column, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

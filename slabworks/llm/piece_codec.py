@@ -318,6 +318,18 @@ def _decode_rows(model: str):
     return run
 
 
+def _round_trip_rows(model: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model)
+        for batch in _encode_rows(model)(batches):
+            ids = batch.column(1)
+            ends, values = ids.offsets.to_numpy(), ids.values.to_numpy()
+            out = [c.decode(values[a:b].tolist()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(out, pa.string())], ["id", "ids", "decoded"])
+
+    return run
+
+
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_col, ids array<int>`` of every whole text.
 
@@ -337,6 +349,13 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids: str = "i
     return rows.mapInArrow(_decode_rows(model), f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
+def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id_col, ids, decoded``: ``encode`` and then ``decode`` of its ids, in one pass over the texts."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    return rows.mapInArrow(_round_trip_rows(model), f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -344,8 +363,7 @@ def default_model() -> str:
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    model = default_model()
-    rows = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), model), model)
+    rows = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_model())
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

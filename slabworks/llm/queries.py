@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from . import chat_format, decontaminate, exact_dedup, kneser_ney, language_id, license_scan, piece_codec, quality, sharding, simhash
+from .common import small_batches
 
-QUERIES = {
+_QUERIES = {
     "op6_lm_score": kneser_ney.op6_lm_score,
     "op1_quality": quality.op1_quality,
     "op8_license_scan": license_scan.op8_license_scan,
@@ -17,6 +20,18 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
+
+def _prepared(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _prepared(query) for name, query in _QUERIES.items()}
+
 SQL = {
     "op2_chat_format": chat_format.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
