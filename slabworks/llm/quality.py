@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, texts
+from .common import fold, saved, texts
 
 BYTE_BITS, CLASS_BITS, REPEATS = 16, 14, 16
 SIZE = (1 << BYTE_BITS) + (1 << CLASS_BITS) + REPEATS + 1
 BIAS = SIZE - 1
 ROWS_PER_CLASS = 2000
 COST, EPOCHS = 1.0, 20
+BROADCAST_LABELS = 2_000_000
 _MULTIPLY = np.uint32(2654435761)
 _CLASS = np.array([32 if b in (9, 10, 11, 12, 13, 32) else 97 if b >= 128 or 97 <= b <= 122 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256)], np.uint32)
 
@@ -164,7 +165,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     at most, whose id hashes lowest. An id with several labels has the largest; rows
     without an id or a label teach nothing.
     """
-    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("label")).where("id IS NOT NULL")
+    known = saved(labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("label")).where("id IS NOT NULL"), "labels")
+    if known.count() <= BROADCAST_LABELS:  # more of them meet the texts in a shuffle
+        known = F.broadcast(known)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     have = rows.select("id").join(known, "id")
     counts = {r["label"]: r["count"] for r in have.groupBy("label").count().collect()}
