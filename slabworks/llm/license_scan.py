@@ -7,8 +7,9 @@ all their places are shifted by the postings' offsets, and a template is a candi
 where it would have to start. A candidate stands if enough of the looked-up words agree
 on that start and the template's key phrase stands in its place word by word.
 
-Base phrases are templates that are their own key phrase. The rarest word of each is
-looked up whatever its rank, so that every place of a base phrase is found.
+Base phrases are templates that are their own key phrase. The rarest word of each key
+phrase is looked up whatever its rank in the file, so a file that quotes many licences
+loses none of them, and every place of a base phrase is found.
 """
 
 from __future__ import annotations
@@ -104,7 +105,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", base=BASE,
         weight = [idf[w] if w in rank else 1.0 for w in t["words"]]
         parts = [{"at": k, "word": w, "weight": weight[k] / sum(weight), "rare": w in rank} for k, w in enumerate(t["words"])]
         table.append({"label": t["label"], "base": t["base"], "parts": parts, "need": min(AGREE, len(rare)), "size": len(t["words"]), "key": " ".join(t["key"]), "key_at": t["key_at"], "key_size": len(t["key"])})
-    always = sorted({min((w for w in t["words"] if w in rank), key=rank.get) for t in all_templates if t["base"]})
+    always = sorted({min((w for w in t["key"] if w in rank), key=rank.get) for t in all_templates})
 
     part = "array<struct<at:int,word:string,weight:double,rare:boolean>>"
     templates_ = _literal(table, f"array<struct<label:string,base:boolean,parts:{part},need:int,size:int,key:string,key_at:int,key_size:int>>")
