@@ -1,0 +1,66 @@
+import random
+
+import pytest
+from tables import EDGES, SF, against_sql, edges
+
+from slabworks.llm import exact_dedup as m
+
+
+def test_query_gives_the_rows_of_its_sql(spark):
+    ours, theirs = against_sql(m.op9_exact_dedup(spark, SF), m.SQL)
+    assert ours == theirs and len(ours) == 200
+
+
+def test_chunks_put_together_are_the_text_and_follow_its_content():
+    rng = random.Random(1)
+    text = bytes(rng.choices(b"abcdefgh ", k=60_000))
+    parts = m.chunks(text)
+    assert b"".join(parts) == text and len(parts) > 20
+    assert all(m.MIN_CHUNK <= len(p) <= m.MAX_CHUNK for p in parts[:-1])
+    moved = m.chunks(b"something in front " + text)
+    assert len(set(moved) & set(parts)) >= len(parts) - 3
+    assert m.chunks(b"") == [] and m.chunks(b"a") == [b"a"]
+    assert [len(p) for p in m.chunks(b"x" * 20_000)] and b"".join(m.chunks(b"x" * 20_000)) == b"x" * 20_000
+
+
+def test_normalise():
+    assert m.normalise(b" a\t\n b\x0b\x0c\r ") == b" a b "
+
+
+def test_edges(spark):
+    found = {}
+    for r in m.exact_dedup(edges(spark)).collect():
+        found.setdefault(r["doc_id"], []).append((r["keep_id"], r["group_size"], r["kept"]))
+    assert found[3] == [(3, 4, True)] * 2 and found[5] == [(3, 4, False)]
+    assert sorted(found[None], key=str) == [(3, 4, False), (7, 2, False), (None, 2, True), (None, 2, True)]
+    assert found[7] == [(7, 2, True)] and found[8] == [(8, 1, True)] and found[9] == [(9, 1, True)]
+    kept = m.keep_first(edges(spark))
+    assert kept.columns == edges(spark).columns
+    assert sorted((str(r["doc_id"]), r["text"] and r["text"][:4]) for r in kept.collect()) == sorted([("3", "a  b"), ("7", ""), ("8", " \t\n"), ("None", "zz"), ("9", "xxxx"), ("10", "word"), ("11", "é ü ")])
+    empty = edges(spark).limit(0)
+    assert m.exact_dedup(empty).count() == 0 and m.keep_first(empty).count() == 0
+    assert len(EDGES) == m.exact_dedup(edges(spark)).count()
+
+
+def test_identifiers_that_collide_are_made_anew(spark, monkeypatch):
+    real = m.chunk_store
+    asked = []
+
+    def store(docs, text, seed):
+        asked.append(seed)
+        found = real(docs, text, seed)
+        return found.withColumn("verified", found["verified"] & (seed > 0)) if seed == 0 else found
+
+    monkeypatch.setattr(m, "chunk_store", store)
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["keep_id"]) for r in m.exact_dedup(df).collect()) == [(1, 1), (2, 1), (3, 3)]
+    assert asked == [0, 1]
+
+
+@pytest.mark.parametrize("verified", [True, False])
+def test_verification_compares_contents(spark, monkeypatch, verified):
+    if not verified:
+        monkeypatch.setattr(m.xxhash, "xxh3_128_digest", lambda c, seed: b"same" * 4)
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").coalesce(1)
+    rows = [b for batch in [docs.select("text").toArrow().to_batches()] for b in m._chunk_rows(0)(iter(batch))]
+    assert sum(b.num_rows for b in rows) == (2 if verified else 1)

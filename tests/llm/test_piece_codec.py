@@ -1,0 +1,82 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+import sentencepiece
+from tables import SF, edges, rows
+
+from slabworks.llm import piece_codec as m
+
+
+@pytest.fixture(scope="module")
+def both():
+    path = m.default_model()
+    return m.PieceCodec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def ids(codec, text):
+    return np.frombuffer(codec.encode(text), np.int32).tolist()
+
+
+def test_query_gives_what_the_library_gives(spark, both):
+    found = {r["doc_id"]: tuple(r)[1:] for r in m.op5_sentencepiece(spark, SF).collect()}
+    for i, text in rows():
+        want = both[1].encode(text or "")
+        assert found[i] == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(both[1].decode(want).encode()).hexdigest())
+
+
+def test_random_texts(both):
+    codec, library = both
+    rng = random.Random(5)
+    letters = [*map(chr, range(32, 127)), *"  \n\té中文ﬁ▁▁\U0001f600́\x00"]
+    for k in range(8000):
+        text = "".join(rng.choices(letters if k % 2 else "ab aeinstr▁ ", k=rng.randint(0, 40)))
+        assert ids(codec, text) == library.encode(text), text
+        assert codec.decode(library.encode(text)) == library.decode(library.encode(text))
+
+
+@pytest.mark.parametrize("text", ["a" * 3000, " " * 3000, "ab" * 2000, "é" * 2000, "中" * 2000, "the " * 3000, "<s></s><unk><0x41>"])
+def test_long_and_odd_texts(both, text):
+    assert ids(both[0], text) == both[1].encode(text)
+
+
+def test_random_ids_decode_alike(both):
+    rng = random.Random(9)
+    for _ in range(5000):
+        some = [rng.choice((rng.randrange(32000), rng.randrange(300))) for _ in range(rng.randint(0, 12))]
+        if 0 not in some:
+            assert both[0].decode(some) == both[1].decode(some), some
+
+
+def test_pairs_are_what_merging_gives(both):
+    codec, rng = both[0], random.Random(2)
+    some = list(codec.id.values())
+    for _ in range(20000):
+        a, b = rng.choice(some), rng.choice(some)
+        assert codec.compatible(a, b) == (codec.merge(codec.piece[a] + codec.piece[b]) == [codec.piece[a], codec.piece[b]])
+
+
+def test_search_steps_back(both):
+    """Texts that the longest piece first would encode wrongly."""
+    codec = both[0]
+    tried = 0
+    for text in ("▁reentr", "▁thereon", "▁onanou", "▁ofthstthor"):
+        greedy, at = [], 0
+        while at < len(text):
+            n = next(n for n in range(len(text) - at, 0, -1) if text[at : at + n] in codec.id)
+            greedy.append(text[at : at + n])
+            at += n
+        tried += greedy != codec.merge(text)
+        assert [codec.piece[i] for i in codec.search(text)] == codec.merge(text)
+    assert tried
+
+
+def test_edges(spark, both):
+    df = edges(spark)
+    path = m.default_model()
+    out = m.decode(m.encode(df, path), path)
+    assert sorted(map(str, out.collect())) == sorted(map(str, m.round_trip(df, path).collect()))
+    assert sorted((str(r["doc_id"]), len(r["ids"]), r["decoded"]) for r in out.collect()) == sorted((str(r["doc_id"]), len(both[1].encode(r["text"] or "")), both[1].decode(both[1].encode(r["text"] or ""))) for r in df.collect())
+    assert m.round_trip(df.limit(0), path).count() == 0 and m.encode(df.limit(0), path).count() == 0
+    assert m.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), path).first()["decoded"] == ""
