@@ -15,6 +15,11 @@ def within(column: Column, start: int, count: int, size: int | None = None) -> C
     return column == start if count == 1 else column.between(start, start + count - 1)
 
 
+def index_type(size: int) -> str:
+    """Spark's type of the indices of a dimension."""
+    return "int" if size < 1 << 31 else "bigint"
+
+
 def restrict(cells: DataFrame, axes: tuple[str, ...], starts: tuple[int, ...], counts: tuple[int, ...], shape: tuple[int, ...]) -> DataFrame:
     """The cells of a box; dimensions that are taken whole have no predicate."""
     found = [within(F.col(f"i_{a}"), s, c, n) for a, s, c, n in zip(axes, starts, counts, shape, strict=True)]

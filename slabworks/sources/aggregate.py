@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.attributes import Attribute
 from ..operators.join_existing import pieces
+from ..operators.slab import index_type
 from ..plans.schema import Schema, Variable
 from .base import ArraySource
 
@@ -78,7 +79,7 @@ class JoinedSource(ArraySource):
         """Members that the range doesn't touch aren't in the plan at all."""
         axis = f"i_{self._schema.find(name).axes[0]}"
         parts = [
-            self.members[p.ordinal].cells(name, (p.start, *starts[1:]), (p.count, *counts[1:])).withColumn(axis, (F.col(axis) + p.offset).cast("int"))
+            self.members[p.ordinal].cells(name, (p.start, *starts[1:]), (p.count, *counts[1:])).withColumn(axis, (F.col(axis).cast("long") + p.offset).cast(index_type(sum(self.sizes))))
             for p in pieces(self.sizes, starts[0], counts[0])
         ]
         if not parts:

@@ -105,7 +105,7 @@ class Dataset:
                 if not leaf.scalar:
                     yield length_header(leaf.cells)
                 axes = [f"i_{a}" for a in self.schema.find(leaf.name).axes]
-                yield from array_bytes(self.leaf(leaf), axes, leaf.type)
+                yield from array_bytes(self.leaf(leaf), axes, leaf.type, leaf.cells)
 
         return answer.content_length, body()
 

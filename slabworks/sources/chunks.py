@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.attributes import Attribute
-from ..operators.slab import restrict
+from ..operators.slab import index_type, restrict
 from ..plans.schema import TYPES, Schema, Variable
 from .base import ArraySource
 
@@ -88,8 +88,8 @@ class ChunkStore(ArraySource):
         rows = rows.select(*[f"c_{k}" for k in range(len(chunk))], F.posexplode("payload").alias("at", "value"))
         left, index = F.col("at"), []
         for k in reversed(range(len(chunk))):
-            extent = F.least(F.lit(chunk[k]), F.lit(v.shape[k]) - F.col(f"c_{k}") * chunk[k])
-            index.insert(0, (F.col(f"c_{k}") * chunk[k] + left % extent).cast("int").alias(f"i_{v.axes[k]}"))
+            extent = F.least(F.lit(chunk[k]), F.lit(v.shape[k]) - F.col(f"c_{k}").cast("long") * chunk[k])
+            index.insert(0, (F.col(f"c_{k}").cast("long") * chunk[k] + left % extent).cast(index_type(v.shape[k])).alias(f"i_{v.axes[k]}"))
             left = F.floor(left / extent)
         cells = rows.select(*index, "value")
         return restrict(cells, v.axes, starts, counts, v.shape) if all(counts) else cells.limit(0)

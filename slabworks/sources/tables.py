@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.attributes import Attribute
-from ..operators.slab import within
+from ..operators.slab import index_type, within
 from ..plans.schema import Schema, Variable, type_of_spark
 from .base import ArraySource
 
@@ -53,7 +53,7 @@ class TableSource(ArraySource):
             return spark.range(starts[0], n).select(F.col("id").cast("int").alias(f"i_{name}"), F.col("id").cast("int").alias("value"))
         place = within(F.col(self.index), starts[0], counts[0], self.length)
         rows = self.table if place is None else self.table.where(place)
-        at = F.col(self.index).cast("int").alias(f"i_{self.dim}")
+        at = F.col(self.index).cast(index_type(self.length)).alias(f"i_{self.dim}")
         if name in self.inner:
             d, n = self.inner[name]
             values = F.col(name) if (starts[1], counts[1]) == (0, n) else F.slice(name, starts[1] + 1, counts[1])
