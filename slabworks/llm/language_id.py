@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold
@@ -115,18 +115,14 @@ def training_rows(docs: DataFrame, id_col: str, text: str, lang: str, per_langua
     At most ``per_language`` rows of a language and ``most`` rows in all; rows without an
     id aren't taken.
     """
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang).alias("lang"))
-    rows = rows.withColumn("h", F.xxhash64("id"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
-    if not counts:
-        return docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).limit(0)
-    share = max(1, min(per_language, most // len(counts)))
-    picked = None
-    for n in (r for r in counts if r["n"]):  # a threshold first, so that little is sorted
-        cut = int(2**63 * min(1.0, 2 * (share + 20) / n["n"])) - 1
-        part = rows.where((F.col("lang") == n["lang"]) & (F.bitwise_not(F.lit(-(2**63))).bitwiseAND(F.col("h")) <= cut))
-        part = part.orderBy("h", "id").limit(share).select("id")
-        picked = part if picked is None else picked.unionByName(part)
+    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(id_col).isNotNull())
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang).alias("lang")).withColumn("h", F.xxhash64("id"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    share = max(1, min(per_language, most // max(1, counts.count())))
+    # a threshold on the hash leaves about twice as many rows as are ranked and taken
+    low = F.bitwise_not(F.lit(-(2**63))).bitwiseAND(F.col("h")) <= F.lit(2.0**64 * (share + 20)) / F.col("n")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    picked = rows.join(F.broadcast(counts), "lang").where(low).withColumn("rank", rank).where(F.col("rank") <= share).select("id")
     ids = [r[0] for r in picked.distinct().collect()]  # at most ``most``
     return docs.where(F.col(id_col).isin(ids) & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text")).limit(most)
 
