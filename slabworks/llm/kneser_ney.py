@@ -209,12 +209,12 @@ def _off(d: tuple[float, float, float], c: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, text: str = "text", buckets: int | None = None) -> Model:
     """Count ``docs`` and write the model's files; a null or empty text is its end alone.
 
-    ``buckets`` (a power of two) follows the number of input partitions, so that a
-    bucket's arrays stay in proportion to a partition.
+    ``buckets`` (a power of two) is at least twice the number of input partitions, so
+    that a bucket's arrays stay smaller than a partition, and each is a task's work.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"))
-    bits = max(4, int(np.ceil(np.log2(buckets or max(1, rows.rdd.getNumPartitions())))))
+    bits = max(4, int(np.ceil(np.log2(buckets or 2 * max(1, rows.rdd.getNumPartitions())))))
     folder = posix(shared_path(spark, "kneser-ney"))
     os.makedirs(folder, exist_ok=True)
     part = "bucket int, keys binary, counts binary"
@@ -234,7 +234,7 @@ def train(docs: DataFrame, text: str = "text", buckets: int | None = None) -> Mo
         write_atomic(f"{folder}/count.{bucket}.npy", counts)
         return summary(bucket, keys, counts, [])
 
-    found = rows.mapInArrow(tokens, part).groupBy("bucket").applyInArrow(words, out).collect()  # a row for each bucket
+    found = rows.mapInArrow(tokens, part).repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(words, out).collect()  # a row for each bucket
     sizes = np.zeros(1 << bits, np.int64)
     for r in found:
         sizes[r["bucket"]] = r["size"]
@@ -292,8 +292,8 @@ def train(docs: DataFrame, text: str = "text", buckets: int | None = None) -> Mo
         return pa.table({"bucket": pa.array([p], pa.int32()), "size": [0], "total": [int(sums[:, 3].sum())], "ends": [0], "n": pa.array([counts_of_counts(sums[:, 3])], pa.list_(pa.int64()))})
 
     # Before the parts are written they are put together by part; the rows with part -1 are one for each bucket.
-    stats = rows.mapInArrow(pairs, part).groupBy("bucket").applyInArrow(bigrams, stat)
-    found = stats.groupBy("part").applyInArrow(ranks, out).collect()  # a row for each part
+    stats = rows.mapInArrow(pairs, part).repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(bigrams, stat)
+    found = stats.repartition(1 << bits, "part").groupBy("part").applyInArrow(ranks, out).collect()  # a row for each part
     of_bigrams = next((r for r in found if r["bucket"] < 0), None)
     if of_bigrams is None:
         return model
