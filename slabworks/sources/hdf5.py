@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.attributes import HIDDEN, Attribute
 from ..plans.schema import Schema, Variable, type_of_numpy
+from ..session import importable
 from .base import ArraySource
 
 PARTITION_CELLS = 4_000_000
@@ -79,7 +80,7 @@ class Hdf5Source(ArraySource):
 
     def cells(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...]) -> DataFrame:
         v = self.schema().find(name)
-        self.spark.dataSource.register(SlabDataSource)
+        importable(self.spark).dataSource.register(SlabDataSource)
         columns = ", ".join([*(f"`i_{a}` int" for a in v.axes), f"value {v.type.spark}"])
         box = {"starts": ",".join(map(str, starts)), "counts": ",".join(map(str, counts))}
         return self.spark.read.format("array_slab").schema(columns).options(path=self.path, variable=name, **box).load()

@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 
 from ..functions.wire import encode
 from ..plans.schema import ElementType
+from ..session import importable
 
 
-#: Boxes of up to so many cells are sorted by one task, without an exchange and the job that samples for it.
-ONE_TASK_CELLS = 1 << 19
+#: Boxes of up to so many cells are sorted by one task and encoded by the reader.
+SMALL_CELLS = 1 << 19
 
 
-def encoded_rows(cells: DataFrame, axes: list[str], kind: ElementType, count: int | None = None) -> DataFrame:
+def encoded_rows(cells: DataFrame, axes: list[str], kind: ElementType) -> DataFrame:
     """``part, seq, payload``: wire bytes of the cells in row-major order, a row for each batch.
 
     A range exchange on the indices gives every task a run of the array, so batches are
-    encoded where they are and only bytes go to the reader. ``count`` is the number of
-    cells, where it is known.
+    encoded where they are and only bytes go to the reader.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -29,17 +29,22 @@ def encoded_rows(cells: DataFrame, axes: list[str], kind: ElementType, count: in
             payload = encode(batch.column(0), kind)
             yield pa.RecordBatch.from_arrays([pa.array([seq]), pa.array([payload], pa.binary())], ["seq", "payload"])
 
-    if not axes:
-        ordered = cells
-    elif count is not None and count <= ONE_TASK_CELLS:
-        ordered = cells.coalesce(1).sortWithinPartitions(*axes)
-    else:
-        ordered = cells.orderBy(*axes)
+    importable(cells.sparkSession)
+    ordered = cells.orderBy(*axes) if axes else cells
     out = ordered.select(F.col("value").cast(kind.spark).alias("value")).mapInArrow(run, "seq long, payload binary")
     return out.select(F.spark_partition_id().alias("part"), "seq", "payload")
 
 
 def array_bytes(cells: DataFrame, axes: list[str], kind: ElementType, count: int | None = None) -> Iterator[bytes]:
-    """The wire bytes in order, a task's worth at a time on the driver."""
-    for row in encoded_rows(cells, axes, kind, count).select("payload").toLocalIterator(prefetchPartitions=True):
+    """The wire bytes in order, a task's worth at a time on the driver.
+
+    ``count`` is the number of cells, where it is known: a small box needs no exchange,
+    no job that samples for it and no Python worker.
+    """
+    if count is not None and count <= SMALL_CELLS:
+        ordered = cells.coalesce(1).sortWithinPartitions(*axes) if axes else cells
+        for chunk in ordered.select(F.col("value").cast(kind.spark).alias("value")).toArrow().column(0).chunks:
+            yield encode(chunk, kind)
+        return
+    for row in encoded_rows(cells, axes, kind).select("payload").toLocalIterator(prefetchPartitions=True):
         yield bytes(row["payload"])

@@ -281,3 +281,12 @@ def test_config(tmp_path, monkeypatch):
     assert (c.data, c.host_port, c.root_url) == ("one", ("::1", 9), "/y")
     with pytest.raises(SystemExit):
         load(["-h"])
+
+
+def test_large_boxes_are_encoded_by_tasks(spark, months, monkeypatch):
+    from slabworks.streaming import body
+
+    d = Dataset("d", months[0])
+    small = b"".join(d.dods("P[2:20]")[1])
+    monkeypatch.setattr(body, "SMALL_CELLS", 10)
+    assert b"".join(d.dods("P[2:20]")[1]) == small
