@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import importable
+
 _FALLBACK: dict[str, str] = {}
 
 
@@ -74,6 +76,7 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "s
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of workers that get whole texts; a session's own settings stay."""
+    importable(spark)
     for key, (default, ours) in BATCHES.items():
         if default is None or spark.conf.get(key) == default:
             spark.conf.set(key, ours)
