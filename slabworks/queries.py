@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.attributes import Attribute
@@ -24,11 +24,10 @@ SQL: dict[str, str] = {}
 WIDTH = 64
 
 
-def query(sql: str | None = None):
+def query(sql: str):
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
+        SQL[f.__name__] = sql
         return f
 
     return register
@@ -251,15 +250,20 @@ def xdr_length_header(spark, sf_dir):
 
 @query("SELECT event_id::INT AS i_event, printf('%016x', user_id) AS wire FROM events")
 def xdr_integers(spark, sf_dir):
-    """The wire form of integers cell by cell, which SQL can express; whole payloads are tested against numpy."""
+    """The wire form of integers cell by cell, as Spark's own functions give it; floats are tested against numpy."""
     return only(events(spark, sf_dir), "user_id").select("i_event", F.lower(F.lpad(F.hex("value"), 16, "0")).alias("wire"))
 
 
-@query()
+@query("SELECT vec_id::INT AS place, printf('%08x', label) AS word FROM embeddings")
 def xdr_payload(spark, sf_dir):
+    """The payload of a variable as tasks encode it, taken apart into words again."""
     d = embeddings(spark, sf_dir)
-    leaf = d.bind("embedding.embedding").parts[0].leaves[0]
-    return encoded_rows(d.leaf(leaf), ["i_vec", "i_dim"], leaf.type)
+    leaf = d.bind("label").parts[0].leaves[0]
+    batches = encoded_rows(d.leaf(leaf), ["i_vec"], leaf.type).withColumn("words", F.floor(F.octet_length("payload") / 4)).persist()
+    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = batches.select("part", "seq", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("first"))
+    word = batches.join(F.broadcast(offsets), ["part", "seq"]).select("first", "payload", F.explode(F.sequence(F.lit(0).cast("long"), F.col("words") - 1)).alias("k"))
+    return word.select((F.col("first") + F.col("k")).cast("int").alias("place"), F.lower(F.hex(F.substring("payload", (F.col("k") * 4 + 1).cast("int"), F.lit(4)))).alias("word"))
 
 
 @query("SELECT dataset, variable, kind FROM (VALUES ('embeddings', 'vec', 'variable'), ('embeddings', 'dim', 'variable'), ('embeddings', 'embedding', 'grid'), ('embeddings', 'label', 'variable'), ('no dim', 'embedding', 'variable')) t(dataset, variable, kind)")
