@@ -11,6 +11,7 @@ of merges.
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
 from array import array
@@ -266,13 +267,7 @@ class PieceCodec:
         return out[1:] if raw[first][:1] == b" " and not self.is_byte[first] and first != self.unknown else out
 
 
-def _one_by_one(e: UnicodeError) -> tuple[str, int]:
-    return "�", e.start + 1
-
-
-import codecs  # noqa: E402
-
-codecs.register_error("piece-bytes", _one_by_one)
+codecs.register_error("piece-bytes", lambda e: ("\ufffd", e.start + 1))
 
 
 @lru_cache(maxsize=2)

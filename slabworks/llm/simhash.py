@@ -138,7 +138,8 @@ def _edge_rows(distance: int):
             way, key, fp = (np.concatenate(x) for x in zip(rest, cols, strict=True))
             if not len(way):
                 continue
-            last = int(np.flatnonzero((way != way[-1]) | (key != key[-1]))[-1]) + 1 if ((way != way[-1]) | (key != key[-1])).any() else 0
+            other = np.flatnonzero((way != way[-1]) | (key != key[-1]))
+            last = int(other[-1]) + 1 if len(other) else 0  # the last key may go on in the next batch
             rest = (way[last:], key[last:], fp[last:])
             if last:
                 yield found(way[:last], key[:last], fp[:last])
