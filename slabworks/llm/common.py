@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..session import importable
 
@@ -87,8 +88,9 @@ def fold(column, modulus: int):
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def binary_list(values: list[bytes | None]) -> pa.Array:
-    return pa.array(values, pa.binary())
+def with_id(docs: DataFrame, id_col: str, rest: str, name: str = "id") -> StructType:
+    """A schema of ``docs``' id, of whatever type and under ``name``, and the columns ``rest``."""
+    return StructType([StructField(name, docs.schema[id_col].dataType), *StructType.fromDDL(rest).fields])
 
 
 def texts(column: pa.ChunkedArray | pa.Array):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import texts
+from .common import texts, with_id
 
 Q = 12
 EDIT_RATE = 0.06
@@ -210,7 +210,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     blocks = list(benchmark_blocks(benchmark, item_id, item_text))
     for k, block in enumerate(blocks):
         more = k + 1 < len(blocks)
-        schema = ", ".join([f"id {docs.schema[id_col].dataType.simpleString()}", *["text string"] * more, *[f"{c} {kind}" for c, kind in lists.items()]])
+        schema = with_id(docs, id_col, ", ".join([*["text string"] * more, *[f"{c} {kind}" for c, kind in lists.items()]]))
         rows = rows.mapInArrow(_match_rows(block, rate, to_arrow_type(item_kind), more), schema)
     return rows.select(F.col("id").alias(id_col), *LISTS)
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, keep_keys, keyed, saved, texts
+from .common import join_groups, keep_keys, keyed, saved, texts, with_id
 
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 256, 10, 8192
 SEEN_LIMIT = 200_000
@@ -115,7 +115,7 @@ def verified_recipes(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     seed = 0
     while not chunk_store(docs, text, seed).where(~F.col("verified")).isEmpty():
         seed += 1
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, recipe binary, text_sha256 string"
+    schema = with_id(docs, id_col, "recipe binary, text_sha256 string")
     return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(_recipe_rows(seed), schema)
 
 

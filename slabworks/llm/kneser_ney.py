@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, posix, shared_path, texts, write_atomic
+from .common import fold, posix, shared_path, texts, with_id, write_atomic
 
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))  # no word holds a line break
 SLICE_TOKENS = 1 << 20
@@ -353,9 +353,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     A model of no texts gives every token probability 1. Ids may be null or repeat;
     other columns aren't read; no rows give no rows.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    out = rows.mapInArrow(_score_rows(model), f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = rows.mapInArrow(_score_rows(model), with_id(docs, id_col, "n_tokens long, n_known long, train_tokens long, base_score double, score double"))
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))).withColumnRenamed("id", id_col)
 
 

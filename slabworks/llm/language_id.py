@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, with_id
 
 BITS = 13
 ROWS_PER_LANGUAGE = 400
@@ -162,9 +162,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text:
     with a letter aren't rejected. Ids may be null or repeat; other
     columns aren't read; no rows give no rows.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_predict_rows(model), f"id {kind}, lang_pred string, score double, ambiguous boolean, rejected boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_predict_rows(model), with_id(docs, id_col, "lang_pred string, score double, ambiguous boolean, rejected boolean")).withColumnRenamed("id", id_col)
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, with_id
 
 SPACE = "▁"
 CACHE_WORDS = 150_000
@@ -332,23 +332,20 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "tex
     encoded; other columns aren't read; no rows give no rows. ``model`` is the path
     of the model file on every executor.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_encode_rows(model), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_encode_rows(model), with_id(docs, id_col, "ids array<int>")).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``id_col, ids, decoded``: the text of each row's ids; null ids give an empty text."""
-    kind = encoded.schema[id_col].dataType.simpleString()
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids).alias("ids"))
-    return rows.mapInArrow(_decode_rows(model), f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_decode_rows(model), with_id(encoded, id_col, "ids array<int>, decoded string")).withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_col, ids, decoded``: ``encode`` and then ``decode`` of its ids, in one pass over the texts."""
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_round_trip_rows(model), f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_round_trip_rows(model), with_id(docs, id_col, "ids array<int>, decoded string")).withColumnRenamed("id", id_col)
 
 
 def default_model() -> str:

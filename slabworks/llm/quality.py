@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, saved, texts
+from .common import fold, saved, texts, with_id
 
 BYTE_BITS, CLASS_BITS, REPEATS = 16, 14, 16
 SIZE = (1 << BYTE_BITS) + (1 << CLASS_BITS) + REPEATS + 1
@@ -198,9 +198,8 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: st
     Null and empty texts are scored by the bias alone; without a model every score is
     0.5. Ids may be null or repeat; other columns aren't read; no rows give no rows.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_score_rows(model), f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_score_rows(model), with_id(docs, id_col, "score double")).withColumnRenamed("id", id_col)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, keep_keys, keyed, saved, texts
+from .common import join_groups, keep_keys, keyed, saved, texts, with_id
 
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 SLICE = 1 << 16
@@ -61,8 +61,7 @@ def _fingerprint_rows(width: int, seed: int):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
     """``id, fp``: the fingerprint of each row as a signed long; a null text counts as empty."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(_fingerprint_rows(width, seed), f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(_fingerprint_rows(width, seed), with_id(docs, id_col, "fp long"))
 
 
 def _masks(distance: int) -> list[int]:
