@@ -4,8 +4,8 @@ Templates are short licence texts. Their words, but for the stop words, are lice
 words; each has postings: the templates and offsets where it stands. A file looks up
 its licence words with the highest inverse document frequency (over all files scanned),
 all their places are shifted by the postings' offsets, and a template is a candidate
-where it would have to start. A candidate stands if enough of the looked-up words agree
-on that start and the template's key phrase stands in its place word by word.
+where it would have to start. A candidate stands if the template's key phrase stands in
+its place word by word, whichever of its words were looked up.
 
 Base phrases are templates that are their own key phrase. The rarest word of each key
 phrase is looked up whatever its rank in the file, so a file that quotes many licences
@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOOKED_UP = 8
-AGREE = 2
 
 # Base phrases with their labels.
 BASE = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")]
@@ -103,12 +102,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", base=BASE,
         for k in rare:
             postings[t["words"][k]].append({"t": n, "at": k})
         weight = [idf[w] if w in rank else 1.0 for w in t["words"]]
-        parts = [{"at": k, "word": w, "weight": weight[k] / sum(weight), "rare": w in rank} for k, w in enumerate(t["words"])]
-        table.append({"label": t["label"], "base": t["base"], "parts": parts, "need": min(AGREE, len(rare)), "size": len(t["words"]), "key": " ".join(t["key"]), "key_at": t["key_at"], "key_size": len(t["key"])})
+        parts = [{"at": k, "word": w, "weight": weight[k] / sum(weight)} for k, w in enumerate(t["words"])]
+        table.append({"label": t["label"], "base": t["base"], "parts": parts, "size": len(t["words"]), "key": " ".join(t["key"]), "key_at": t["key_at"], "key_size": len(t["key"])})
     always = sorted({min((w for w in t["key"] if w in rank), key=rank.get) for t in all_templates})
 
-    part = "array<struct<at:int,word:string,weight:double,rare:boolean>>"
-    templates_ = _literal(table, f"array<struct<label:string,base:boolean,parts:{part},need:int,size:int,key:string,key_at:int,key_size:int>>")
+    part = "array<struct<at:int,word:string,weight:double>>"
+    templates_ = _literal(table, f"array<struct<label:string,base:boolean,parts:{part},size:int,key:string,key_at:int,key_size:int>>")
     postings_ = _literal(postings, "map<string,array<struct<t:int,at:int>>>")
     ranks_ = _literal(rank, "map<string,int>")
     by_rank = F.array_sort(F.transform(F.array_intersect("words", F.array(*map(F.lit, vocabulary))), lambda w: F.struct(ranks_[w].alias("rank"), w.alias("word"))))
@@ -122,13 +121,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", base=BASE,
     def judged(c: Column) -> Column:
         t = F.get(templates_, c["t"])
         stands = F.filter(t["parts"], lambda p: F.get("words", F.when(c["start"] + p["at"] >= 0, c["start"] + p["at"])) == p["word"])
-        agree = F.size(F.filter(stands, lambda p: p["rare"] & F.array_contains("looked", p["word"])))
         key_from = c["start"] + t["key_at"]
         key = F.when(key_from >= 0, F.array_join(F.slice("words", F.greatest(key_from, F.lit(0)) + 1, t["key_size"]), " ")) == t["key"]
-        # a key phrase that has fewer looked-up words than are needed stands by itself
-        enough = agree >= F.least(t["need"], F.size(F.filter(t["parts"], lambda p: p["rare"] & F.array_contains("looked", p["word"]))))
         coverage = F.aggregate(stands, F.lit(0.0), lambda a, p: a + p["weight"])
-        return F.struct(t["label"].alias("label"), c["start"].cast("long").alias("start"), F.least(F.round(coverage, 9), F.lit(1.0)).alias("coverage"), t["base"].alias("base"), F.coalesce(key & enough, F.lit(False)).alias("ok"))
+        return F.struct(t["label"].alias("label"), c["start"].cast("long").alias("start"), F.least(F.round(coverage, 9), F.lit(1.0)).alias("coverage"), t["base"].alias("base"), F.coalesce(key, F.lit(False)).alias("ok"))
 
     found = found.withColumn("matches", F.filter(F.transform("starts", judged), lambda m: m["ok"]))
     found = found.select("id", "n_words", F.array_sort(F.transform("matches", lambda m: F.struct(m["start"], m["label"], m["coverage"], m["base"]))).alias("matches"))

@@ -1,3 +1,4 @@
+import random
 import re
 
 from tables import SF, edges, rows
@@ -59,3 +60,22 @@ def test_rank_follows_the_files(spark):
     df = spark.createDataFrame([(k, "license") for k in range(5)] + [(9, "warranty")], "doc_id long, text string")
     total, df_ = m.document_frequency(df.select(m.words(df["text"]).alias("words")), ["license", "reserved"])
     assert total == 6 and df_ == {"license": 5}
+
+
+def test_words_out_of_place_reject_no_key_phrase(spark):
+    rng = random.Random(8)
+    common = [(k, "public license software general version v") for k in range(100, 150)]
+    # terms and mozilla are looked up, public and license are not, and terms stands elsewhere
+    docs = [(0, "affero apache binary boost cc0 charge terms. Mozilla Public License, v. 2.0")]
+    templates = [t.split() for _, t, _ in m.TEMPLATES]
+    for k in range(1, 80):
+        parts = []
+        for w in rng.sample(templates, 8):  # whole, split in two, or out of order
+            cut = rng.randrange(len(w))
+            parts += rng.choice([[w], [w[:cut], w[cut:]], [rng.sample(w, len(w))]])
+        rng.shuffle(parts)
+        docs.append((k, " ".join(w for p in parts for w in p)))
+    df = spark.createDataFrame(docs + common, "doc_id long, text string")
+    found = {r["doc_id"]: tuple(r)[1:7] for r in m.scan(df).collect()}
+    assert "mpl-2.0" in found[0][5]
+    assert found == {i: plain(t) for i, t in docs + common}
