@@ -98,6 +98,11 @@ def grid_with_maps(spark, sf_dir):
     return embeddings(spark, sf_dir).grid("embedding[0:9][0:3]")
 
 
+@query(f"SELECT i_vec, i_dim, value, i_vec::BIGINT AS vec, i_dim AS dim FROM ({_CELLS})")
+def whole_grid_with_maps(spark, sf_dir):
+    return embeddings(spark, sf_dir).grid("embedding")
+
+
 @query("SELECT d::INT AS i_dim, d::INT AS value FROM range(2, 6) t(d)")
 def structure_member(spark, sf_dir):
     return only(embeddings(spark, sf_dir), "embedding.dim[2:5]")
