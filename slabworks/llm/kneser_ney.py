@@ -1,4 +1,4 @@
-"""LM scoring by an interpolated modified Kneser-Ney bigram model.
+"""LM scoring by an interpolated modified Kneser-Ney model of order 2 or 3.
 
 Tokens and bigrams are counted in Spark: each task hands on sorted, summed arrays, cut
 into hash buckets, and each bucket's arrays are merged by one task. The merged tables
@@ -8,7 +8,9 @@ the table's length and its counts of counts.
 
 A word is known by the XXH64 of its bytes and then by its rank in the sorted hash
 array. A bigram is the two ranks in 64 bits, mixed by a function that can be undone,
-so bigrams never collide; two words do with odds of n**2 / 2**65.
+so bigrams never collide; two words do with odds of n**2 / 2**65. A trigram is the rank
+of its first two words' bigram and the last word's rank, mixed likewise; texts begin with
+as many empty words as a context has. At order 3, bigrams count by the words before them.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ SLICE_TOKENS = 1 << 20
 FLUSH_KEYS = 1 << 23
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _33 = np.uint64(33)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -176,6 +179,17 @@ def take(files: Mapped, name: str, shift: int, ids: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)[back]
 
 
+def _joined(context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return mix(context.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64) & _LOW)
+
+
+def _followed(before: np.ndarray, ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """What is in ``before`` at the token before each (``first`` for a text's first), and its mix with the token."""
+    context = np.append(first, before[:-1])
+    context[ends[:-1]] = first
+    return context, _joined(context, ids)
+
+
 @dataclass
 class Model:
     """What workers need besides the files; ``base`` has a number for each bucket."""
@@ -191,27 +205,49 @@ class Model:
     d2: tuple[float, float, float]
     d1: tuple[float, float, float]
     rest: float
+    order: int = 2
+    n_trigrams: int = 0
+    base2: np.ndarray | None = None
+    shift2: int = 0
+    d3: tuple[float, float, float] = (0.5,) * 3
 
     def ids(self, files: Mapped, hashes: np.ndarray) -> np.ndarray:
         return look_up(files, "word", None, self.bits, hashes, self.base)
 
     def keys(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The context of each token (the number of words for a text's first) and the mixed bigram."""
-        context = np.append(self.n_words, ids[:-1])
-        context[ends[:-1]] = self.n_words
-        return context, mix(context.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64) & np.uint64(0xFFFFFFFF))
+        return _followed(ids, ids, ends, self.n_words)
+
+    def pairs(self, files: Mapped, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The rank of the bigram that ends at each token, -1 if it is absent."""
+        context, keys = self.keys(ids, ends)
+        out, look = np.full(len(ids), -1, np.int64), (context >= 0) & (ids >= 0)
+        out[look] = look_up(files, "bigram", None, self.bits, keys[look], self.base2)
+        return out
+
+    def keys3(self, pairs: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bigram before each token (the number of bigrams for a text's first) and the mixed trigram."""
+        return _followed(pairs, ids, ends, self.n_bigrams)
+
+    def words_of(self, files: Mapped, pairs: np.ndarray) -> np.ndarray:
+        """The second word of the bigrams of these ranks."""
+        distinct, back = np.unique(pairs, return_inverse=True)
+        parts = [_undo(np.asarray(files("bigram", k)[distinct[a:b] - self.base2[k]])) for k, a, b in _parts(np.searchsorted(self.base2, distinct, "right") - 1)]
+        return (np.concatenate(parts) & _LOW).astype(np.int64)[back] if parts else np.zeros(0, np.int64)
 
 
 def _off(d: tuple[float, float, float], c: np.ndarray) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(c, 3)]
 
 
-def train(docs: DataFrame, text: str = "text", buckets: int | None = None) -> Model:
-    """Count ``docs`` and write the model's files; a null or empty text is its end alone.
+def train(docs: DataFrame, text: str = "text", buckets: int | None = None, order: int = 2) -> Model:
+    """Count ``docs`` and write the files of a model of ``order`` 2 or 3; a null or empty text is its end alone.
 
     ``buckets`` (a power of two) is at least twice the number of input partitions, so
     that a bucket's arrays stay smaller than a partition, and each is a task's work.
     """
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"))
     bits = max(4, int(np.ceil(np.log2(buckets or 2 * max(1, rows.rdd.getNumPartitions())))))
@@ -243,7 +279,7 @@ def train(docs: DataFrame, text: str = "text", buckets: int | None = None) -> Mo
     if n_words >= (1 << 32) - 2:
         raise ValueError("more words than ranks of 32 bits")
     shift = max(0, int(n_words).bit_length() - bits)
-    model = Model(folder, bits, shift, base, n_words, n_tokens, n_texts, 0, (0.5,) * 3, (0.5,) * 3, 1.0)
+    model = Model(folder, bits, shift, base, n_words, n_tokens, n_texts, 0, (0.5,) * 3, (0.5,) * 3, 1.0, order)
 
     def pairs(batches):
         files = Mapped(folder)
@@ -266,9 +302,13 @@ def train(docs: DataFrame, text: str = "text", buckets: int | None = None) -> Mo
         write_atomic(f"{folder}/bigram_count.{bucket}.npy", np.frombuffer(packed(counts)[1:], packed(counts)[:1].decode()))
         plain = _undo(keys)
         context, word = (plain >> np.uint64(32)).astype(np.int64), (plain & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        return shares(bucket, context, counts, word, None, shift)
+
+    def shares(bucket: int, context: np.ndarray, counts: np.ndarray, other: np.ndarray, weights: np.ndarray | None, shift: int) -> pa.Table:
+        """Contexts by their counts, and ``other`` with its weights, by parts of the ranks; then the counts' counts of counts."""
         cols: list[list] = [[], [], [], []]
-        for kind, ids in ((1, context[counts == 1]), (2, context[counts == 2]), (3, context[counts >= 3]), (4, word)):
-            k, c = summed(ids)
+        for kind, ids, w in ((1, context[counts == 1], None), (2, context[counts == 2], None), (3, context[counts >= 3], None), (4, other, weights)):
+            k, c = summed(ids, w)
             for p, a, b in _parts(k >> shift):
                 for col, v in zip(cols, (p, kind, k[a:b].astype(np.uint32).tobytes(), packed(c[a:b])), strict=True):
                     col.append(v)
@@ -277,23 +317,26 @@ def train(docs: DataFrame, text: str = "text", buckets: int | None = None) -> Mo
             col.append(v)
         return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=stat_names)
 
-    def ranks(table: pa.Table) -> pa.Table:
-        """Writes a part of the arrays by rank: contexts' counts of counts, words' counts of contexts."""
-        p = table.column("part")[0].as_py()
-        if p < 0:
-            n = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-            return pa.table({"bucket": pa.array([-1], pa.int32()), "size": [int(n[5])], "total": [0], "ends": [0], "n": pa.array([n[:5].tolist()], pa.list_(pa.int64()))})
-        size = min(1 << shift, n_words + 1 - (p << shift))
-        sums = np.zeros((size, 4), np.int64)
-        for kind, ids, counts in zip(*(table.column(c).to_pylist() for c in stat_names[1:]), strict=True):
-            sums[np.frombuffer(ids, np.uint32).astype(np.int64) - (p << shift), kind - 1] += unpacked(counts)
-        write_atomic(f"{folder}/contexts.{p}.npy", sums[:, :3].astype(np.uint32 if sums.max() < 2**32 else np.int64))
-        write_atomic(f"{folder}/before.{p}.npy", sums[:, 3].astype(np.uint32 if sums.max() < 2**32 else np.int64))
-        return pa.table({"bucket": pa.array([p], pa.int32()), "size": [0], "total": [int(sums[:, 3].sum())], "ends": [0], "n": pa.array([counts_of_counts(sums[:, 3])], pa.list_(pa.int64()))})
+    def ranks(suffix: str, shift: int, n_ids: int):
+        def run(table: pa.Table) -> pa.Table:
+            """Writes a part of the arrays by rank: contexts' counts of counts, words' counts of contexts."""
+            p = table.column("part")[0].as_py()
+            if p < 0:
+                n = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
+                return pa.table({"bucket": pa.array([-1], pa.int32()), "size": [int(n[5])], "total": [0], "ends": [0], "n": pa.array([n[:5].tolist()], pa.list_(pa.int64()))})
+            size = min(1 << shift, n_ids - (p << shift))
+            sums = np.zeros((size, 4), np.int64)
+            for kind, ids, counts in zip(*(table.column(c).to_pylist() for c in stat_names[1:]), strict=True):
+                sums[np.frombuffer(ids, np.uint32).astype(np.int64) - (p << shift), kind - 1] += unpacked(counts)
+            write_atomic(f"{folder}/contexts{suffix}.{p}.npy", sums[:, :3].astype(np.uint32 if sums.max() < 2**32 else np.int64))
+            write_atomic(f"{folder}/before{suffix}.{p}.npy", sums[:, 3].astype(np.uint32 if sums.max() < 2**32 else np.int64))
+            return pa.table({"bucket": pa.array([p], pa.int32()), "size": [0], "total": [int(sums[:, 3].sum())], "ends": [0], "n": pa.array([counts_of_counts(sums[:, 3])], pa.list_(pa.int64()))})
+
+        return run
 
     # Before the parts are written they are put together by part; the rows with part -1 are one for each bucket.
     stats = rows.mapInArrow(pairs, part).repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(bigrams, stat)
-    found = stats.repartition(1 << bits, "part").groupBy("part").applyInArrow(ranks, out).collect()  # a row for each part
+    found = stats.repartition(1 << bits, "part").groupBy("part").applyInArrow(ranks("", shift, n_words + 1), out).collect()  # a row for each part
     of_bigrams = next((r for r in found if r["bucket"] < 0), None)
     if of_bigrams is None:
         return model
@@ -301,6 +344,57 @@ def train(docs: DataFrame, text: str = "text", buckets: int | None = None) -> Mo
     model.n_bigrams = of_bigrams["size"]
     model.d2, model.d1 = discounts(of_bigrams["n"]), discounts(n1)
     model.rest = (model.d1[0] * n1[0] + model.d1[1] * n1[1] + model.d1[2] * n1[4]) / model.n_bigrams
+    if order == 2:
+        return model
+
+    # Order 3: trigrams, then bigrams by how many words stand before them.
+    sizes2 = [len(np.load(path, mmap_mode="r")) if os.path.exists(path := f"{folder}/bigram.{k}.npy") else 0 for k in range(1 << bits)]
+    model.base2 = np.cumsum(sizes2) - sizes2
+    if model.n_bigrams >= (1 << 32) - 2:
+        raise ValueError("more bigrams than ranks of 32 bits")
+    shift2 = model.shift2 = max(0, model.n_bigrams.bit_length() - bits)
+
+    def triples(batches):
+        files = Mapped(folder)
+
+        def slices():
+            for b in batches:
+                for h, ends in token_hashes(texts(b.column(0))):
+                    ids = model.ids(files, h)
+                    yield model.keys3(model.pairs(files, ids, ends), ids, ends)[1]
+
+        return _counted(slices(), bits)
+
+    def trigrams(table: pa.Table) -> pa.Table:
+        """Writes a bucket of trigrams; returns, by parts of the bigrams' ranks, how often they are contexts and last words' bigrams."""
+        bucket = table.column("bucket")[0].as_py()
+        keys, counts = merged(table)
+        write_atomic(f"{folder}/trigram.{bucket}.npy", keys)
+        write_atomic(f"{folder}/trigram_count.{bucket}.npy", np.frombuffer(packed(counts)[1:], packed(counts)[:1].decode()))
+        plain = _undo(keys)
+        context, word = (plain >> np.uint64(32)).astype(np.int64), (plain & _LOW).astype(np.int64)
+        files, middle, later = Mapped(folder), np.full(len(keys), n_words, np.int64), context < model.n_bigrams
+        middle[later] = model.words_of(files, context[later])
+        last = look_up(files, "bigram", None, bits, _joined(middle, word), model.base2)
+        return shares(bucket, context, counts, last, None, shift2)
+
+    def lower(batches):
+        """Bigrams' counts of words before them, by parts of the ranks of their first words."""
+        files = Mapped(folder)
+        for b in batches:
+            for bucket in b.column(0).to_pylist():
+                if sizes2[bucket]:
+                    context = (_undo(np.asarray(files("bigram", bucket))) >> np.uint64(32)).astype(np.int64)
+                    n = take(files, "before3", shift2, np.arange(sizes2[bucket]) + model.base2[bucket]).astype(np.int64)
+                    yield from shares(bucket, context, n, context, n, shift).to_batches()
+
+    stats = rows.mapInArrow(triples, part).repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(trigrams, stat)
+    found = stats.repartition(1 << bits, "part").groupBy("part").applyInArrow(ranks("3", shift2, model.n_bigrams + 1), out).collect()  # a row for each part
+    of_trigrams = next(r for r in found if r["bucket"] < 0)
+    model.n_trigrams, model.d3 = of_trigrams["size"], discounts(of_trigrams["n"])
+    stats = spark.range(0, 1 << bits, 1, 1 << bits).mapInArrow(lower, stat)
+    found = stats.repartition(1 << bits, "part").groupBy("part").applyInArrow(ranks("2", shift, n_words + 1), out).collect()  # a row for each part
+    model.d2 = discounts(next(r for r in found if r["bucket"] < 0)["n"])
     return model
 
 
@@ -314,7 +408,28 @@ def _score_rows(model: Model):
             before[known] = take(files, "before", model.shift, ids[known])
         base = np.log10((count + 1) / (model.n_tokens + model.n_words + 1))
         p = model.rest / (model.n_words + 1)
-        if model.n_bigrams:
+        if model.n_bigrams and model.order == 3:
+            p = p + np.maximum(before - _off(model.d1, before), 0) / model.n_bigrams
+            context, _ = model.keys(ids, ends)
+            at, pairs = context >= 0, model.pairs(files, ids, ends)
+            n2 = np.zeros(len(ids), np.int64)
+            n2[pairs >= 0] = take(files, "before3", model.shift2, pairs[pairs >= 0])
+            n = take(files, "contexts2", model.shift, context[at]).astype(np.float64)
+            total = take(files, "before2", model.shift, context[at]).astype(np.float64)
+            p[at] = np.maximum(n2[at] - _off(model.d2, n2[at]), 0) / total + (n @ np.array(model.d2)) / total * p[at]
+            context, keys = model.keys3(pairs, ids, ends)
+            at = context >= 0
+            of_pair = np.zeros(len(ids), np.int64)
+            seen = pairs >= 0
+            of_pair[seen] = look_up(files, "bigram", "bigram_count", model.bits, model.keys(ids, ends)[1][seen])
+            total = np.append(model.n_texts, of_pair[:-1])
+            total[ends[:-1]] = model.n_texts
+            total, look = total[at].astype(np.float64), at & known
+            n3 = np.zeros(len(ids), np.int64)
+            n3[look] = np.maximum(look_up(files, "trigram", "trigram_count", model.bits, keys[look]), 0)
+            n = take(files, "contexts3", model.shift2, context[at]).astype(np.float64)
+            p[at] = np.maximum(n3[at] - _off(model.d3, n3[at]), 0) / total + (n @ np.array(model.d3)) / total * p[at]
+        elif model.n_bigrams:
             p = p + np.maximum(before - _off(model.d1, before), 0) / model.n_bigrams
             context, keys = model.keys(ids, ends)
             at = context >= 0
@@ -358,7 +473,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))).withColumnRenamed("id", id_col)
 
 
-def op6_lm_score(spark, sf_dir: str) -> DataFrame:
+def op6_lm_score(spark, sf_dir: str, order: int = 2) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = fold(F.col("doc_id"), 7) == 2
-    return score(docs, train(docs.where(~held_out))).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+    return score(docs, train(docs.where(~held_out), order=order)).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+def op6_lm_score_order3(spark, sf_dir: str) -> DataFrame:
+    return op6_lm_score(spark, sf_dir, order=3)

@@ -95,3 +95,59 @@ def test_array_helpers():
         assert m.unpacked(m.packed(np.array(c, np.int64))).tolist() == c
     k, c = m.summed(np.array([3, 1, 3], np.uint64), np.array([5, 1, 2]))
     assert k.tolist() == [1, 3] and c.tolist() == [1, 7]
+
+
+class Plain3(Plain):
+    """The model of order 3 by dictionaries; a context has two words, before a text both are empty."""
+
+    def __init__(self, texts):
+        super().__init__(texts)
+        self.three = collections.Counter(x for t in map(tokens, texts) for x in zip([None, None, *t], [None, *t], t))
+        self.left = collections.Counter((b, c) for _, b, c in self.three)
+        self.of2, self.of3 = collections.Counter(), collections.Counter()
+        self.n2, self.n3 = (collections.defaultdict(lambda: [0, 0, 0]) for _ in range(2))
+        for (a, _), k in self.left.items():
+            self.of2[a] += k
+            self.n2[a][min(k, 3) - 1] += 1
+        for (a, b, _), k in self.three.items():
+            self.of3[a, b] += k
+            self.n3[a, b][min(k, 3) - 1] += 1
+        self.d2, self.d3 = (m.discounts([sum(v == k for v in x.values()) for k in (1, 2, 3, 4)]) for x in (self.left, self.three))
+
+    def two_words(self, a, w):
+        k = self.left[a, w]
+        return (max(k - (self.d2[min(k, 3) - 1] if k else 0), 0) + sum(d * n for d, n in zip(self.d2, self.n2[a])) * self.one(w)) / self.of2[a] if self.of2[a] else self.one(w)
+
+    def p3(self, a, b, w):
+        if not self.of3[a, b]:
+            return self.two_words(b, w)
+        k = self.three[a, b, w]
+        return (max(k - (self.d3[min(k, 3) - 1] if k else 0), 0) + sum(d * n for d, n in zip(self.d3, self.n3[a, b])) * self.two_words(b, w)) / self.of3[a, b]
+
+    def score(self, text):
+        t = tokens(text)
+        return sum(math.log10(self.p3(*x)) for x in zip([None, None, *t], [None, *t], t))
+
+
+@pytest.mark.parametrize("buckets", [1, 64])
+def test_order_3_against_dictionaries(spark, buckets):
+    texts = rows()
+    train = [t for _, t in texts[:60]]
+    plain = Plain3(train)
+    model = m.train(spark.createDataFrame(texts[:60], "doc_id long, text string").repartition(5), buckets=buckets, order=3)
+    assert model.n_trigrams == len(plain.three) and model.d3 == pytest.approx(plain.d3) and model.d2 == pytest.approx(plain.d2)
+    docs = spark.createDataFrame(texts[:90], "doc_id long, text string")  # some are held out
+    for r in m.score(docs, model).collect():
+        assert r["score"] == pytest.approx(plain.score(dict(texts)[r["doc_id"]]), rel=1e-9)
+
+
+def test_order_3_adds_up_and_has_edges(spark):
+    plain = Plain3(["a b a c", "b a b", None, "c"])
+    for context in ((None, None), (None, b"a"), (b"a", b"b"), (b"zz", b"b"), (b"b", b"zz")):
+        assert sum(plain.p3(*context, w) for w in [*plain.c, b"unseen"]) == pytest.approx(1)
+    df = edges(spark)
+    plain = Plain3([r["text"] for r in df.collect()])
+    assert sorted(r["score"] for r in m.score(df, m.train(df, order=3)).collect()) == pytest.approx(sorted(plain.score(r["text"]) for r in df.collect()))
+    assert {r["score"] for r in m.score(df, m.train(df.limit(0), order=3)).collect()} == {0.0}
+    with pytest.raises(ValueError):
+        m.train(df, order=4)
