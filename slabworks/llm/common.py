@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -47,6 +48,23 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """``saved`` for tables that nothing reads any more when the block ends; they are deleted then."""
+    paths = []
+
+    def save(df: DataFrame, what: str) -> DataFrame:
+        paths.append(shared_path(spark, what))
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    try:
+        yield save
+    finally:
+        for path in paths:
+            remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that an operator wrote and no longer reads."""
     jvm = spark.sparkContext._jvm
@@ -115,20 +133,43 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str = "group
     return of_hot.unionByName(others)
 
 
+#: Bits of the table of ``maybe``: 16 MB are broadcast at most, whatever the input.
+TABLE_BITS = 1 << 27
+
+
+def maybe(rows: DataFrame, key: Column, keys: DataFrame, of: Column) -> DataFrame:
+    """``rows`` with ``__maybe``: false only where ``key`` is surely none of the ``of`` in ``keys``.
+
+    The hashes of ``keys`` are marked in a table of bits of fixed size, made and read by
+    Spark's bitmap functions. The more keys, the more rows pass that needn't: a join
+    that follows decides, this only spares rows from being moved.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(TABLE_BITS)) + 1
+    marks = keys.select(place(of).alias("__p")).groupBy(F.bitmap_bucket_number("__p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__p")).alias("__bits"))
+    at = F.bitmap_bit_position("__p")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("__p", place(key)).join(F.broadcast(marks), F.bitmap_bucket_number("__p") == F.col("__bucket"), "left")
+    return found.select(*rows.columns, F.coalesce(F.bit_get(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias("__maybe"))
+
+
 def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """``docs`` with ``__key``, by which rows can be ordered: ids first by value, null ids last, ties by text."""
     sha = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
     return docs.withColumn("__key", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), sha.alias("sha")))
 
 
-def keep_keys(docs: DataFrame, keys: DataFrame, id_col: str, text: str) -> DataFrame:
-    """One row of ``docs`` for each distinct ``__key`` of ``keys``, with all its columns.
+def keep_rows(docs: DataFrame, found: DataFrame, id_col: str, text: str, size: str = "group_size") -> DataFrame:
+    """One row of ``docs`` for each distinct ``__key`` that is ``kept`` in ``found``, with all its columns.
 
+    ``found`` has ``__key, kept`` and the rows of the key's group, each row of ``docs``
+    once. A row that is alone in its group stays where it is; only rows that share one
+    (and the few that the table of bits takes for such) meet the decisions in a join.
     Rows that have a key in common agree in id and text; one of them stays.
     """
-    stay = saved(keys.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")), "kept")
-    kept = keyed(docs, id_col, text).join(stay, "__key")
-    if stay.where("__n > 1").isEmpty():
-        return kept.select(*docs.columns)
-    several = kept.where("__n > 1").dropDuplicates(["__key"])
-    return kept.where("__n = 1").unionByName(several).select(*docs.columns)
+    contested = found.where(F.col(size) > 1).groupBy("__key").agg(F.max("kept").alias("__kept")).withColumnRenamed("__key", "__of")
+    contested = saved(contested, "contested")
+    rows = maybe(keyed(docs, id_col, text), F.col("__key"), contested, F.col("__of"))
+    alone = rows.where(~F.col("__maybe")).select(*docs.columns)
+    shared = rows.where("__maybe").dropDuplicates(["__key"])  # combined in the tasks before rows are moved
+    decided = shared.join(contested.hint("merge"), F.col("__key") == F.col("__of"), "left").where(F.coalesce("__kept", F.lit(True)))
+    return alone.unionByName(decided.select(*docs.columns))

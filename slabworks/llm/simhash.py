@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, keep_keys, keyed, saved, texts, with_id
+from .common import join_groups, keep_rows, keyed, saved, texts, with_id
 
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 SLICE = 1 << 16
@@ -219,7 +219,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
     the id, the one whose text's digest is smallest.
     """
     found = near_duplicates(keyed(docs, id_col, text).select("__key", text), "__key", text, width, distance)
-    return keep_keys(docs, found.where("__key = component_id").select("__key"), id_col, text)
+    return keep_rows(docs, found.withColumn("kept", F.expr("__key = component_id")), id_col, text, "component_size")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

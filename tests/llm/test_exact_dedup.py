@@ -42,25 +42,32 @@ def test_edges(spark):
     assert len(EDGES) == m.exact_dedup(edges(spark)).count()
 
 
-def test_identifiers_that_collide_are_made_anew(spark, monkeypatch):
-    real = m.chunk_store
-    asked = []
-
-    def store(docs, text, seed):
-        asked.append(seed)
-        found = real(docs, text, seed)
-        return found.withColumn("verified", found["verified"] & (seed > 0)) if seed == 0 else found
-
-    monkeypatch.setattr(m, "chunk_store", store)
-    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
-    assert sorted((r["doc_id"], r["keep_id"]) for r in m.exact_dedup(df).collect()) == [(1, 1), (2, 1), (3, 3)]
-    assert asked == [0, 1]
-
-
-@pytest.mark.parametrize("verified", [True, False])
-def test_verification_compares_contents(spark, monkeypatch, verified):
-    if not verified:
-        monkeypatch.setattr(m.xxhash, "xxh3_128_digest", lambda c, seed: b"same" * 4)
-    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").coalesce(1)
-    rows = [b for batch in [docs.select("text").toArrow().to_batches()] for b in m._chunk_rows(0)(iter(batch))]
-    assert sum(b.num_rows for b in rows) == (2 if verified else 1)
+def colliding(first):
+    """Identifiers that all collide under the seeds below ``first``."""
+    return lambda chunk, seed: b"same" * 4 if seed < first else m.identifier(chunk, seed)
+
+
+@pytest.mark.parametrize("tasks", [1, 3])
+def test_identifiers_that_collide_are_seen_and_made_anew(spark, tasks):
+    """Within one task and across tasks."""
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string").repartition(tasks, "doc_id")
+    assert [r["verified"] for r in m.chunk_store(df, identify=colliding(1)).collect()] == [False]
+    assert sorted((r["content"], r["verified"]) for r in m.chunk_store(df, seed=1, identify=colliding(1)).collect()) == [(b"a", True), (b"b", True)]
+    assert sorted((r["doc_id"], r["keep_id"]) for r in m.exact_dedup(df, identify=colliding(2)).collect()) == [(1, 1), (2, 1), (3, 3)]
+    with pytest.raises(ValueError):
+        m.exact_dedup(df, identify=colliding(99))
+
+
+def test_equal_chunks_of_a_task_are_handed_on_once(spark):
+    docs = spark.createDataFrame([("a",), ("a",), ("b",)], "text string").coalesce(1)
+    rows = [b for b in m._chunk_rows(0)(iter(docs.toArrow().to_batches()))]
+    assert sorted(c for b in rows for c in b.column(1).to_pylist()) == [b"a", b"b"]
+
+
+def test_keep_first_when_a_third_of_the_rows_repeat_one_row(spark):
+    docs = [(1, "x y")] * 40 + [(k, "x  y") for k in range(2, 40)] + [(k, f"t{k % 50}") for k in range(40, 120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    first = {}
+    for i, t in sorted(docs):
+        first.setdefault(" ".join(t.split()), (i, t))
+    assert sorted(tuple(r) for r in m.keep_first(df).collect()) == sorted(first.values())
