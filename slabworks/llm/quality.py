@@ -6,6 +6,9 @@ Class log-count ratios come from all labelled texts of the training folds, count
 Spark. Indicators scaled by these ratios, at unit length, train a linear model with
 hinge loss by dual coordinate descent on a bounded sample; a logistic curve fitted on
 margins of texts left out of the fit turns margins into scores.
+
+Texts meet their labels in one join, the same at every size, and only texts that
+(nearly surely) have a label are moved for it: see ``common.maybe``.
 """
 
 from __future__ import annotations
@@ -18,20 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, saved, texts, with_id
+from .common import fold, maybe, scratch, texts, with_id
 
 BYTE_BITS, CLASS_BITS, REPEATS = 16, 14, 16
 SIZE = (1 << BYTE_BITS) + (1 << CLASS_BITS) + REPEATS + 1
 BIAS = SIZE - 1
 ROWS_PER_CLASS = 2000
 COST, EPOCHS = 1.0, 20
-BROADCAST_LABELS = 2_000_000
+FIT_FEATURES = 16_000_000  # indicators of all texts of the fit
 _MULTIPLY = np.uint32(2654435761)
 _CLASS = np.array([32 if b in (9, 10, 11, 12, 13, 32) else 97 if b >= 128 or 97 <= b <= 122 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256)], np.uint32)
 
 
-def features(raw: bytes) -> np.ndarray:
-    """Sorted indices of a whole text's indicators; an empty text has the bias alone."""
+def indicators(raw: bytes) -> np.ndarray:
+    """Which indicators a whole text has; an empty text has the bias alone."""
     on = np.zeros(SIZE, bool)
     on[BIAS] = True
     b = np.frombuffer(raw, np.uint8)
@@ -52,7 +55,12 @@ def features(raw: bytes) -> np.ndarray:
         same = sum(map(bytes.__eq__, words[1:], words))
         level = 0 if not same else max(1, min(REPEATS - 1, REPEATS - 1 + int(np.floor(np.log2(same / len(words))))))
         on[(1 << BYTE_BITS) + (1 << CLASS_BITS) : (1 << BYTE_BITS) + (1 << CLASS_BITS) + level + 1] = True
-    return np.flatnonzero(on).astype(np.int32)
+    return on
+
+
+def features(raw: bytes) -> np.ndarray:
+    """Sorted indices of a text's indicators."""
+    return np.flatnonzero(indicators(raw)).astype(np.int32)
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,10 +84,28 @@ def log_ratios(labelled: DataFrame) -> np.ndarray:
     return np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum())
 
 
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Indicators as bits: a row takes ``SIZE / 8`` bytes however long its text is."""
     for batch in batches:
-        found = [features(raw).tobytes() for raw in texts(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["h", "features", "label"])
+        found = [np.packbits(indicators(raw)).tobytes() for raw in texts(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["h", "bits", "label"])
+
+
+def in_fit(found: list[tuple[int, bytes, int]], most: int = FIT_FEATURES) -> list[tuple[np.ndarray, int]]:
+    """``features, label`` of ``h, bits, label``: classes in turn, lowest hashes first, while all features are ``most`` or fewer; the rows of lowest hash of either class always."""
+    turn: dict[int, int] = {}
+    ranked = []
+    for h, bits, label in sorted(found):
+        turn[label] = turn.get(label, -1) + 1
+        ranked.append((turn[label], label, h, bits))
+    out, size = [], 0
+    for k, label, _, bits in sorted(ranked):
+        row = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))[:SIZE]).astype(np.int32)
+        size += len(row)
+        if k and size > most:
+            break
+        out.append((row, label))
+    return out
 
 
 def descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = 0) -> np.ndarray:
@@ -87,7 +113,7 @@ def descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: floa
 
     Each step solves for one multiplier exactly, within 0 and ``cost``; classes weigh alike.
     """
-    values = [unit(scale[i]) for i in rows]
+    values = [unit(scale[i]).astype(np.float32) for i in rows]
     w, alpha = np.zeros(len(scale)), np.zeros(len(rows))
     share = {c: len(y) / (2 * max(1, (y == c).sum())) for c in (-1, 1)}
     top = cost * np.array([share[c] for c in y])
@@ -158,29 +184,40 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, share: fl
     return Model(descend(rows, y, scale), scale, slope, offset)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = ROWS_PER_CLASS) -> Model | None:
+def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, save) -> DataFrame:
+    """``id, text, label`` of every row of ``docs`` with a label, written once."""
+    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("label")).where("id IS NOT NULL")
+    known = save(known, "labels")
+    rows = maybe(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), F.col("id"), known, F.col("id"))
+    return save(rows.where("__maybe").drop("__maybe").join(known.hint("merge"), "id"), "labelled")
+
+
+def fit_sample(labelled: DataFrame, per_class: int) -> DataFrame:
+    """``h, bits, label`` of ``per_class`` texts of each class at most: one of each id, those whose ids hash lowest."""
+    keyed = labelled.withColumn("h", F.xxhash64("id")).withColumn("t", F.xxhash64("text"))
+    ids = keyed.groupBy("label", "h", "id").agg(F.min("t").alias("t"))
+    low, high = (ids.where(F.col("label") == c).orderBy("h", "id").limit(per_class) for c in (0, 1))
+    rows = keyed.join(F.broadcast(low.unionByName(high)), ["label", "h", "id", "t"]).dropDuplicates(["label", "h", "id"])
+    return rows.select("h", "text", "label").mapInArrow(_packed_rows, "h long, bits binary, label int")
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = ROWS_PER_CLASS, most: int = FIT_FEATURES) -> Model | None:
     """A model of ``label`` (0 or 1); None without labelled texts.
 
-    Ratios cover all labelled texts; the fit takes those of each class, ``per_class``
-    at most, whose id hashes lowest. An id with several labels has the largest; rows
-    without an id or a label teach nothing.
+    Ratios cover all labelled texts, repeated rows as often as they stand; the fit takes
+    one text of each id, ``per_class`` of each class and ``most`` indicators in all at
+    most, those whose ids hash lowest (equal hashes by id; of an id's texts that with the
+    lowest hash). An id with several labels has the largest; rows without an id or a label
+    teach nothing. A text of any length is ``SIZE`` bits to the driver.
     """
-    known = saved(labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("label")).where("id IS NOT NULL"), "labels")
-    if known.count() <= BROADCAST_LABELS:  # more of them meet the texts in a shuffle
-        known = F.broadcast(known)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    have = rows.select("id").join(known, "id")
-    counts = {r["label"]: r["count"] for r in have.groupBy("label").count().collect()}
-    if not counts:
-        return None
-    scale = log_ratios(rows.join(known, "id"))
-    picked = []
-    for c in sorted(counts):
-        picked += have.where(F.col("label") == c).select("id", "label", F.xxhash64("id").alias("h")).distinct().orderBy("h", "id").limit(per_class).collect()
-    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in picked], have.select("id", "label", F.xxhash64("id").alias("h")).schema)
-    sample = rows.join(F.broadcast(chosen), "id").select("h", "text", "label").mapInArrow(_feature_rows, "h long, features binary, label int")
-    found = sorted((r["h"], bytes(r["features"]), r["label"]) for r in sample.collect())  # 2 * per_class rows, or a few more where ids repeat
-    return fit([np.frombuffer(f, np.int32) for _, f, _ in found], np.array([y for *_, y in found]), scale, counts.get(1, 0) / sum(counts.values()))
+    with scratch(docs.sparkSession) as save:
+        labelled = labelled_texts(docs, labels, id_col, text, label, save)
+        counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+        if not counts:
+            return None
+        scale = log_ratios(labelled)
+        found = in_fit([(r["h"], bytes(r["bits"]), r["label"]) for r in fit_sample(labelled, per_class).collect()], most)
+    return fit([row for row, _ in found], np.array([y for _, y in found]), scale, counts.get(1, 0) / sum(counts.values()))
 
 
 def _score_rows(model: Model | None):
@@ -196,7 +233,8 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: st
     """``id_col, score`` (0 to 1, higher: label 1 likelier) of every whole text.
 
     Null and empty texts are scored by the bias alone; without a model every score is
-    0.5. Ids may be null or repeat; other columns aren't read; no rows give no rows.
+    0.5. Ids may be null or repeat; other columns aren't read; no rows give no rows. Texts
+    that agree have the same score; a text's memory is some 20 times its length.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(_score_rows(model), with_id(docs, id_col, "score double")).withColumnRenamed("id", id_col)
