@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOOKED_UP = 8
+SPAN, SHIFT = 1 << 32, 1 << 10  # of a candidate: room for its start, which may be below zero
 
 # Base phrases with their labels.
 BASE = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")]
@@ -87,7 +88,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", base=BASE,
     template's weight whose words stand in place) and if it is a base phrase.
     ``score`` is the best coverage, 0 without a match. A null text counts as empty;
     a file without licence words has no match, null places and empty labels; ids may be
-    null or repeat; other columns aren't read; no rows give no rows.
+    null or repeat; other columns aren't read; no rows give no rows. Places that tie
+    are each listed, by start and label. Time and memory are linear in a text's words,
+    with a factor of the postings of its licence words.
     """
     all_templates = collection(base, templates)
     vocabulary = sorted({w for t in all_templates for w in t["words"]} - set(STOP))
@@ -103,11 +106,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", base=BASE,
             postings[t["words"][k]].append({"t": n, "at": k})
         weight = [idf[w] if w in rank else 1.0 for w in t["words"]]
         parts = [{"at": k, "word": w, "weight": weight[k] / sum(weight)} for k, w in enumerate(t["words"])]
-        table.append({"label": t["label"], "base": t["base"], "parts": parts, "size": len(t["words"]), "key": " ".join(t["key"]), "key_at": t["key_at"], "key_size": len(t["key"])})
+        table.append({"label": t["label"], "base": t["base"], "parts": parts, "size": len(t["words"]), "first": t["key"][0], "key": " ".join(t["key"]), "key_at": t["key_at"], "key_size": len(t["key"])})
     always = sorted({min((w for w in t["key"] if w in rank), key=rank.get) for t in all_templates})
 
     part = "array<struct<at:int,word:string,weight:double>>"
-    templates_ = _literal(table, f"array<struct<label:string,base:boolean,parts:{part},size:int,key:string,key_at:int,key_size:int>>")
+    templates_ = _literal(table, f"array<struct<label:string,base:boolean,parts:{part},size:int,first:string,key:string,key_at:int,key_size:int>>")
     postings_ = _literal(postings, "map<string,array<struct<t:int,at:int>>>")
     ranks_ = _literal(rank, "map<string,int>")
     by_rank = F.array_sort(F.transform(F.array_intersect("words", F.array(*map(F.lit, vocabulary))), lambda w: F.struct(ranks_[w].alias("rank"), w.alias("word"))))
@@ -115,18 +118,28 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", base=BASE,
     looked = F.array_union(best, F.array_intersect(F.transform(by_rank, lambda x: x["word"]), F.array(*map(F.lit, always))))
     found = rows.withColumn("n_words", F.size("words").cast("long")).withColumn("looked", looked)
     places = F.when(F.size("looked") > 0, F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains("looked", F.get("words", i)))).otherwise(F.array().cast("array<int>"))
-    shifted = F.flatten(F.transform(places, lambda i: F.transform(postings_[F.get("words", i)], lambda p: F.struct(p["t"].alias("t"), (i - p["at"]).alias("start")))))
+    shifted = F.flatten(F.transform(places, lambda i: F.transform(postings_[F.get("words", i)], lambda p: p["t"].cast("long") * SPAN + (i - p["at"] + SHIFT))))
+    # a candidate is one long, its template above its start: arrays of longs are made distinct by hashing
     found = found.withColumn("starts", F.array_distinct(shifted))
 
+    def template(c: Column) -> Column:
+        return F.get(templates_, (c / SPAN).cast("int"))
+
+    def start(c: Column) -> Column:
+        return (c % SPAN).cast("int") - SHIFT
+
+    def key_stands(c: Column) -> Column:
+        t, key_from = template(c), start(c) + template(c)["key_at"]
+        first = F.get("words", F.when(key_from >= 0, key_from)) == t["first"]  # most candidates end here
+        return F.when(first, F.array_join(F.slice("words", key_from + 1, t["key_size"]), " ") == t["key"]).otherwise(F.lit(False))
+
     def judged(c: Column) -> Column:
-        t = F.get(templates_, c["t"])
-        stands = F.filter(t["parts"], lambda p: F.get("words", F.when(c["start"] + p["at"] >= 0, c["start"] + p["at"])) == p["word"])
-        key_from = c["start"] + t["key_at"]
-        key = F.when(key_from >= 0, F.array_join(F.slice("words", F.greatest(key_from, F.lit(0)) + 1, t["key_size"]), " ")) == t["key"]
+        t = template(c)
+        stands = F.filter(t["parts"], lambda p: F.get("words", F.when(start(c) + p["at"] >= 0, start(c) + p["at"])) == p["word"])
         coverage = F.aggregate(stands, F.lit(0.0), lambda a, p: a + p["weight"])
-        return F.struct(t["label"].alias("label"), c["start"].cast("long").alias("start"), F.least(F.round(coverage, 9), F.lit(1.0)).alias("coverage"), t["base"].alias("base"), F.coalesce(key, F.lit(False)).alias("ok"))
+        return F.struct(t["label"].alias("label"), start(c).cast("long").alias("start"), F.least(F.round(coverage, 9), F.lit(1.0)).alias("coverage"), t["base"].alias("base"))
 
-    found = found.withColumn("matches", F.filter(F.transform("starts", judged), lambda m: m["ok"]))
+    found = found.withColumn("matches", F.transform(F.filter("starts", key_stands), judged))
     found = found.select("id", "n_words", F.array_sort(F.transform("matches", lambda m: F.struct(m["start"], m["label"], m["coverage"], m["base"]))).alias("matches"))
     base_ = found.withColumn("base", F.filter("matches", lambda m: m["base"]))
     label = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda m: m["label"]))), ",")
