@@ -7,8 +7,9 @@ the parser doesn't give back the role and the text, the text conflicts with the
 grammar and is escaped: a backslash is put before every control string and every
 backslash. Most texts need no escape and stay as they are.
 
-Every control string that isn't escaped ends the text, so turns that come back one by
-one also come back from their conversation.
+A conversation's text is its rendered turns one after another. It is read back as such:
+the parser gets the running text and isn't told where a turn was added, and the loss
+mask, spans in that text, says what is learnt.
 """
 
 from __future__ import annotations
@@ -46,30 +47,36 @@ def render(role: str, text: str) -> tuple[str, int]:
     return opener + text + closer, len(opener)
 
 
-def parse(formatted: str) -> list[tuple[str, int, int]] | None:
-    """``role, start, end`` of each turn's escaped text; None if the grammar doesn't fit."""
-    out, at = [], 0
-    while at < len(formatted):
-        opener = _TOKEN.match(formatted, at)
+def parse_part(formatted: str) -> tuple[list[tuple[str, int, int]], int]:
+    """``role, start, end`` of the escaped text of each whole turn in front, and how much of the text these take."""
+    out, done = [], 0
+    while done < len(formatted):
+        opener = _TOKEN.match(formatted, done)
         if not opener or not opener[2]:
-            return None
+            break
         at = opener.end()
         if opener[2] == OTHER[0]:
             end = next((m for m in _ROLE_END.finditer(formatted, at) if m[2]), None)
             if not end:
-                return None
+                break
             role, closer = _ROLE_END.sub(lambda m: m[1] or m[0], formatted[at : end.start()]), OTHER[1]
             at = end.end()
         elif opener[2] in _ROLE_OF:
             role, closer = _ROLE_OF[opener[2]]
         else:
-            return None
+            break
         end = next((m for m in _TOKEN.finditer(formatted, at) if m[2]), None)
         if not end or end[2] != closer:
-            return None
+            break
         out.append((role, at, end.start()))
-        at = end.end()
-    return out
+        done = end.end()
+    return out, done
+
+
+def parse(formatted: str) -> list[tuple[str, int, int]] | None:
+    """The turns of a whole text; None if the grammar doesn't fit."""
+    turns, done = parse_part(formatted)
+    return turns if done == len(formatted) else None
 
 
 def recovered(formatted: str) -> list[tuple[str, str]] | None:
@@ -117,50 +124,65 @@ def format_turns(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
     return rows.mapInArrow(_format_rows, schema)
 
 
-def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of conversations whose segments come one after another; holds one segment at a time."""
+class _Reader:
+    """Reads one conversation's text as it grows; holds what isn't a whole turn yet."""
 
-    def fresh():
-        return [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+    def __init__(self):
+        self.rest, self.n_turns, self.n_chars, self.n_learnt = "", 0, 0, 0
+        self.turns, self.learnt = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, piece: str, start: int, end: int, loss: bool) -> None:
+        """More text; where ``loss``, ``start`` to ``end`` of it is under the mask."""
+        self.n_chars += len(piece)
+        if loss:
+            text = unescape(piece[start:end])
+            self.n_learnt += len(text)
+            self.learnt.update(text.encode())
+        self.rest += piece
+        turns, done = parse_part(self.rest)
+        for role, a, b in turns:
+            self.n_turns += 1
+            self.turns.update(f"{role}\n{unescape(self.rest[a:b])}\n".encode())
+        self.rest = self.rest[done:]
+
+    def row(self, conv) -> tuple:
+        if self.rest:
+            raise ValueError(f"conversation {conv}: {self.rest!r} isn't of the grammar")
+        return conv, self.n_turns, self.turns.hexdigest(), self.n_learnt, self.learnt.hexdigest(), self.n_chars
+
+
+def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of conversations whose pieces come one after another."""
+    now, reader, kind = None, None, None
 
-    def made(done):
-        ids, rest = [d[0] for d in done], [d[1] for d in done]
-        cols = [[r[0] for r in rest], [r[1].hexdigest() for r in rest], [r[2] for r in rest], [r[3].hexdigest() for r in rest], [r[4] for r in rest]]
-        return pa.RecordBatch.from_arrays([pa.array(ids, kind), *map(pa.array, cols)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+    def made(done: list[tuple]) -> pa.RecordBatch:
+        conv, *rest = zip(*done, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(conv, kind), *map(pa.array, rest)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    now, state, kind, begun = None, fresh(), None, False
     for batch in batches:
         done, kind = [], batch.column(0).type
-        for conv, segment, loss in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if begun and conv != now:
-                done.append((now, state))
-                state = fresh()
-            now, begun = conv, True
-            turns = parse(segment)
-            if turns is None:
-                raise ValueError(f"conversation {conv}: {segment!r} isn't of the grammar")
-            for role, a, b in turns:
-                text = unescape(segment[a:b])
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                if loss:
-                    state[2] += len(text)
-                    state[3].update(text.encode())
-            state[4] += len(segment)
+        for conv, *piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if reader is None or conv != now:
+                if reader is not None:
+                    done.append(reader.row(now))
+                now, reader = conv, _Reader()
+            reader.add(*piece)
         if done:
             yield made(done)
-    if begun:
-        yield made([(now, state)])
+    if reader is not None:
+        yield made([reader.row(now)])
 
 
 def read_back(turns: DataFrame) -> DataFrame:
-    """Parse rendered turns again: ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``.
+    """Read conversations' texts and masks: ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``.
 
-    Segments are sorted to their conversation and streamed, so that a conversation of
-    any length takes the memory of one segment.
+    Segments are sorted to their conversation and read as one running text, so that a
+    conversation of any length takes the memory of its longest turn; as its digest runs
+    through all of it, one task reads it. A text that isn't of the grammar is an error.
     """
     kind = dict(turns.dtypes)["conv_id"]
-    rows = turns.repartition("conv_id").sortWithinPartitions(F.col("conv_id"), F.col("turn").asc_nulls_first(), "role", "text").select("conv_id", "segment", "loss")
+    rows = turns.repartition("conv_id").sortWithinPartitions(F.col("conv_id"), F.col("turn").asc_nulls_first(), "role", "text")
+    rows = rows.select("conv_id", "segment", "text_start", "text_end", "loss")
     return rows.mapInArrow(_read_rows, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
