@@ -2,9 +2,10 @@ import subprocess
 import sys
 
 import corpus_pipeline as p
+from pyspark.sql import functions as F
 from tables import EDGES, rows
 from test_decontaminate import fewest
-from test_simhash import plain, reach
+from test_jaccard import reach
 
 from slabworks.llm import decontaminate, piece_codec
 from slabworks.llm.language_id import has_letter
@@ -22,8 +23,8 @@ def brute(docs, items):
         first.setdefault(_squeezed(t), (i, t))
     left = sorted(first.values())
     yield {i for i, _ in left}
-    ids = [i for i, _ in left]
-    left = [(i, t) for (i, t), r in zip(left, reach([plain(t) for _, t in left], ids)) if r == i]
+    root = reach(left)  # five words, similarity of 0.8 or more
+    left = [(i, t) for i, t in left if root[i] == i]
     yield {i for i, _ in left}
     texts = [(i, t, decontaminate.normalise(t.encode())) for i, t in left]
     left = [(i, t) for i, t, n in texts if not any((x in n) or (len(n) < 4000 and fewest(x, n) <= decontaminate.budget(len(x))) for x in items)]
@@ -65,6 +66,15 @@ def test_edges_and_empty_tables(spark, tmp_path):
     assert docs.count() == 5
 
 
+def test_language_stage_decides_by_its_model(spark):
+    """A text with letters goes where the model finds it far from every language; without a model it stays."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    far = spark.createDataFrame([(10**9, "Это тест для определения языка, который должен быть отклонён. " * 3)], "doc_id long, text string")
+    docs = docs.unionByName(far, allowMissingColumns=True)
+    assert p.identify_language(spark, docs, SF).where("doc_id = 1000000000").count() == 0
+    assert p.identify_language(spark, docs.withColumn("lang", F.lit(None).cast("string")), SF).where("doc_id = 1000000000").count() == 1
+
+
 def test_the_rest_works_without_this_subpackage():
     code = "import sys; sys.modules['slabworks.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q), q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=p.__file__.rpartition("/")[0])
