@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -25,15 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can see: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test, a notebook) gets a temporary
-    folder of this machine.
+    Only a session of one machine (``local[…]``) without that setting gets a temporary
+    folder, one for the session, which is deleted when the driver ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _FALLBACK.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="slabworks-"))
+    app = spark.sparkContext.applicationId
+    if app not in _FALLBACK:
+        _FALLBACK[app] = tempfile.mkdtemp(prefix="slabworks-")
+        atexit.register(shutil.rmtree, _FALLBACK[app], True)
+    return _FALLBACK[app]
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
@@ -94,7 +100,10 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "s
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of workers that get whole texts; a session's own settings stay."""
+    """Bound the memory of workers that get whole texts; a session's own settings stay.
+
+    Results are lazy, so the settings hold for the session from here on.
+    """
     importable(spark)
     for key, (default, ours) in BATCHES.items():
         if default is None or spark.conf.get(key) == default:

@@ -8,6 +8,8 @@ Capacities are the row count shared out exactly, so shards differ by at most one
 Rows never visit the driver. It sees the number of rows of each arc, a list whose
 length is fixed by the ring, works out which ranks of each arc overflow where, and
 gives the ranges back as a table of bounded size that is joined with the ranked rows.
+Ranks are counted in ``PARTS`` parts of each arc, told apart by a hash of the whole row,
+so that the rows of one id, however many, are ranked by as many tasks.
 """
 
 from __future__ import annotations
@@ -17,8 +19,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import saved
+
 VIRTUAL_NODES = 64
 SLOTS = 1 << 16
+PARTS = 64
 
 
 def ring(spark: SparkSession, shards: int, virtual_nodes: int = VIRTUAL_NODES, slots: int = SLOTS) -> DataFrame:
@@ -79,7 +84,8 @@ def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", virtual_nod
 
     Counts differ by at most one. A row's place on the ring is the hash of its id; a
     null id's is the hash of the other columns, ids may repeat, and rows that agree in every
-    column may take each other's places. Columns of the same names are replaced. No
+    column may take each other's places. Columns of the same names are replaced; names
+    that begin with two underscores are the operator's own and mustn't be there. No
     rows give no rows.
     """
     spark = docs.sparkSession
@@ -89,18 +95,23 @@ def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", virtual_nod
         raise ValueError(f"no virtual node is left of shards {sorted(missing)}: raise virtual_nodes or slots")
     others = [c for c in docs.columns if c not in (id_col, "shard", "slot") and docs.schema[c].dataType.typeName() not in ("map", "variant")]
     place = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit("null"), *others)).otherwise(F.xxhash64(F.lit("row"), F.col(id_col)))
-    rows = docs.drop("shard", "slot").withColumn("__hash", place).withColumn("__slot", F.pmod("__hash", F.lit(slots)))
+    part = F.pmod(F.xxhash64(F.lit("part"), F.col(id_col), *others), F.lit(PARTS))
+    rows = docs.drop("shard", "slot").withColumn("__hash", place).withColumn("__slot", F.pmod("__hash", F.lit(slots))).withColumn("__part", part)
     rows = rows.join(F.broadcast(slot_table(nodes, slots)), "__slot")  # ``slots`` rows, whatever the input
+    sizes = saved(rows.groupBy("__arc", "__part").agg(F.count(F.lit(1)).alias("__n")), "arcs")  # ``PARTS`` rows for each arc at most
     counts = [0] * len(owner)
-    for r in rows.groupBy("__arc").count().collect():  # a row for each arc
-        counts[r["__arc"]] = r["count"]
+    for r in sizes.groupBy("__arc").agg(F.sum("__n").alias("n")).collect():  # a row for each arc
+        counts[r["__arc"]] = r["n"]
+    before = Window.partitionBy("__arc").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__arc", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     plan = flow(counts, owner, shares(sum(counts), shards))
     kind = "array<struct<__of:int,__first:bigint,__last:bigint,shard:int,__at:bigint>>"
     names = ("__of", "__first", "__last", "shard", "__at")
     listed = F.from_json(F.lit(json.dumps([dict(zip(names, p, strict=True)) for p in plan])), kind)
     table = spark.range(1).select(F.inline(listed))
     order = ["__hash", id_col, *others]
-    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__arc").orderBy(*order)) - 1)
+    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__arc", "__part").orderBy(*order)) - 1)
+    ranked = ranked.join(F.broadcast(starts), ["__arc", "__part"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
     placed = ranked.join(F.broadcast(table), (F.col("__arc") == F.col("__of")) & (F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__last")))
     return placed.withColumn("slot", F.col("__at") + F.col("__rank") - F.col("__first")).select(*[c for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
 

@@ -119,7 +119,7 @@ def _edge_rows(distance: int):
     masks = _masks(distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        rest: list[tuple] = []  # of the last key, which may go on in the next batch
 
         def found(way, key, fp):
             """Edges of the keys that are complete here."""
@@ -132,18 +132,21 @@ def _edge_rows(distance: int):
             return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            cols[2] = cols[2].view(np.uint64)
-            way, key, fp = (np.concatenate(x) for x in zip(rest, cols, strict=True))
+            way, key, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             if not len(way):
                 continue
+            fp = fp.view(np.uint64)
             other = np.flatnonzero((way != way[-1]) | (key != key[-1]))
-            last = int(other[-1]) + 1 if len(other) else 0  # the last key may go on in the next batch
-            rest = (way[last:], key[last:], fp[last:])
-            if last:
+            last = int(other[-1]) + 1 if len(other) else 0
+            if rest and (last or (rest[0][0][0], rest[0][1][0]) != (way[0], key[0])):
+                parts = [*rest, (way[:last], key[:last], fp[:last])]
+                rest = []
+                yield found(*map(np.concatenate, zip(*parts, strict=True)))
+            elif last:
                 yield found(way[:last], key[:last], fp[:last])
-        if len(rest[0]):
-            yield found(*rest)
+            rest.append((way[last:], key[last:], fp[last:]))
+        if rest:
+            yield found(*map(np.concatenate, zip(*rest, strict=True)))
 
     return run
 

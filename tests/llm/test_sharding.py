@@ -65,3 +65,50 @@ def test_edges(spark):
     assert m.shard_rows(df.limit(0), 4).count() == 0
     check(m.shard_rows(df.limit(1), 4).collect(), 4)
     check(m.shard_rows(df, 1).collect(), 1)
+
+
+def walked(rows, shards):
+    """Shard of each row by a walk of the ring row by row: own shards first, then clockwise step by step.
+
+    ``rows`` are in the order of their arcs' ranks, with their arcs; ``shards`` own the arcs.
+    """
+    owner, total = shards
+    n = max(owner) + 1
+    room = [total // n + (s < total % n) for s in range(n)]
+    of, waiting = {}, list(rows)
+    for step in range(len(owner)):
+        left = []
+        for row, arc in waiting:
+            shard = owner[(arc + step) % len(owner)]
+            if room[shard]:
+                room[shard] -= 1
+                of[row] = shard
+            else:
+                left.append((row, arc))
+        waiting = left
+    return of
+
+
+def test_every_row_is_where_a_walk_row_by_row_puts_it(spark):
+    """Hashes by Spark; slots, arcs, ranks and the walk by hand, a third of the rows with one id."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(k if k % 3 else 7, k) for k in range(1200)], "doc_id long, n long")
+    shards, virtual, slots = 5, 8, 256
+    nodes = [(r["s"], r["h"] % slots) for r in spark.range(shards * virtual).select((F.col("id") % shards).cast("int").alias("s"), F.floor(F.col("id") / shards).alias("r")).select("s", F.xxhash64(F.lit("shard"), "s", "r").alias("h")).collect()]
+    ends = {}
+    for s, at in nodes:
+        ends[at] = min(s, ends.get(at, s))
+    lasts = sorted(ends)
+    owner = [ends[x] for x in lasts]
+    hashed = docs.select("n", F.xxhash64(F.lit("row"), "doc_id").alias("h"), "doc_id", F.xxhash64(F.lit("part"), "doc_id", "n").alias("p")).collect()
+    rows = []
+    for r in hashed:
+        slot = r["h"] % slots
+        arc = next((a for a, x in enumerate(lasts) if x >= slot), 0)
+        rows.append(((arc, r["p"] % m.PARTS, r["h"], r["doc_id"], r["n"]), arc))
+    rows.sort()
+    want = {row[-1]: s for row, s in walked(rows, (owner, len(rows))).items()}
+    found = m.shard_rows(docs, shards, virtual_nodes=virtual, slots=slots).collect()
+    assert {r["n"]: r["shard"] for r in found} == want
+    check(found, shards)
