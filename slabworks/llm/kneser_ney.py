@@ -1,23 +1,29 @@
-"""LM scoring by an interpolated modified Kneser-Ney model of order 2 or 3.
-
-Tokens and bigrams are counted in Spark: each task hands on sorted, summed arrays, cut
-into hash buckets, and each bucket's arrays are merged by one task. The merged tables
-are sorted hash arrays in the shared folder, which every worker maps into memory to
-score texts; neither counts nor tables ever pass the driver. It gets one row a bucket:
-the table's length and its counts of counts.
-
-A word is known by the XXH64 of its bytes and then by its rank in the sorted hash
-array. A bigram is the two ranks in 64 bits, mixed by a function that can be undone,
-so bigrams never collide; two words do with odds of n**2 / 2**65. A trigram is the rank
-of its first two words' bigram and the last word's rank, mixed likewise; texts begin with
-as many empty words as a context has. At order 3, bigrams count by the words before them.
+"""LM scoring by an interpolated modified Kneser-Ney model of any order from 2 on.
+
+Tokens and n-grams are counted in Spark: each task hands on sorted, summed arrays, cut
+into buckets, and each bucket's arrays are merged by one task. The merged tables are
+sorted hash arrays in the shared folder, which every worker maps into memory to score
+texts; neither counts nor tables ever pass the driver. It gets a row or two a bucket: the
+table's length, its counts of counts, and where its contexts' occurrences should be cut.
+
+A word is known by the XXH64 of its bytes, and its number is its rank in the sorted hash
+array; two words collide with odds of n**2 / 2**65. An n-gram is the numbers of the
+(n - 1)-grams that begin and end it, its context and its suffix, and its own number is its
+rank in the order of these. So n-grams never collide, they are ordered by the hashes of
+their words, and an array holds only the suffixes, one context after the other. Texts
+begin with as many empty words as a context has.
+
+A bucket is a range of that order with about as many occurrences as any other: a context
+that has more than a bucket's is cut along its suffixes. The size of a bucket is fixed, so
+their number grows with the input, and with it nothing else that a task holds.
 """
 
 from __future__ import annotations
 
 import os
+from collections import OrderedDict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,24 +33,15 @@ from pyspark.sql import functions as F
 
 from .common import fold, posix, shared_path, texts, with_id, write_atomic
 
+ORDER = 3
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))  # no word holds a line break
 SLICE_TOKENS = 1 << 20
-FLUSH_KEYS = 1 << 23
-_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_33 = np.uint64(33)
-_LOW = np.uint64(0xFFFFFFFF)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _33)) * _M1
-    x = (x ^ (x >> _33)) * _M2
-    return x ^ (x >> _33)
-
-
-def _undo(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _33)) * np.uint64(pow(int(_M2), -1, 1 << 64))
-    x = (x ^ (x >> _33)) * np.uint64(pow(int(_M1), -1, 1 << 64))
-    return x ^ (x >> _33)
+FLUSH_KEYS = 1 << 22
+BUCKET_BYTES = 16 << 20  # of text, which has about a token for every four bytes
+BYTES_PER_TOKEN = 4
+OPEN_FILES = 8192
+LARGE = 255
+_CODEC = "zstd"
 
 
 def token_hashes(raws: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -66,6 +63,39 @@ def token_hashes(raws: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray
         yield np.concatenate(parts), np.array(ends)
 
 
+# Arrays as bytes: what is sent between tasks.
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, byte plane by byte plane, compressed; the first is sorted and goes as differences."""
+    codec, head = pa.Codec(_CODEC, compression_level=1), arrays[0].astype(np.uint64)
+    out = [np.array([len(head), head[0] if len(head) else 0], np.uint64).tobytes()]
+    for x in (np.diff(head, prepend=head[:1]), *arrays[1:]):
+        width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+        planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+        body = codec.compress(planes.tobytes(), asbytes=True)
+        out += [np.array([width, len(body)], np.uint64).tobytes(), body]
+    return b"".join(out)
+
+
+def unpacked(raw: bytes) -> list[np.ndarray]:
+    codec = pa.Codec(_CODEC)
+    n, first = np.frombuffer(raw, np.uint64, 2).tolist()
+    out, at = [], 16
+    while at < len(raw):
+        width, size = np.frombuffer(raw, np.uint64, 2, at).tolist()
+        planes = np.frombuffer(codec.decompress(raw[at + 16 : at + 16 + size], width * n, asbytes=True), np.uint8).reshape(width, n)
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = planes.T
+        out.append(x.view("<u8").reshape(-1))
+        at += 16 + size
+    out[0] = np.cumsum(out[0], dtype=np.uint64) + np.uint64(first)
+    return out
+
+
+# Sums.
+
+
 def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sum of the counts (1 each if not given) of each."""
     if counts is None:
@@ -76,53 +106,22 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Counts in the narrowest unsigned type, told by a letter in front."""
-    t = np.min_scalar_type(int(x.max())) if len(x) else np.dtype(np.uint8)
-    return t.char.encode() + x.astype(t).tobytes()
-
+def grouped(c: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts pairs, where each distinct pair begins in it, and the distinct pairs."""
+    if not len(c):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), c, s
+    bits = int(s.max()).bit_length()
+    order = np.argsort(c << bits | s) if int(c.max()).bit_length() + bits < 64 else np.lexsort((s, c))
+    c, s = c[order], s[order]
+    first = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (s[1:] != s[:-1])))
+    return order, first, c[first], s[first]
 
-def unpacked(x: bytes) -> np.ndarray:
-    return np.frombuffer(x[1:], np.dtype(x[:1].decode())).astype(np.int64)
 
-
-def by_bucket(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
-    """A row for each bucket (the keys' top bits) of sorted keys."""
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    at = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(keys))
-    spans = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[at[:-1]].astype(np.int32)), pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([packed(counts[a:b]) for a, b in spans], pa.binary())],
-        ["bucket", "keys", "counts"],
-    )
-
-
-def _counted(slices: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
-    """Sums keys and hands them on by bucket; holds ``FLUSH_KEYS`` of them or so."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-    for keys in slices:
-        held.append(summed(keys))
-        size += len(held[-1][0])
-        if size > FLUSH_KEYS:
-            k, c = summed(*map(np.concatenate, zip(*held, strict=True)))
-            held, size = [(k, c)], len(k)
-            if size > FLUSH_KEYS // 2:
-                yield by_bucket(k, c, bits)
-                held, size = [], 0
-    if held:
-        k, c = summed(*map(np.concatenate, zip(*held, strict=True)))
-        if len(k):
-            yield by_bucket(k, c, bits)
-
-
-def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    ks, cs = [], []
-    for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True):
-        ks.append(np.frombuffer(k, np.uint64))
-        cs.append(unpacked(c))
-    return summed(np.concatenate(ks), np.concatenate(cs)) if ks else (keys, counts)
+def summed_pairs(c: np.ndarray, s: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order, first, c, s = grouped(c, s)
+    if not len(order):
+        return c, s, np.zeros(0, np.int64)
+    return c, s, np.diff(np.append(first, len(order))) if counts is None else np.add.reduceat(counts[order], first)
 
 
 def counts_of_counts(c: np.ndarray) -> list[int]:
@@ -137,320 +136,460 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.0), float(k)) for k, d in enumerate(out, 1))
 
 
-class Mapped:
-    """Arrays of a model file by file, mapped on first use; a folder of a model is never changed once read."""
+# Files of a model: arrays by name and bucket, counts in a byte each but for the large ones.
+
+
+class Files:
+    """Arrays of a model, mapped on first use, the latest ``OPEN_FILES`` of them; a folder of a model is never changed once read."""
 
     def __init__(self, folder: str):
-        self.folder, self.files = folder, {}
+        self.folder, self.files = folder, OrderedDict()
 
-    def __call__(self, name: str, part: int) -> np.ndarray | None:
-        key = f"{name}.{part}"
-        if key not in self.files:
+    def __call__(self, name: str, bucket: int) -> np.ndarray:
+        key = f"{name}.{bucket}"
+        if key in self.files:
+            self.files.move_to_end(key)
+        else:
             path = f"{self.folder}/{key}.npy"
-            a = np.load(path, mmap_mode="r") if os.path.exists(path) else None
-            self.files[key] = np.asarray(a[:]) if a is not None and not a.size else a
+            a = np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, np.int64)
+            self.files[key] = np.asarray(a) if a.size else np.zeros(a.shape, a.dtype)
+            if len(self.files) > OPEN_FILES:
+                self.files.popitem(last=False)
         return self.files[key]
 
+    def counts(self, name: str, bucket: int, at: np.ndarray) -> np.ndarray:
+        out = self(name, bucket)[at].astype(np.int64)
+        large = np.flatnonzero(out == LARGE)
+        if len(large):
+            known = self(f"{name}_large", bucket)
+            out[large] = known[np.searchsorted(known[:, 0], at[large]), 1]
+        return out
 
-def _parts(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    at = np.append(np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])), len(sorted_values)) if len(sorted_values) else np.zeros(1, np.int64)
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        yield int(sorted_values[a]), a, b
-
+    def write(self, name: str, bucket: int, array: np.ndarray) -> None:
+        write_atomic(f"{self.folder}/{name}.{bucket}.npy", array)
 
-def look_up(files: Mapped, name: str, value: str | None, bits: int, keys: np.ndarray, base: np.ndarray | None = None) -> np.ndarray:
-    """For each key its place in the sorted hash array ``name`` (plus the bucket's base), or what ``value`` has there; -1 if it is absent."""
-    distinct, back = np.unique(keys, return_inverse=True)
-    out = np.full(len(distinct), -1, np.int64)
-    for bucket, a, b in _parts((distinct >> np.uint64(64 - bits)).astype(np.int64)):
-        have = files(name, bucket)
-        if have is None or not len(have):
-            continue
-        at = np.minimum(np.searchsorted(have, distinct[a:b]), len(have) - 1)
-        found = have[at] == distinct[a:b]
-        out[a:b][found] = files(value, bucket)[at[found]] if value else base[bucket] + at[found]
-    return out[back]
+    def write_counts(self, name: str, bucket: int, counts: np.ndarray) -> None:
+        self.write(name, bucket, np.minimum(counts, LARGE).astype(np.uint8))
+        if len(large := np.flatnonzero(counts >= LARGE)):
+            self.write(f"{name}_large", bucket, np.stack([large, counts[large]], 1).astype(np.int64))
 
 
-def take(files: Mapped, name: str, shift: int, ids: np.ndarray) -> np.ndarray:
-    """Rows of the array ``name``, kept in parts of ``2**shift`` rows, at ``ids`` of 0 and above."""
-    distinct, back = np.unique(ids, return_inverse=True)
-    parts = [np.asarray(files(name, part)[distinct[a:b] - (part << shift)]) for part, a, b in _parts(distinct >> shift)]
-    return np.concatenate(parts)[back]
+def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """``value, from, to`` of each run."""
+    at = np.append(np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])), len(sorted_values)) if len(sorted_values) else np.zeros(1, np.int64)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield int(sorted_values[a]), a, b
 
 
-def _joined(context: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return mix(context.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64) & _LOW)
+def bisect(array: np.ndarray, lo: np.ndarray, hi: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Of each value its place between ``lo`` and ``hi``, where the array is sorted; -1 if it isn't there."""
+    end, lo, hi = hi, lo.copy(), hi.copy()
+    for _ in range(int((hi - lo).max()).bit_length() if len(lo) else 0):
+        middle = (lo + hi) >> 1
+        less = (lo < hi) & (array[np.minimum(middle, len(array) - 1)] < values)
+        lo, hi = np.where(less, middle + 1, lo), np.where(less, hi, np.maximum(middle, lo))
+    found = (lo < end) & (array[np.minimum(lo, len(array) - 1)] == values) if len(array) else np.zeros(len(lo), bool)
+    return np.where(found, lo, -1)
 
 
-def _followed(before: np.ndarray, ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """What is in ``before`` at the token before each (``first`` for a text's first), and its mix with the token."""
-    context = np.append(first, before[:-1])
-    context[ends[:-1]] = first
-    return context, _joined(context, ids)
+@dataclass
+class Level:
+    """N-grams of one length: where buckets begin in the order of context and suffix, and which numbers they have."""
+
+    k: int
+    contexts: np.ndarray  # where buckets begin: the context, and the suffix in it
+    suffixes: np.ndarray
+    base: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # the first number of each bucket, then the number of all
+    shared: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # contexts that are cut, with their sums over buckets
+    sums: np.ndarray = field(default_factory=lambda: np.zeros((0, 4), np.int64))
+    d: tuple[float, float, float] = (0.5, 0.5, 0.5)
+
+    @property
+    def n(self) -> int:
+        return int(self.base[-1])
+
+    def cuts(self, c: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Where each bucket begins in sorted pairs, and their number."""
+        lo = np.searchsorted(c, self.contexts)
+        for j in np.flatnonzero(self.suffixes).tolist():
+            hi = np.searchsorted(c, self.contexts[j], "right")
+            lo[j] += np.searchsorted(s[lo[j] : hi], self.suffixes[j])
+        return np.append(lo, len(c))
+
+    def buckets(self, c: np.ndarray, s: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        at = self.cuts(c, s)
+        for j in np.flatnonzero(np.diff(at)).tolist():
+            yield j, int(at[j]), int(at[j + 1])
+
+    def n_contexts(self, j: int, n_before: int) -> int:
+        """How many contexts bucket ``j`` has a part of; ``n_before`` is the last, that of texts' beginnings."""
+        if j + 1 == len(self.contexts):
+            return n_before - int(self.contexts[j]) + 1
+        return int(self.contexts[j + 1] - self.contexts[j]) + int(self.suffixes[j + 1] > 0)
+
+    def look_up(self, files: Files, c: np.ndarray, s: np.ndarray, sums: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """The numbers of n-grams of these contexts and suffixes, -1 for one that is absent (or its suffix is -1), and what their contexts add up to."""
+        order, first, dc, ds = grouped(c, np.maximum(s, 0))
+        numbers, found = np.full(len(dc), -1, np.int64), np.zeros((len(dc), 4), np.int64)
+        for j, a, b in self.buckets(dc, ds):
+            at = dc[a:b] - self.contexts[j]
+            begin = files(f"first{self.k}", j)
+            if not len(begin):
+                continue
+            lo, hi = begin[at].astype(np.int64), begin[at + 1].astype(np.int64)
+            place = bisect(files(f"suffix{self.k}", j), lo, hi, ds[a:b])
+            numbers[a:b] = np.where(place >= 0, place + self.base[j], -1)
+            if sums:
+                found[a:b] = _sums_of(files, self.k, j, at, hi - lo)
+        if sums and len(self.shared):
+            at = np.minimum(np.searchsorted(self.shared, dc), len(self.shared) - 1)
+            cut = self.shared[at] == dc
+            found[cut] = self.sums[at[cut]]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        return np.where(s >= 0, numbers[back], -1), found[back] if sums else None
+
+    def values(self, files: Files, name: str, numbers: np.ndarray) -> np.ndarray:
+        """Counts under ``name`` of the n-grams of these numbers."""
+        distinct, back = np.unique(numbers, return_inverse=True)
+        out = np.zeros(len(distinct), np.int64)
+        for j, a, b in _runs(np.searchsorted(self.base, distinct, "right") - 1):
+            out[a:b] = files.counts(name, j, distinct[a:b] - self.base[j])
+        return out[back]
+
+
+def _sums_of(files: Files, k: int, j: int, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of contexts of a bucket: the sum of their n-grams' counts, and how many of these are 1, 2, and 3 or more."""
+    total, one, two = (files.counts(f"{name}{k}", j, at) for name in ("total", "one", "two"))
+    return np.stack([total, one, two, size - one - two], 1)
+
+
+def _write_sums(files: Files, k: int, j: int, first: np.ndarray, counts: np.ndarray, cut: tuple[bool, bool]) -> np.ndarray:
+    """Writes what a bucket's contexts add up to; returns those of its first and last context where these are cut: ``place, total, 1, 2, 3 or more``."""
+    at, size = first[:-1][np.diff(first) > 0], np.diff(first)
+    sums = np.zeros((len(size), 3), np.int64)
+    if len(at):
+        for column, x in enumerate((counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64))):
+            sums[size > 0, column] = np.add.reduceat(x, at)
+    for column, name in enumerate(("total", "one", "two")):
+        files.write_counts(f"{name}{k}", j, sums[:, column])
+    edges = sorted({place for place, is_cut in zip((0, len(size) - 1), cut, strict=True) if is_cut})
+    return np.array([[e, *sums[e], size[e] - sums[e, 1] - sums[e, 2]] for e in edges], np.int64).reshape(-1, 5)
+
+
+def next_cuts(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the contexts of the next length should be cut, by their occurrences: ``place, share of the place's suffixes before it``.
+
+    A bucket's first context begins a bucket, and then every ``most`` occurrences do,
+    within a context only where it has more than that by itself.
+    """
+    cum = np.cumsum(counts)
+    marks = np.arange(most, int(cum[-1]) if len(cum) else 0, most)
+    at = np.searchsorted(cum, marks, "right")
+    share = np.where(counts[at] > most, (marks - (cum[at] - counts[at])) / counts[at], 0.0)
+    places, shares = np.append(0, at), np.append(0.0, share)
+    keep = np.append(True, (np.diff(places) > 0) | (np.diff(shares) > 0))
+    return places[keep], shares[keep]
 
 
 @dataclass
 class Model:
-    """What workers need besides the files; ``base`` has a number for each bucket."""
+    """What workers need besides the files; ``base`` has the first rank of each bucket of words."""
 
     folder: str
     bits: int
-    shift: int
     base: np.ndarray
-    n_words: int
     n_tokens: int
     n_texts: int
-    n_bigrams: int
-    d2: tuple[float, float, float]
-    d1: tuple[float, float, float]
-    rest: float
-    order: int = 2
-    n_trigrams: int = 0
-    base2: np.ndarray | None = None
-    shift2: int = 0
-    d3: tuple[float, float, float] = (0.5,) * 3
-
-    def ids(self, files: Mapped, hashes: np.ndarray) -> np.ndarray:
-        return look_up(files, "word", None, self.bits, hashes, self.base)
-
-    def keys(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The context of each token (the number of words for a text's first) and the mixed bigram."""
-        return _followed(ids, ids, ends, self.n_words)
-
-    def pairs(self, files: Mapped, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The rank of the bigram that ends at each token, -1 if it is absent."""
-        context, keys = self.keys(ids, ends)
-        out, look = np.full(len(ids), -1, np.int64), (context >= 0) & (ids >= 0)
-        out[look] = look_up(files, "bigram", None, self.bits, keys[look], self.base2)
-        return out
-
-    def keys3(self, pairs: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bigram before each token (the number of bigrams for a text's first) and the mixed trigram."""
-        return _followed(pairs, ids, ends, self.n_bigrams)
-
-    def words_of(self, files: Mapped, pairs: np.ndarray) -> np.ndarray:
-        """The second word of the bigrams of these ranks."""
-        distinct, back = np.unique(pairs, return_inverse=True)
-        parts = [_undo(np.asarray(files("bigram", k)[distinct[a:b] - self.base2[k]])) for k, a, b in _parts(np.searchsorted(self.base2, distinct, "right") - 1)]
-        return (np.concatenate(parts) & _LOW).astype(np.int64)[back] if parts else np.zeros(0, np.int64)
+    d1: tuple[float, float, float] = (0.5, 0.5, 0.5)
+    rest: float = 1.0
+    levels: list[Level] = field(default_factory=list)
+
+    @property
+    def order(self) -> int:
+        return len(self.levels) + 1
+
+    @property
+    def n_words(self) -> int:
+        return int(self.base[-1])
+
+    def words(self, files: Files, hashes: np.ndarray, counts: bool = False) -> tuple[np.ndarray, ...]:
+        """Numbers of the words of these hashes, -1 for one that is absent; and their counts and the number of words before them."""
+        distinct, back = np.unique(hashes, return_inverse=True)
+        numbers = np.full(len(distinct), -1, np.int64)
+        found = np.zeros((2, len(distinct)), np.int64)
+        for j, a, b in _runs((distinct >> np.uint64(64 - self.bits)).astype(np.int64)):
+            have = files("word", j)
+            if not len(have):
+                continue
+            at = np.minimum(np.searchsorted(have, distinct[a:b]), len(have) - 1)
+            same = have[at] == distinct[a:b]
+            numbers[a:b][same] = self.base[j] + at[same]
+            if counts:
+                for column, name in enumerate(("count1", "before1")):
+                    found[column, a:b][same] = files.counts(name, j, at[same])
+        return numbers[back], *found[:, back]
+
+    def context(self, level: Level, numbers: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The context of each token: the (k - 1)-gram that ends before it, or that of a text's beginning."""
+        first = self.n_before(level)
+        context = np.append(first, numbers[:-1])
+        context[ends[:-1]] = first
+        return context
+
+    def n_before(self, level: Level) -> int:
+        return self.n_words if level.k == 2 else self.levels[level.k - 3].n
+
+    def pairs(self, files: Files, hashes: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Context and suffix of the k-gram that ends at each token of texts that were counted."""
+        numbers = self.words(files, hashes)[0]
+        for level in self.levels[: k - 2]:
+            numbers = level.look_up(files, self.context(level, numbers, ends), numbers)[0]
+        return self.context(self.levels[k - 2], numbers, ends), numbers
 
 
 def _off(d: tuple[float, float, float], c: np.ndarray) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(c, 3)]
 
 
-def train(docs: DataFrame, text: str = "text", buckets: int | None = None, order: int = 2) -> Model:
-    """Count ``docs`` and write the files of a model of ``order`` 2 or 3; a null or empty text is its end alone.
+_PART = "bucket int, data binary"
+_ROW = "bucket int, kind int, data binary"
+
+
+def _counted(slices: Iterator[tuple], add, cut) -> Iterator[pa.RecordBatch]:
+    """Sums keys and hands them on by bucket; holds ``FLUSH_KEYS`` of them or so."""
+    held, size = [], 0
+
+    def rows(arrays: tuple) -> Iterator[pa.RecordBatch]:
+        spans = list(cut(*arrays))
+        for k in range(0, len(spans), 256):
+            some = spans[k : k + 256]
+            yield pa.RecordBatch.from_arrays([pa.array([j for j, _, _ in some], pa.int32()), pa.array([packed(*(x[a:b] for x in arrays)) for _, a, b in some], pa.binary())], ["bucket", "data"])
+
+    for keys in slices:
+        held.append(add(*keys))
+        size += len(held[-1][0])
+        if size > FLUSH_KEYS:
+            held = [add(*map(np.concatenate, zip(*held, strict=True)))]
+            size = len(held[0][0])
+            if size > FLUSH_KEYS // 2:
+                yield from rows(held[0])
+                held, size = [], 0
+    if held:
+        held = [add(*map(np.concatenate, zip(*held, strict=True)))]
+        if len(held[0][0]):
+            yield from rows(held[0])
+
+
+def _gathered(table: pa.Table, add) -> tuple[np.ndarray, ...]:
+    """The arrays of a bucket from all tasks, put together and summed."""
+    return add(*map(np.concatenate, zip(*(unpacked(x) for x in table.column("data").to_pylist()), strict=True)))
+
+
+def _row(bucket: int, kind: int, *arrays: np.ndarray) -> pa.Table:
+    """A row to the driver, or to a later bucket: arrays of 64-bit values with their lengths."""
+    raw = b"".join(np.int64(len(a.reshape(-1))).tobytes() + np.ascontiguousarray(a).astype(a.dtype if a.dtype == np.float64 else np.int64).tobytes() for a in arrays)
+    return pa.table({"bucket": pa.array([bucket], pa.int32()), "kind": pa.array([kind], pa.int32()), "data": pa.array([raw], pa.binary())})
+
+
+def _arrays(raw: bytes, *kinds) -> list[np.ndarray]:
+    out, at = [], 0
+    for kind in kinds:
+        n = int(np.frombuffer(raw, np.int64, 1, at)[0])
+        out.append(np.frombuffer(raw, kind, n, at + 8))
+        at += 8 + 8 * n
+    return out
 
-    ``buckets`` (a power of two) is at least twice the number of input partitions, so
-    that a bucket's arrays stay smaller than a partition, and each is a task's work.
+
+def _level(k: int, cuts: list[tuple[int, np.ndarray, np.ndarray]], n_before: int, n_texts: int, most: int, range_of) -> Level:
+    """Buckets of the k-grams from the cuts of their contexts; ``range_of`` gives the suffixes that a context can have."""
+    at, share = (np.concatenate([*x, np.zeros(0)]) for x in (zip(*((base + places, shares) for base, places, shares in cuts), strict=True) if cuts else ((), ())))
+    starts = np.arange(0, max(1, n_texts), most) / max(1, n_texts)  # texts' beginnings are a context as well
+    at, share = np.append(at, np.full(len(starts), n_before)).astype(np.int64), np.append(share, starts)
+    suffix = np.zeros(len(at), np.int64)
+    for j in np.flatnonzero(share).tolist():
+        lo, hi = range_of(int(at[j]))
+        suffix[j] = lo + int(share[j] * (hi - lo))
+    pairs = sorted(set(zip(at.tolist(), suffix.tolist(), strict=True)) | {(0, 0)})  # suffix 0: from the context's beginning on
+    return Level(k, np.array([c for c, _ in pairs], np.int64), np.array([s for _, s in pairs], np.int64))
+
+
+def train(docs: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES, order: int = ORDER) -> Model:
+    """Count ``docs`` and write the files of a model; a null or empty text is its end alone, repeated rows count as often as they stand.
+
+    A bucket has the n-grams of about ``bucket_bytes`` of text. A text of any length is
+    read whole by one task, at some 100 bytes a token.
     """
-    if order not in (2, 3):
-        raise ValueError("order must be 2 or 3")
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"))
-    bits = max(4, int(np.ceil(np.log2(buckets or 2 * max(1, rows.rdd.getNumPartitions())))))
+    size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    bits = max(1, int(size // bucket_bytes).bit_length())
+    most = max(1, bucket_bytes // BYTES_PER_TOKEN)
     folder = posix(shared_path(spark, "kneser-ney"))
     os.makedirs(folder, exist_ok=True)
-    part = "bucket int, keys binary, counts binary"
-    out = "bucket int, size long, total long, ends long, n array<long>"
 
-    def summary(bucket: int, keys: np.ndarray, counts: np.ndarray, n: list[int]) -> pa.Table:
-        ends = int(counts[keys == END].sum())
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "size": [len(keys)], "total": [int(counts.sum())], "ends": [ends], "n": pa.array([n], pa.list_(pa.int64()))})
+    def merge(sent: DataFrame, work, tasks: int) -> DataFrame:
+        return sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(work, _ROW)
+
+    # Words.
 
     def tokens(batches):
-        return _counted((h for b in batches for h, _ in token_hashes(texts(b.column(0)))), bits)
+        def cut(keys, _):
+            return _runs((keys >> np.uint64(64 - bits)).astype(np.int64))
+
+        return _counted(((h,) for b in batches for h, _ in token_hashes(texts(b.column(0)))), summed, cut)
 
     def words(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        keys, counts = merged(table)
-        write_atomic(f"{folder}/word.{bucket}.npy", keys)
-        write_atomic(f"{folder}/count.{bucket}.npy", counts)
-        return summary(bucket, keys, counts, [])
+        j, files = table.column("bucket")[0].as_py(), Files(folder)
+        keys, counts = _gathered(table, lambda k, c: summed(k, c.astype(np.int64)))
+        files.write("word", j, keys)
+        files.write_counts("count1", j, counts)
+        return _row(j, 0, np.array([len(keys), counts.sum(), counts[keys == END].sum()]), *next_cuts(counts, most))
 
-    found = rows.mapInArrow(tokens, part).repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(words, out).collect()  # a row for each bucket
+    found = {r["bucket"]: _arrays(r["data"], np.int64, np.int64, np.float64) for r in merge(rows.mapInArrow(tokens, _PART), words, 1 << bits).collect()}
     sizes = np.zeros(1 << bits, np.int64)
-    for r in found:
-        sizes[r["bucket"]] = r["size"]
-    base = np.cumsum(sizes) - sizes
-    n_words, n_tokens, n_texts = int(sizes.sum()), sum(r["total"] for r in found), sum(r["ends"] for r in found)
-    if n_words >= (1 << 32) - 2:
-        raise ValueError("more words than ranks of 32 bits")
-    shift = max(0, int(n_words).bit_length() - bits)
-    model = Model(folder, bits, shift, base, n_words, n_tokens, n_texts, 0, (0.5,) * 3, (0.5,) * 3, 1.0, order)
-
-    def pairs(batches):
-        files = Mapped(folder)
-
-        def slices():
-            for b in batches:
-                for h, ends in token_hashes(texts(b.column(0))):
-                    yield model.keys(model.ids(files, h), ends)[1]
-
-        return _counted(slices(), bits)
-
-    stat = "part int, kind int, ids binary, counts binary"
-    stat_names = ["part", "kind", "ids", "counts"]
-
-    def bigrams(table: pa.Table) -> pa.Table:
-        """Writes a bucket of bigrams; returns, by parts of the ranks, how often contexts and words take part."""
-        bucket = table.column("bucket")[0].as_py()
-        keys, counts = merged(table)
-        write_atomic(f"{folder}/bigram.{bucket}.npy", keys)
-        write_atomic(f"{folder}/bigram_count.{bucket}.npy", np.frombuffer(packed(counts)[1:], packed(counts)[:1].decode()))
-        plain = _undo(keys)
-        context, word = (plain >> np.uint64(32)).astype(np.int64), (plain & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        return shares(bucket, context, counts, word, None, shift)
-
-    def shares(bucket: int, context: np.ndarray, counts: np.ndarray, other: np.ndarray, weights: np.ndarray | None, shift: int) -> pa.Table:
-        """Contexts by their counts, and ``other`` with its weights, by parts of the ranks; then the counts' counts of counts."""
-        cols: list[list] = [[], [], [], []]
-        for kind, ids, w in ((1, context[counts == 1], None), (2, context[counts == 2], None), (3, context[counts >= 3], None), (4, other, weights)):
-            k, c = summed(ids, w)
-            for p, a, b in _parts(k >> shift):
-                for col, v in zip(cols, (p, kind, k[a:b].astype(np.uint32).tobytes(), packed(c[a:b])), strict=True):
-                    col.append(v)
-        n = np.array(counts_of_counts(counts) + [len(counts)], np.int64)
-        for col, v in zip(cols, (-1, bucket, b"", n.tobytes()), strict=True):
-            col.append(v)
-        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=stat_names)
-
-    def ranks(suffix: str, shift: int, n_ids: int):
-        def run(table: pa.Table) -> pa.Table:
-            """Writes a part of the arrays by rank: contexts' counts of counts, words' counts of contexts."""
-            p = table.column("part")[0].as_py()
-            if p < 0:
-                n = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-                return pa.table({"bucket": pa.array([-1], pa.int32()), "size": [int(n[5])], "total": [0], "ends": [0], "n": pa.array([n[:5].tolist()], pa.list_(pa.int64()))})
-            size = min(1 << shift, n_ids - (p << shift))
-            sums = np.zeros((size, 4), np.int64)
-            for kind, ids, counts in zip(*(table.column(c).to_pylist() for c in stat_names[1:]), strict=True):
-                sums[np.frombuffer(ids, np.uint32).astype(np.int64) - (p << shift), kind - 1] += unpacked(counts)
-            write_atomic(f"{folder}/contexts{suffix}.{p}.npy", sums[:, :3].astype(np.uint32 if sums.max() < 2**32 else np.int64))
-            write_atomic(f"{folder}/before{suffix}.{p}.npy", sums[:, 3].astype(np.uint32 if sums.max() < 2**32 else np.int64))
-            return pa.table({"bucket": pa.array([p], pa.int32()), "size": [0], "total": [int(sums[:, 3].sum())], "ends": [0], "n": pa.array([counts_of_counts(sums[:, 3])], pa.list_(pa.int64()))})
-
-        return run
-
-    # Before the parts are written they are put together by part; the rows with part -1 are one for each bucket.
-    stats = rows.mapInArrow(pairs, part).repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(bigrams, stat)
-    found = stats.repartition(1 << bits, "part").groupBy("part").applyInArrow(ranks("", shift, n_words + 1), out).collect()  # a row for each part
-    of_bigrams = next((r for r in found if r["bucket"] < 0), None)
-    if of_bigrams is None:
-        return model
-    n1 = np.sum([r["n"] for r in found if r["bucket"] >= 0], axis=0).tolist()
-    model.n_bigrams = of_bigrams["size"]
-    model.d2, model.d1 = discounts(of_bigrams["n"]), discounts(n1)
-    model.rest = (model.d1[0] * n1[0] + model.d1[1] * n1[1] + model.d1[2] * n1[4]) / model.n_bigrams
-    if order == 2:
+    for j, (about, *_) in found.items():
+        sizes[j] = about[0]
+    model = Model(folder, bits, np.append(0, np.cumsum(sizes)), sum(int(a[1]) for a, *_ in found.values()), sum(int(a[2]) for a, *_ in found.values()))
+    if not model.n_tokens:
         return model
+    cuts = [(int(model.base[j]), places, shares) for j, (_, places, shares) in sorted(found.items())]
+
+    def count(k: int, cuts: list) -> list:
+        """Counts the k-grams and finishes the level below; returns the cuts of the next."""
+        n_before, top, lower = model.n_before(Level(k, *[np.zeros(1, np.int64)] * 2)), k == order, model.levels[-1] if k > 2 else None
+        files = Files(folder)
+
+        def range_of(c: int) -> tuple[int, int]:
+            """Numbers of the (k - 1)-grams that can end a k-gram of context ``c``: those that begin with its last k - 2 words."""
+            if k == 2 or c == n_before:
+                return 0, n_before
+            return _followers(files, model, k - 1, _suffix_of(files, model.levels[k - 3], c))
+
+        level = _level(k, cuts, n_before, model.n_texts, most, range_of)
+        model.levels.append(level)
+        of_lower = model.base if lower is None else lower.base
+
+        def grams(batches):
+            files = Files(folder)
+            slices = (model.pairs(files, h, ends, k) for b in batches for h, ends in token_hashes(texts(b.column(0))))
+            return _counted(slices, summed_pairs, lambda c, s, _: level.buckets(c, s))
+
+        def table_of(table: pa.Table) -> pa.Table:
+            """Writes a bucket's n-grams; returns how many end in each (k - 1)-gram, by the buckets of these, and what the driver needs."""
+            j, files = table.column("bucket")[0].as_py(), Files(folder)
+            c, s, counts = _gathered(table, lambda c, s, n: summed_pairs(c.astype(np.int64), s.astype(np.int64), n.astype(np.int64)))
+            first = np.searchsorted(c, level.contexts[j] + np.arange(level.n_contexts(j, n_before) + 1)).astype(np.uint32)
+            files.write(f"first{k}", j, first)
+            files.write(f"suffix{k}", j, s.astype(np.uint32 if n_before < 1 << 32 else np.int64))
+            edges, of = np.zeros((0, 5), np.int64), np.zeros(5, np.int64)
+            if top:
+                files.write_counts(f"value{k}", j, counts)
+                edges, of = _write_sums(files, k, j, first.astype(np.int64), counts, _is_cut(level, j)), np.array(counts_of_counts(counts))
+            ends, n = summed(s)
+            out = [_row(-1, j, np.array([len(c)]), of, edges, *next_cuts(counts, most))]
+            for part, a, b in _runs(np.searchsorted(of_lower, ends, "right") - 1):
+                out.append(pa.table({"bucket": pa.array([part], pa.int32()), "kind": pa.array([j], pa.int32()), "data": pa.array([packed(ends[a:b], n[a:b])], pa.binary())}))
+            return pa.concat_tables(out)
+
+        def before(table: pa.Table) -> pa.Table:
+            """Writes by how many n-grams each (k - 1)-gram of a bucket is ended; what the driver needs is passed on."""
+            j, files = table.column("bucket")[0].as_py(), Files(folder)
+            if j < 0:
+                return table
+            ends, n = _gathered(table, lambda e, n: summed(e.astype(np.int64), n.astype(np.int64)))
+            counts = np.zeros(int(of_lower[j + 1] - of_lower[j]), np.int64)
+            counts[ends - of_lower[j]] = n
+            edges = np.zeros((0, 5), np.int64)
+            if lower is None:
+                files.write_counts("before1", j, counts)
+            else:
+                files.write_counts(f"value{k - 1}", j, counts)
+                edges = _write_sums(files, k - 1, j, files(f"first{k - 1}", j).astype(np.int64), counts, _is_cut(lower, j))
+            return _row(-2, j, np.array(counts_of_counts(counts)), edges)
+
+        sent = merge(rows.mapInArrow(grams, _PART), table_of, len(level.contexts))
+        found = merge(sent, before, len(of_lower)).collect()  # two rows for each bucket
+        own = {r["kind"]: _arrays(r["data"], np.int64, np.int64, np.int64, np.int64, np.float64) for r in found if r["bucket"] == -1}
+        sizes = np.zeros(len(level.contexts), np.int64)
+        for j, (about, *_) in own.items():
+            sizes[j] = about[0]
+        level.base = np.append(0, np.cumsum(sizes))
+        of_before = {r["kind"]: _arrays(r["data"], np.int64, np.int64) for r in found if r["bucket"] == -2}
+        n = np.sum([x for x, _ in of_before.values()], axis=0).tolist()
+        if lower is None:
+            model.d1 = discounts(n)
+            model.rest = (model.d1[0] * n[0] + model.d1[1] * n[1] + model.d1[2] * n[4]) / level.n
+        else:
+            _close(lower, n, [(j, x) for j, (_, x) in of_before.items()])
+        if top:
+            _close(level, np.sum([x for _, x, *_ in own.values()], axis=0).tolist(), [(j, x) for j, (_, _, x, *_) in own.items()])
+        return [(int(level.base[j]), places, shares) for j, (*_, places, shares) in sorted(own.items())]
 
-    # Order 3: trigrams, then bigrams by how many words stand before them.
-    sizes2 = [len(np.load(path, mmap_mode="r")) if os.path.exists(path := f"{folder}/bigram.{k}.npy") else 0 for k in range(1 << bits)]
-    model.base2 = np.cumsum(sizes2) - sizes2
-    if model.n_bigrams >= (1 << 32) - 2:
-        raise ValueError("more bigrams than ranks of 32 bits")
-    shift2 = model.shift2 = max(0, model.n_bigrams.bit_length() - bits)
-
-    def triples(batches):
-        files = Mapped(folder)
-
-        def slices():
-            for b in batches:
-                for h, ends in token_hashes(texts(b.column(0))):
-                    ids = model.ids(files, h)
-                    yield model.keys3(model.pairs(files, ids, ends), ids, ends)[1]
-
-        return _counted(slices(), bits)
-
-    def trigrams(table: pa.Table) -> pa.Table:
-        """Writes a bucket of trigrams; returns, by parts of the bigrams' ranks, how often they are contexts and last words' bigrams."""
-        bucket = table.column("bucket")[0].as_py()
-        keys, counts = merged(table)
-        write_atomic(f"{folder}/trigram.{bucket}.npy", keys)
-        write_atomic(f"{folder}/trigram_count.{bucket}.npy", np.frombuffer(packed(counts)[1:], packed(counts)[:1].decode()))
-        plain = _undo(keys)
-        context, word = (plain >> np.uint64(32)).astype(np.int64), (plain & _LOW).astype(np.int64)
-        files, middle, later = Mapped(folder), np.full(len(keys), n_words, np.int64), context < model.n_bigrams
-        middle[later] = model.words_of(files, context[later])
-        last = look_up(files, "bigram", None, bits, _joined(middle, word), model.base2)
-        return shares(bucket, context, counts, last, None, shift2)
-
-    def lower(batches):
-        """Bigrams' counts of words before them, by parts of the ranks of their first words."""
-        files = Mapped(folder)
-        for b in batches:
-            for bucket in b.column(0).to_pylist():
-                if sizes2[bucket]:
-                    context = (_undo(np.asarray(files("bigram", bucket))) >> np.uint64(32)).astype(np.int64)
-                    n = take(files, "before3", shift2, np.arange(sizes2[bucket]) + model.base2[bucket]).astype(np.int64)
-                    yield from shares(bucket, context, n, context, n, shift).to_batches()
-
-    stats = rows.mapInArrow(triples, part).repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(trigrams, stat)
-    found = stats.repartition(1 << bits, "part").groupBy("part").applyInArrow(ranks("3", shift2, model.n_bigrams + 1), out).collect()  # a row for each part
-    of_trigrams = next(r for r in found if r["bucket"] < 0)
-    model.n_trigrams, model.d3 = of_trigrams["size"], discounts(of_trigrams["n"])
-    stats = spark.range(0, 1 << bits, 1, 1 << bits).mapInArrow(lower, stat)
-    found = stats.repartition(1 << bits, "part").groupBy("part").applyInArrow(ranks("2", shift, n_words + 1), out).collect()  # a row for each part
-    model.d2 = discounts(next(r for r in found if r["bucket"] < 0)["n"])
+    for k in range(2, order + 1):
+        cuts = count(k, cuts)
     return model
 
 
+def _is_cut(level: Level, j: int) -> tuple[bool, bool]:
+    """If bucket ``j`` has only a part of its first and of its last context."""
+    return bool(level.suffixes[j] > 0) or (j + 1 < len(level.contexts) and level.contexts[j + 1] == level.contexts[j]), j + 1 < len(level.contexts) and bool(level.suffixes[j + 1] > 0)
+
+
+def _close(level: Level, n: list[int], edges: list[tuple[int, np.ndarray]]) -> None:
+    """Discounts of a level, and the sums of the contexts that buckets share."""
+    level.d = discounts(n)
+    sums: dict[int, np.ndarray] = {}
+    for j, rows in edges:
+        for place, *x in rows.reshape(-1, 5).tolist():
+            c = int(level.contexts[j]) + place
+            sums[c] = sums.get(c, np.zeros(4, np.int64)) + np.array(x)
+    level.shared = np.array(sorted(sums), np.int64)
+    level.sums = np.array([sums[c] for c in sorted(sums)], np.int64).reshape(-1, 4)
+
+
+def _suffix_of(files: Files, level: Level, number: int) -> int:
+    """The suffix of the n-gram of this number."""
+    j = int(np.searchsorted(level.base, number, "right")) - 1
+    return int(files(f"suffix{level.k}", j)[number - level.base[j]])
+
+
+def _followers(files: Files, model: Model, k: int, c: int) -> tuple[int, int]:
+    """The numbers of the k-grams of context ``c``: the first, and the one after the last."""
+    level = model.levels[k - 2]
+    lo, hi = [], []
+    for j in range(max(0, int(np.searchsorted(level.contexts, c)) - 1), int(np.searchsorted(level.contexts, c, "right"))):
+        place = c - int(level.contexts[j])
+        if 0 <= place < level.n_contexts(j, model.n_before(level)) and len(first := files(f"first{k}", j)):
+            lo.append(int(level.base[j] + first[place]))
+            hi.append(int(level.base[j] + first[place + 1]))
+    return (min(lo), max(hi)) if lo else (0, level.n)
+
+
 def _score_rows(model: Model):
-    def scores(files: Mapped, h: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-        ids = model.ids(files, h)
-        known = ids >= 0
-        count, before = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        if known.any():
-            count[known] = look_up(files, "word", "count", model.bits, h[known])
-            before[known] = take(files, "before", model.shift, ids[known])
+    def scores(files: Files, h: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        numbers, count, before = model.words(files, h, counts=True)
+        known = numbers >= 0
         base = np.log10((count + 1) / (model.n_tokens + model.n_words + 1))
-        p = model.rest / (model.n_words + 1)
-        if model.n_bigrams and model.order == 3:
-            p = p + np.maximum(before - _off(model.d1, before), 0) / model.n_bigrams
-            context, _ = model.keys(ids, ends)
-            at, pairs = context >= 0, model.pairs(files, ids, ends)
-            n2 = np.zeros(len(ids), np.int64)
-            n2[pairs >= 0] = take(files, "before3", model.shift2, pairs[pairs >= 0])
-            n = take(files, "contexts2", model.shift, context[at]).astype(np.float64)
-            total = take(files, "before2", model.shift, context[at]).astype(np.float64)
-            p[at] = np.maximum(n2[at] - _off(model.d2, n2[at]), 0) / total + (n @ np.array(model.d2)) / total * p[at]
-            context, keys = model.keys3(pairs, ids, ends)
-            at = context >= 0
-            of_pair = np.zeros(len(ids), np.int64)
-            seen = pairs >= 0
-            of_pair[seen] = look_up(files, "bigram", "bigram_count", model.bits, model.keys(ids, ends)[1][seen])
-            total = np.append(model.n_texts, of_pair[:-1])
-            total[ends[:-1]] = model.n_texts
-            total, look = total[at].astype(np.float64), at & known
-            n3 = np.zeros(len(ids), np.int64)
-            n3[look] = np.maximum(look_up(files, "trigram", "trigram_count", model.bits, keys[look]), 0)
-            n = take(files, "contexts3", model.shift2, context[at]).astype(np.float64)
-            p[at] = np.maximum(n3[at] - _off(model.d3, n3[at]), 0) / total + (n @ np.array(model.d3)) / total * p[at]
-        elif model.n_bigrams:
-            p = p + np.maximum(before - _off(model.d1, before), 0) / model.n_bigrams
-            context, keys = model.keys(ids, ends)
-            at = context >= 0
-            of_context = np.empty(len(ids), np.int64)
-            of_context[1:] = count[:-1]
-            of_context[0] = 0
-            of_context[context == model.n_words] = model.n_texts
-            both = np.zeros(len(ids), np.int64)
-            look = at & known
-            both[look] = np.maximum(look_up(files, "bigram", "bigram_count", model.bits, keys[look]), 0)
-            n = take(files, "contexts", model.shift, context[at]).astype(np.float64)
-            total = of_context[at].astype(np.float64)
-            gain = (n @ np.array(model.d2)) / total
-            p[at] = np.maximum(both[at] - _off(model.d2, both[at]), 0) / total + gain * p[at]
-        else:
-            p = np.full(len(ids), p)
+        p = np.full(len(h), model.rest / (model.n_words + 1))
+        if model.levels:
+            p += np.maximum(before - _off(model.d1, before), 0) / model.levels[0].n
+        for level in model.levels:
+            context = model.context(level, numbers, ends)
+            at = np.flatnonzero(context >= 0)
+            numbers_, sums = level.look_up(files, context[at], numbers[at], sums=True)
+            value = np.zeros(len(at), np.int64)
+            value[numbers_ >= 0] = level.values(files, f"value{level.k}", numbers_[numbers_ >= 0])
+            p[at] = (np.maximum(value - _off(level.d, value), 0) + (sums[:, 1:] @ np.array(level.d)) * p[at]) / sums[:, 0]
+            numbers = np.full(len(h), -1, np.int64)
+            numbers[at] = numbers_
         starts = np.append(0, ends[:-1])
-        return [np.add.reduceat(x, starts) for x in (np.ones(len(ids), np.int64), known.astype(np.int64), base, np.log10(p))]
+        return [np.add.reduceat(x, starts) for x in (np.ones(len(h), np.int64), known.astype(np.int64), base, np.log10(p))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = Mapped(model.folder)
+        files = Files(model.folder)
         for batch in batches:
             found = [scores(files, h, ends) for h, ends in token_hashes(texts(batch.column(1)))]
             cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, t) for t in (np.int64, np.int64, float, float)]
@@ -465,19 +604,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
 
     Scores are log10 probabilities of the text's tokens and its end, under add-one
     unigrams and under the model. A null text counts as empty, which is its end alone.
-    A model of no texts gives every token probability 1. Ids may be null or repeat;
-    other columns aren't read; no rows give no rows.
+    A model of no texts gives every token probability 1. Ids may be null or repeat, and
+    texts that agree have the same score; other columns aren't read; no rows give no
+    rows. A text of any length takes some 200 bytes a token. The model's files stay in the
+    folder of ``spark.checkpoint.dir`` for the lazy result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     out = rows.mapInArrow(_score_rows(model), with_id(docs, id_col, "n_tokens long, n_known long, train_tokens long, base_score double, score double"))
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))).withColumnRenamed("id", id_col)
 
 
-def op6_lm_score(spark, sf_dir: str, order: int = 2) -> DataFrame:
+def op6_lm_score(spark, sf_dir: str, order: int = ORDER) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = fold(F.col("doc_id"), 7) == 2
     return score(docs, train(docs.where(~held_out), order=order)).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
-
-
-def op6_lm_score_order3(spark, sf_dir: str) -> DataFrame:
-    return op6_lm_score(spark, sf_dir, order=3)

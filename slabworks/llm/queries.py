@@ -9,7 +9,6 @@ from .common import small_batches
 
 _QUERIES = {
     "op6_lm_score": kneser_ney.op6_lm_score,
-    "op6_lm_score_order3": kneser_ney.op6_lm_score_order3,
     "op1_quality": quality.op1_quality,
     "op8_license_scan": license_scan.op8_license_scan,
     "op10_sharding": sharding.op10_sharding,
