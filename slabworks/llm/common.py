@@ -142,8 +142,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str = "group
     return of_hot.unionByName(others)
 
 
-#: Bits of the table of ``maybe``: 16 MB are broadcast at most, whatever the input.
-TABLE_BITS = 1 << 27
+#: Bits of the table of ``maybe``: 4 MB (8 MB as Spark holds them) are broadcast at most, whatever the input.
+TABLE_BITS = 1 << 25
 
 
 def maybe(rows: DataFrame, key: Column, keys: DataFrame, of: Column) -> DataFrame:
