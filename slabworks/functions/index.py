@@ -7,6 +7,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_HELD: list[DataFrame] = []
+
+
+def release() -> None:
+    """Give back the disk of the dealings made so far; results that are still to be read are dealt anew, once each."""
+    while _HELD:
+        _HELD.pop().unpersist()
+
+
 def dense_index(df: DataFrame, order: list[str], name: str = "i") -> DataFrame:
     """``df`` with ``name`` counting its rows from 0 in the order of columns that no two rows share.
 
@@ -16,6 +25,7 @@ def dense_index(df: DataFrame, order: list[str], name: str = "i") -> DataFrame:
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
     dealt = dealt.withColumn("__part", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     dealt = dealt.persist(StorageLevel.DISK_ONLY)  # both uses must see one dealing
+    _HELD.append(dealt)
     counts = dealt.groupBy("__part").agg((F.max("__k") + 1).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))

@@ -7,11 +7,13 @@ aggregate and their offsets a running sum over one row a member.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.index import dense_index
+from .slab import within
 
 
 def member_stats(table: DataFrame, member: Column, coordinate: Column, order: str) -> DataFrame:
@@ -33,10 +35,34 @@ def joined(table: DataFrame, member: Column, coordinate: Column, order: str, ind
     they are.
     """
     members = member_offsets(member_stats(table, member, coordinate, order)).select(F.col("member").alias("__m"), "ordinal")
-    rows = table.withColumn("member", member).join(F.broadcast(members), F.col("member").eqNullSafe(F.col("__m"))).drop("__m")
+    rows = table.withColumn("member", member).join(members, F.col("member").eqNullSafe(F.col("__m"))).drop("__m")
     return dense_index(rows, ["ordinal", order], index)
 
 
+def joined_range(table: DataFrame, member: Column, coordinate: Column, order: str, start: int, count: int, index: str = "i_joined") -> DataFrame:
+    """``joined``, cut to ``count`` rows from ``start`` on; only members that the range touches are read and numbered.
+
+    The driver gets a row for each member, as for every dataset that is joined.
+    """
+    members = member_offsets(member_stats(table, member, coordinate, order)).orderBy("ordinal").collect()
+    touched = pieces([m["n"] for m in members], start, count)
+    rows = table.withColumn("member", member)
+    if not touched:
+        return joined(table, member, coordinate, order, index).limit(0)
+    spans = [(members[p.ordinal]["member"], p.ordinal) for p in touched]
+    is_one = reduce(Column.__or__, [F.col("member").eqNullSafe(F.lit(name)) for name, _ in spans])
+    ordinal = reduce(lambda c, s: c.when(F.col("member").eqNullSafe(F.lit(s[0])), s[1]), spans, F).cast("int")
+    numbered = dense_index(rows.where(is_one).withColumn("ordinal", ordinal), ["ordinal", order], index).withColumn(index, F.col(index) + touched[0].offset)
+    return numbered.where(within(F.col(index), start, count))
+
+
+def first_member(table: DataFrame, member: Column, coordinate: Column, order: str) -> DataFrame:
+    """The rows of the member that comes first, and no others: what variables without the joined dimension are read from."""
+    name = member_offsets(member_stats(table, member, coordinate, order)).where("ordinal = 0").select("member").first()
+    rows = table.withColumn("member", member)
+    return rows.limit(0) if name is None else rows.where(F.col("member").eqNullSafe(F.lit(name[0])))
+
+
 @dataclass(frozen=True)
 class Piece:
     """What one member gives to a range: its ordinal, the first index inside it, the count, and its offset."""

@@ -11,6 +11,9 @@ from dataclasses import dataclass
 from urllib.parse import unquote_to_bytes
 
 _NUMBER = re.compile(r"\+?[0-9]+\Z")
+# Rule: a bracket closes with one or more ``]``; the further ones say nothing.
+_BRACKET = re.compile(r"\[([^\[\]]*)\]+")
+_SLAB = re.compile(f"(?:{_BRACKET.pattern})+")
 
 
 class QueryError(ValueError):
@@ -50,15 +53,10 @@ def parse_span(text: str) -> Span:
 
 
 def parse_slab(text: str) -> tuple[Span, ...]:
-    """``[…][…]``; brackets that close twice are as if they closed once."""
-    if len(text) < 3 or text[0] != "[" or text[-1] != "]":
-        raise QueryError(f"brackets are missing: {text}")
-    out = []
-    for piece in filter(None, text.split("]")):
-        if piece[0] != "[":
-            raise QueryError(f"an opening bracket is missing: {text}")
-        out.append(parse_span(piece[1:]))
-    return tuple(out)
+    """The spans of ``[…][…]``."""
+    if not _SLAB.fullmatch(text):
+        raise QueryError(f"not a list of brackets: {text}")
+    return tuple(map(parse_span, _BRACKET.findall(text)))
 
 
 def parse_term(text: str) -> Term:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.attributes import Attribute
+from .functions.index import dense_index
 from .functions.wire import length_header
 from .operators.catalog import list_folder
-from .operators.join_existing import joined, member_offsets, member_stats
-from .operators.slab import within
+from .operators.join_existing import first_member, joined, joined_range, member_offsets, member_stats, pieces
 from .plans.schema import Schema, Variable
 from .sources.aggregate import JoinedSource
 from .sources.base import Dataset
@@ -149,19 +149,34 @@ def join_existing_full(spark, sf_dir):
     return joined_orders(spark, sf_dir).select("i_time", "member", "value")
 
 
+def orders_range(spark: SparkSession, sf_dir: str, start: int, count: int) -> DataFrame:
+    return joined_range(orders(spark, sf_dir), year(), day(), "o_orderkey", start, count, "i_time")
+
+
 @query(f"SELECT i_time, member, value FROM ({_JOINED}) WHERE i_time BETWEEN 2200 AND 4600")
 def join_existing_cross_member(spark, sf_dir):
-    return joined_orders(spark, sf_dir).where(within(F.col("i_time"), 2200, 2401)).select("i_time", "member", "value")
+    return orders_range(spark, sf_dir, 2200, 2401).select("i_time", "member", F.col("o_totalprice").alias("value"))
 
 
 @query(f"SELECT i_time, coordinate AS value FROM ({_JOINED}) WHERE i_time BETWEEN 100 AND 2500")
 def join_existing_coordinate(spark, sf_dir):
-    return joined_orders(spark, sf_dir).where(within(F.col("i_time"), 100, 2401)).select("i_time", F.col("coordinate").alias("value"))
+    return orders_range(spark, sf_dir, 100, 2401).select("i_time", day().alias("value"))
 
 
 @query(f"SELECT i_time, o_orderkey, value FROM ({_JOINED}) WHERE ordinal = 0")
 def nonaggregated_first_member(spark, sf_dir):
-    return joined_orders(spark, sf_dir).where("ordinal = 0").select("i_time", "o_orderkey", "value")
+    rows = first_member(orders(spark, sf_dir), year(), day(), "o_orderkey")
+    return dense_index(rows, ["o_orderkey"], "i_time").select("i_time", "o_orderkey", F.col("o_totalprice").alias("value"))
+
+
+@query(
+    f"""SELECT ordinal, greatest(2200, member_start) - member_start AS start, least(4601, member_start + n) - greatest(2200, member_start) AS count, member_start AS "offset"
+  FROM ({_MEMBERS}) WHERE member_start < 4601 AND member_start + n > 2200"""
+)
+def member_pieces(spark, sf_dir):
+    """Which members a range touches; members after its end aren't looked at."""
+    sizes = [r["n"] for r in member_offsets(member_stats(orders(spark, sf_dir), year(), day(), "o_orderkey")).orderBy("ordinal").collect()]
+    return spark.createDataFrame([(p.ordinal, p.start, p.count, p.offset) for p in pieces(sizes, 2200, 2401)], "ordinal int, start long, count long, offset long")
 
 
 def two_tables(spark: SparkSession, sf_dir: str) -> Dataset:
@@ -264,10 +279,7 @@ def xdr_payload(spark, sf_dir):
     """The payload of a variable as tasks encode it, taken apart into words again."""
     d = embeddings(spark, sf_dir)
     leaf = d.bind("label").parts[0].leaves[0]
-    batches = encoded_rows(d.leaf(leaf), ["i_vec"], leaf.type).withColumn("words", F.floor(F.octet_length("payload") / 4)).persist()
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = batches.select("part", "seq", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("first"))
-    word = batches.join(F.broadcast(offsets), ["part", "seq"]).select("first", "payload", F.explode(F.sequence(F.lit(0).cast("long"), F.col("words") - 1)).alias("k"))
+    word = encoded_rows(d.leaf(leaf), ["i_vec"], leaf.type, F.col("i_vec")).select("first", "payload", F.explode(F.sequence(F.lit(0), (F.octet_length("payload") / 4).cast("int") - 1)).alias("k"))
     return word.select((F.col("first") + F.col("k")).cast("int").alias("place"), F.lower(F.hex(F.substring("payload", (F.col("k") * 4 + 1).cast("int"), F.lit(4)))).alias("word"))
 
 

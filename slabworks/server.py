@@ -11,15 +11,21 @@ import sys
 import time
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import chain, islice
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from .config import load
 from .operators.catalog import Catalog, NotListed
 from .plans.schema import BindError
+from .sources.base import Stale
 
 log = logging.getLogger(__name__)
 
 
+#: Pieces of a data response that are made before its status is sent: the schema text, a length, the first bytes.
+AHEAD = 3
+
+
 @dataclass
 class Reply:
     status: int
@@ -82,9 +88,15 @@ class Service:
     def dods(self, dataset, query: str | None) -> Reply:
         try:
             length, body = dataset.dods(query, on_malformed="all")
+            ready = list(islice(body, AHEAD))  # a job that fails at once is told by the status
         except BindError as e:
             return text(400, str(e))
-        return Reply(200, body, {"Content-Type": "application/octet-stream", "Content-Description": "dods-data", "Content-Length": str(length), "XDODS-Server": "slabworks"})
+        except Stale as e:
+            return text(503, str(e))
+        except Exception:
+            log.exception("no data of %s", dataset.key)
+            return text(500, "")
+        return Reply(200, chain(ready, body), {"Content-Type": "application/octet-stream", "Content-Description": "dods-data", "Content-Length": str(length), "XDODS-Server": "slabworks"})
 
     def raw(self, key: str) -> Reply:
         try:

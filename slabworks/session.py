@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder that the driver and all executors see, by a path that ``open`` takes: below ``spark.checkpoint.dir``, or, where that isn't set, of this machine alone until the driver ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="slabworks-")
+        atexit.register(shutil.rmtree, root, True)
+    path = f"{'/' + root[5:].lstrip('/') if root.startswith('file:') else root.rstrip('/')}/slabworks-{what}-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    return path
+
+
 def importable(spark: SparkSession) -> SparkSession:
     """Put the package on the path of Python workers, for sessions begun in another folder.
 

@@ -67,6 +67,12 @@ class JoinedSource(ArraySource):
     def coordinate(self) -> DataFrame:
         return self._joined(self.dim, (0,), (sum(self.sizes),)).cache()
 
+    def close(self) -> None:
+        if kept := self.__dict__.pop("coordinate", None):
+            kept.unpersist()
+        for m in self.members:
+            m.close()
+
     def cells(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...]) -> DataFrame:
         v = self._schema.find(name)
         if not self.joins(v):

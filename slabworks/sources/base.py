@@ -45,6 +45,39 @@ class ArraySource(ABC):
         """The source's own bytes, if it is one file."""
         raise FileNotFoundError("this dataset has no file of its own")
 
+    def close(self) -> None:
+        """Give back what the source keeps in Spark; it can still be read."""
+
+
+class Together(ArraySource):
+    """The variables of several sources as one dataset; of variables with one name the first counts."""
+
+    def __init__(self, *sources: ArraySource):
+        self.sources = sources
+        self.of: dict[str, ArraySource] = {}
+        for s in sources:
+            for v in s.schema().variables:
+                self.of.setdefault(v.name, s)
+
+    def schema(self) -> Schema:
+        return Schema("", [s.schema().find(name) for name, s in self.of.items()])
+
+    def cells(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...]) -> DataFrame:
+        return self.of[name].cells(name, starts, counts)
+
+    def attributes(self) -> dict[str | None, list[Attribute]]:
+        return {None: [a for s in self.sources for a in s.attributes().get(None, [])]} | {name: s.attributes().get(name, []) for name, s in self.of.items()}
+
+    def listed(self) -> list[str]:
+        return list(dict.fromkeys(name for s in self.sources for name in s.listed()))
+
+    def stamp(self) -> object:
+        return tuple(s.stamp() for s in self.sources)
+
+    def close(self) -> None:
+        for s in self.sources:
+            s.close()
+
 
 class Dataset:
     """A source under a key: schema and attributes are read once, at opening."""
@@ -77,10 +110,14 @@ class Dataset:
         """Schema text of the answer; no job, no file access."""
         return str(self.bind(query))
 
-    def leaf(self, leaf: Leaf) -> DataFrame:
-        """The cells of one box, unless the source has changed."""
+    def check(self) -> None:
+        """An error if the source has changed."""
         if self.source.stamp() != self._stamp:
             raise Stale(f"{self.key} has changed since it was opened")
+
+    def leaf(self, leaf: Leaf) -> DataFrame:
+        """The cells of one box, unless the source has changed."""
+        self.check()
         return self.source.cells(leaf.name, leaf.starts, leaf.counts)
 
     def cells(self, query: str | None = None) -> list[tuple[Part, DataFrame]]:
@@ -96,8 +133,12 @@ class Dataset:
         return attach_maps(self.leaf(array), [(m.name, self.leaf(m)) for m in maps], [m.cells for m in maps])
 
     def dods(self, query: str | None = None, on_malformed: str = "error") -> tuple[int, Iterator[bytes]]:
-        """Length and pieces of the data response: schema text, separator, then each array in row-major order."""
+        """Length and pieces of the data response: schema text, separator, then each array in row-major order.
+
+        A source that has changed is an error here, before there is a piece.
+        """
         answer = self.bind(query, on_malformed)
+        self.check()
 
         def body() -> Iterator[bytes]:
             yield str(answer).encode() + SEPARATOR
@@ -111,3 +152,12 @@ class Dataset:
 
     def raw(self) -> Iterator[bytes]:
         return self.source.raw()
+
+    def close(self) -> None:
+        self.source.close()
+
+    def __enter__(self) -> Dataset:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import json
 import os
+from functools import reduce
 from math import prod
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.attributes import Attribute
@@ -85,10 +86,17 @@ class ChunkStore(ArraySource):
         for k, (start, count, n, size) in enumerate(zip(starts, counts, chunk, v.shape, strict=True)):
             if prod(counts) and count != size:
                 rows = rows.where(F.col(f"c_{k}").between(start // n, (start + count - 1) // n))
-        rows = rows.select(*[f"c_{k}" for k in range(len(chunk))], F.posexplode("payload").alias("at", "value"))
-        left, index = F.col("at"), []
+        extents = [F.least(F.lit(n), F.lit(size) - F.col(f"c_{k}").cast("long") * n).cast("int") for k, (n, size) in enumerate(zip(chunk, v.shape, strict=True))]
+        skip, payload = F.lit(0), F.col("payload")
+        if chunk and counts[0] != v.shape[0]:  # of the outermost axis only the rows in the box are taken out of the payload
+            inner, first = reduce(Column.__mul__, extents[1:], F.lit(1)), F.col("c_0").cast("long") * chunk[0]
+            low = F.greatest(F.lit(0), F.lit(starts[0]) - first)
+            high = F.least(extents[0], F.lit(starts[0] + counts[0]) - first)
+            skip, payload = (low * inner).cast("int"), F.slice("payload", (low * inner + 1).cast("int"), F.greatest(F.lit(0), (high - low) * inner).cast("int"))
+        rows = rows.select(*[f"c_{k}" for k in range(len(chunk))], skip.alias("skip"), F.posexplode(payload).alias("at", "value"))
+        left, index = F.col("at") + F.col("skip"), []
         for k in reversed(range(len(chunk))):
-            extent = F.least(F.lit(chunk[k]), F.lit(v.shape[k]) - F.col(f"c_{k}").cast("long") * chunk[k])
+            extent = extents[k]
             index.insert(0, (F.col(f"c_{k}").cast("long") * chunk[k] + left % extent).cast(index_type(v.shape[k])).alias(f"i_{v.axes[k]}"))
             left = F.floor(left / extent)
         cells = rows.select(*index, "value")

@@ -11,10 +11,26 @@ from ..plans.schema import Schema, Variable, type_of_spark
 from .base import ArraySource
 
 
+class NotDense(ValueError):
+    """The index column doesn't count the rows from 0."""
+
+
+def dense_length(table: DataFrame, index: str) -> int:
+    """The number of rows, if ``index`` has each number below it; told by its count, range, sum and sum of squares."""
+    i = F.col(index).cast("decimal(38,0)")
+    rows, n, low, high, total, squares = table.agg(F.count(F.lit(1)), F.count(index), F.min(index), F.max(index), F.sum(i), F.sum(F.col(index).cast("decimal(19,0)") * F.col(index).cast("decimal(19,0)"))).first()
+    if rows == 0:
+        return 0
+    if n != rows or low != 0 or high != n - 1 or total != n * (n - 1) // 2 or squares != (n - 1) * n * (2 * n - 1) // 6:
+        raise NotDense(f"{index} doesn't count the {rows} rows from 0")
+    return n
+
+
 class TableSource(ArraySource):
     """Columns of numbers are variables along ``dim``; columns of number lists are variables along ``dim`` and their own inner dimension.
 
-    ``index`` is an integer column that is dense from 0. ``inner`` names the inner
+    ``index`` is an integer column that counts the rows from 0 without gap or repeat, which
+    is checked by one aggregate at opening unless ``length`` is given. ``inner`` names the inner
     dimension of list columns and its length. The dimensions themselves are variables
     too: ``dim`` has the values of the column ``coordinate`` (or else the index), and
     inner dimensions count from 0. Other
@@ -24,7 +40,7 @@ class TableSource(ArraySource):
     def __init__(self, table: DataFrame, dim: str, index: str, inner: dict[str, tuple[str, int]] | None = None, coordinate: str | None = None, length: int | None = None, attributes: dict[str | None, list[Attribute]] | None = None):
         self.table, self.dim, self.index, self.inner = table, dim, index, inner or {}
         self.coordinate = coordinate or index
-        self.length = table.agg(F.coalesce(F.max(index) + 1, F.lit(0))).first()[0] if length is None else length
+        self.length = dense_length(table, index) if length is None else length
         self._attributes = {None: []} | (attributes or {})
         kinds = dict(table.dtypes)
         self.variables = [Variable(dim, type_of_spark(kinds[self.coordinate]), (dim,), (self.length,))]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.wire import encode
@@ -17,22 +17,23 @@ from ..session import importable
 SMALL_CELLS = 1 << 19
 
 
-def encoded_rows(cells: DataFrame, axes: list[str], kind: ElementType) -> DataFrame:
-    """``part, seq, payload``: wire bytes of the cells in row-major order, a row for each batch.
+def encoded_rows(cells: DataFrame, axes: list[str], kind: ElementType, place: Column | None = None) -> DataFrame:
+    """``first, payload``: wire bytes of the cells in row-major order, a row for each batch, and ``place`` of its first cell.
 
     A range exchange on the indices gives every task a run of the array, so batches are
     encoded where they are and only bytes go to the reader.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seq, batch in enumerate(batches):
-            payload = encode(batch.column(0), kind)
-            yield pa.RecordBatch.from_arrays([pa.array([seq]), pa.array([payload], pa.binary())], ["seq", "payload"])
+        for batch in batches:
+            if batch.num_rows:
+                payload = encode(batch.column(1), kind)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(0, 1), pa.array([payload], pa.binary())], ["first", "payload"])
 
     importable(cells.sparkSession)
     ordered = cells.orderBy(*axes) if axes else cells
-    out = ordered.select(F.col("value").cast(kind.spark).alias("value")).mapInArrow(run, "seq long, payload binary")
-    return out.select(F.spark_partition_id().alias("part"), "seq", "payload")
+    at = (F.lit(0) if place is None else place).cast("long").alias("first")
+    return ordered.select(at, F.col("value").cast(kind.spark).alias("value")).mapInArrow(run, "first long, payload binary")
 
 
 def array_bytes(cells: DataFrame, axes: list[str], kind: ElementType, count: int | None = None) -> Iterator[bytes]:

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from slabworks import queries
+from slabworks import queries, service_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,6 +34,7 @@ def test_query_gives_the_rows_of_its_sql(spark, con, name):
 def test_every_query_is_registered(spark):
     import __spark_entry__ as e
 
+    assert {"folder_datasets", "http_data"} <= {*queries.QUERIES} & {*vars(service_queries)}
     assert set(queries.QUERIES) <= set(e.queries()) and set(queries.SQL) <= set(e.oracle_sql())
     assert e.entry(spark).count() == 50
 
