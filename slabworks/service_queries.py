@@ -31,6 +31,7 @@ from .session import importable, shared_folder
 from .sources.aggregate import DescriptionError, read_description
 from .sources.base import Dataset, Together
 from .sources.chunks import write_store
+from .sources.hdf5_write import Array, write_hdf5
 from .sources.scan import dataset_files, open_dataset, open_folder
 from .sources.tables import TableSource
 from .streaming.body import encoded_rows
@@ -420,3 +421,100 @@ def service_config(spark, sf_dir):
             f.write(body)
     found = [("none", load(["-c", f"{top}/none.toml"])), ("file", load(["-c", f"{top}/some.toml"])), ("options", load(["-c", f"{top}/some.toml", "-a", "[::1]:9", "--root-url", "/y", "one", "two"]))]
     return spark.createDataFrame([(n, c.data, *c.host_port, c.root_url, c.index) for n, c in found], "source string, data string, host string, port int, root_url string, index string")
+
+
+def grid_file(spark: SparkSession, sf_dir: str) -> str:
+    """``embeddings`` as a file of two dimensions with their scales: chunks of 16-bit integers and of floats, shuffled and deflated."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} grid")
+    if key not in _FOLDERS:
+        table = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label").orderBy("vec_id").toArrow()
+        n = table.num_rows
+        vectors = np.array(table.column("embedding").combine_chunks().flatten(), np.float32).reshape(n, WIDTH)
+        arrays = {
+            "vec": Array(np.arange(n)),
+            "dim": Array(np.arange(WIDTH, dtype=np.int32)),
+            "embedding": Array(vectors, ("vec", "dim"), {"units": "1", "_FillValue": np.float32(-1e34)}, (50, 16)),
+            "label": Array(np.array(table.column("label"), ">i2"), ("vec",), {}, (64,)),
+            "half": Array(vectors[: n // 2].astype("<f8"), (), {}),
+            "names": Array(np.array([b"a", b"b"])),
+            "nothing": Array(np.zeros(0)),
+        }
+        _FOLDERS[key] = shared_folder(spark, "grid")
+        write_hdf5(f"{_FOLDERS[key]}/grid.nc4", arrays, {"title": "vectors", "_NCProperties": "x"})
+    return f"{_FOLDERS[key]}/grid.nc4"
+
+
+def grid(spark: SparkSession, sf_dir: str) -> Dataset:
+    return open_dataset(spark, grid_file(spark, sf_dir), "grid")
+
+
+@query(
+    _line_sql(
+        "Dataset {\n    Int32 dim[dim = 64];\n    Grid {\n     ARRAY:\n        Float32 embedding[vec = {n}][dim = 64];\n     MAPS:\n        Int64 vec[vec = {n}];\n        Int32 dim[dim = 64];\n    } embedding;\n"
+        "    Float64 half[half = {h}];\n    Int16 label[vec = {n}];\n    Int64 vec[vec = {n}];\n} grid;"
+    ).replace("replace('", "replace(replace('").replace("(SELECT count(*) FROM embeddings)::VARCHAR)", "(SELECT count(*) FROM embeddings)::VARCHAR), '{h}', (SELECT count(*) // 2 FROM embeddings)::VARCHAR)")
+)
+def hdf5_schema(spark, sf_dir):
+    """Dimensions come from the scales' references; text and arrays without storage aren't served."""
+    return lines(spark, grid(spark, sf_dir).dds())
+
+
+@query(
+    _line_sql(
+        'Attributes {\n    NC_GLOBAL {\n        String title "vectors";\n    }\n    dim {\n    }\n    embedding {\n        String units "1";\n        Float32 _FillValue -1.0E34;\n    }\n    half {\n    }\n    label {\n    }\n    names {\n    }\n    vec {\n    }\n}'
+    )
+)
+def hdf5_attributes(spark, sf_dir):
+    return lines(spark, grid(spark, sf_dir).das())
+
+
+_VECTORS = f"SELECT vec_id::INT AS i_vec, d::INT AS i_dim, embedding[d + 1] AS value FROM embeddings, range({WIDTH}) t(d)"
+
+
+@query(_VECTORS)
+def hdf5_whole(spark, sf_dir):
+    return grid(spark, sf_dir).cells("embedding")[0][1]
+
+
+@query(f"{_VECTORS} WHERE vec_id BETWEEN 30 AND 120 AND d BETWEEN 10 AND 40")
+def hdf5_slab(spark, sf_dir):
+    """A box over several chunks both ways."""
+    return grid(spark, sf_dir).cells("embedding[30:120][10:40]")[0][1]
+
+
+@query("SELECT vec_id::INT AS i_vec, label::SMALLINT AS value FROM embeddings")
+def hdf5_integers(spark, sf_dir):
+    return grid(spark, sf_dir).cells("label")[0][1]
+
+
+@query("SELECT vec_id AS place, printf('%08x', label) AS word FROM embeddings")
+def hdf5_payload(spark, sf_dir):
+    """16-bit integers of a file, as a data response has them."""
+    body = b"".join(grid(spark, sf_dir).dods("label")[1]).partition(SEPARATOR)[2][8:]
+    return spark.createDataFrame([(k, body[4 * k : 4 * k + 4].hex()) for k in range(len(body) // 4)], "place long, word string")
+
+
+@query(values("route, status, disposition, same", ("/data/grid.nc4", 200, "attachment", True), ("/data/none.nc4", 404, "", False)))
+def http_raw(spark, sf_dir):
+    """The file itself, and what there isn't."""
+    path = grid_file(spark, sf_dir)
+    s, rows = Service(Catalog({"grid.nc4": open_dataset(spark, path)})), []
+    with open(path, "rb") as f:
+        raw = f.read()
+    for route in ("/data/grid.nc4", "/data/none.nc4"):
+        reply = s.reply(route)
+        rows.append((route, reply.status, reply.headers.get("Content-Disposition", ""), b"".join(reply.body) == raw))
+    return spark.createDataFrame(rows, "route string, status int, disposition string, same boolean")
+
+
+@query("SELECT vec_id::INT AS i_vec, label::SMALLINT AS value FROM embeddings WHERE vec_id BETWEEN (SELECT count(*) // 2 FROM embeddings) - 20 AND (SELECT count(*) // 2 FROM embeddings) + 19")
+def hdf5_joined(spark, sf_dir):
+    """A range over two files that a description joins, listed in the wrong order."""
+    top = shared_folder(spark, "members")
+    labels = [r["label"] for r in read(spark, sf_dir, "embeddings").select("vec_id", "label").orderBy("vec_id").collect()]
+    h = len(labels) // 2
+    for name, first, own in (("a", h, labels[h:]), ("b", 0, labels[:h])):
+        write_hdf5(f"{top}/{name}.nc", {"vec": Array(np.arange(first, first + len(own))), "label": Array(np.array(own, np.int16), ("vec",), {}, (32,))})
+    with open(f"{top}/all.ncml", "w") as f:
+        f.write(NCML.format('<aggregation dimName="vec" type="joinExisting"><scan location="." suffix=".nc"/></aggregation>'))
+    return open_dataset(spark, f"{top}/all.ncml").cells(f"label[{h - 20}:{h + 19}]")[0][1]

@@ -1,4 +1,4 @@
-"""HDF5 and NetCDF-4 files, where h5py is installed.
+"""HDF5 and NetCDF-4 files.
 
 The file is described on the driver; cells are read by Spark's Python data source, a
 partition for each run of the outermost dimension, so executors read only the slab
@@ -18,38 +18,32 @@ from ..functions.attributes import HIDDEN, Attribute
 from ..plans.schema import Schema, Variable, type_of_numpy
 from ..session import importable
 from .base import ArraySource
+from .hdf5_format import File, Kind, Object
 
 PARTITION_CELLS = 4_000_000
 RAW_BYTES = 1 << 20
 
 
-def _h5py():
-    try:
-        import h5py
-    except ImportError as e:
-        raise ImportError("reading HDF5 files needs h5py") from e
-    return h5py
+def element_type(kind: Kind):
+    return type_of_numpy(kind.dtype.str[1:]) if kind.what == "number" and kind.dtype.str[1:] != "i1" else None
 
 
-def element_type(dtype: np.dtype):
-    return type_of_numpy(dtype.str[1:]) if dtype.kind in "uif" and dtype.str[1:] != "i1" else None
-
-
-def dimensions(file, name: str, data) -> tuple[str, ...]:
+def dimensions(names: dict[int, str], name: str, data: Object) -> tuple[str, ...]:
     """Names of the attached dimension scales; without them the variable's own name, once."""
-    listed = data.attrs.get("DIMENSION_LIST")
-    if listed is None:
+    listed = data.attributes.get("DIMENSION_LIST")
+    if not listed or not all(refs and refs[0] in names for refs in listed):
         return () if data.shape == () else (name,)
-    return tuple(file[refs[0]].name.lstrip("/") for refs in listed)
+    return tuple(names[refs[0]] for refs in listed)
 
 
 def attribute(name: str, value) -> Attribute:
     """Fixed-length text, 16- and 32-bit integers and floats are served, alone or in a list; nothing else is."""
-    if isinstance(value, (bytes, np.bytes_)):
-        return Attribute(name, "String", (bytes(value).decode("ascii", "replace"),))
-    a = np.asarray(value)
-    kind = {"i2": "Int16", "i4": "Int32", "f4": "Float32", "f8": "Float64"}.get(a.dtype.str[1:], "unsupported")
-    return Attribute(name, kind, tuple(a.reshape(-1).tolist()))
+    if isinstance(value, bytes):
+        return Attribute(name, "String", (value.decode("ascii", "replace"),))
+    if not isinstance(value, np.ndarray):
+        return Attribute(name, "unsupported", ())
+    kind = {"i2": "Int16", "i4": "Int32", "f4": "Float32", "f8": "Float64"}.get(value.dtype.str[1:], "unsupported")
+    return Attribute(name, kind, tuple(value.reshape(-1).tolist()))
 
 
 class Hdf5Source(ArraySource):
@@ -58,13 +52,15 @@ class Hdf5Source(ArraySource):
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self._variables, self._attributes = [], {}
-        with _h5py().File(path, "r") as f:
-            self._attributes[None] = [attribute(k, v) for k, v in f.attrs.items() if k not in HIDDEN]
-            for name, data in f.items():
-                if not hasattr(data, "shape") or (data.chunks is None and data.id.get_offset() is None):
+        with File(path) as f:
+            names = {at: name for name, at in f.root.links.items()}
+            self._attributes[None] = [attribute(k, v) for k, v in f.root.attributes.items() if k not in HIDDEN]
+            for name, at in f.root.links.items():
+                data = f.object(at)
+                if not data.is_dataset or data.shape is None or not data.stored:
                     continue
-                self._variables.append(Variable(name, element_type(data.dtype), dimensions(f, name, data), tuple(data.shape)))
-                self._attributes[name] = [attribute(k, v) for k, v in data.attrs.items() if k not in HIDDEN]
+                self._variables.append(Variable(name, element_type(data.kind), dimensions(names, name, data), tuple(data.shape)))
+                self._attributes[name] = [attribute(k, v) for k, v in data.attributes.items() if k not in HIDDEN]
 
     def schema(self) -> Schema:
         return Schema("", self._variables)
@@ -127,11 +123,10 @@ class SlabReader(DataSourceReader):
     def read(self, partition: Run):
         import pyarrow as pa
 
-        with _h5py().File(self.path, "r") as f:
-            data = f[self.variable]
-            starts = [partition.start, *self.starts[1:]] if self.counts else []
-            counts = [partition.count, *self.counts[1:]] if self.counts else []
-            values = np.asarray(data[tuple(slice(s, s + c) for s, c in zip(starts, counts, strict=True))] if counts else data[()])
+        starts = [partition.start, *self.starts[1:]] if self.counts else []
+        counts = [partition.count, *self.counts[1:]] if self.counts else []
+        with File(self.path) as f:
+            values = f.object(f.root.links[self.variable]).read(starts, counts)
         index = np.indices(values.shape, dtype=np.int32).reshape(len(counts), values.size)
         flat = values.reshape(-1).astype(values.dtype.newbyteorder("="))
         from pyspark.sql.pandas.types import to_arrow_type

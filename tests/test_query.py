@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from slabworks.plans.query import QueryError, Span, Term, parse_query, parse_slab
 
@@ -6,16 +8,16 @@ from slabworks.plans.query import QueryError, Span, Term, parse_query, parse_sla
 @pytest.mark.parametrize(
     ("text", "terms"),
     [
-        ("SST", [Term("SST")]),
-        ("SST[0:5]", [Term("SST", None, (Span(0, 5),))]),
-        ("SST.TIME[0:5]", [Term("SST", "TIME", (Span(0, 5),))]),
-        ("SST.TIME[5][4]", [Term("SST", "TIME", (Span(5, 5), Span(4, 4)))]),
-        ("SST.TIME[5][4],SST,TIME[4:5]", [Term("SST", "TIME", (Span(5, 5), Span(4, 4))), Term("SST"), Term("TIME", None, (Span(4, 5),))]),
-        ("SST%5B0:5%5D", [Term("SST", None, (Span(0, 5),))]),
+        ("wind", [Term("wind")]),
+        ("wind[3:8]", [Term("wind", None, (Span(3, 8),))]),
+        ("wind.lat[3:8]", [Term("wind", "lat", (Span(3, 8),))]),
+        ("lat[2:6],wind.lat[7][1],wind", [Term("lat", None, (Span(2, 6),)), Term("wind", "lat", (Span(7, 7), Span(1, 1))), Term("wind")]),
+        ("wind%5B3:8%5D", [Term("wind", None, (Span(3, 8),))]),
         ("a+b", [Term("a+b")]),
         ("", [Term("")]),
-        ("T[0]]", [Term("T", None, (Span(0, 0),))]),
-        ("T[+3]", [Term("T", None, (Span(3, 3),))]),
+        ("t[4]]", [Term("t", None, (Span(4, 4),))]),
+        ("t[4]][1:2]", [Term("t", None, (Span(4, 4), Span(1, 2)))]),
+        ("t[+3]", [Term("t", None, (Span(3, 3),))]),
         ("a.b.c", [Term("a", "b.c")]),
     ],
 )
@@ -23,16 +25,20 @@ def test_terms(text, terms):
     assert parse_query(text) == tuple(terms)
 
 
-@pytest.mark.parametrize("text", ["SST[a]", "SST[1", "SST.SST[1:3:4:5]", "SST[]", "SST[-1]", "SST[ 1]", "SST[1]2]", "SST[1:]", "%ff"])
+@pytest.mark.parametrize("text", ["w[x]", "w[7", "w.w[2:4:6:8]", "w[]", "w[-2]", "w[ 2]", "w[2]3]", "w[2:]", "w[[2]", "w[2]x[3]", "%ff"])
 def test_errors(text):
     with pytest.raises(QueryError):
         parse_query(text)
 
 
-def test_slabs():
-    assert parse_slab("[0:2:30]") == (Span(0, 30, 2),)
-    assert parse_slab("[0:30][1][0:1200]") == (Span(0, 30), Span(1, 1), Span(0, 1200))
-    assert [s.count for s in parse_slab("[1][1:5][1:2:7][1:2:8]")] == [1, 5, 4, 4]
-    for bad in ("[0:3:4:40]", "[0:a:40]", "[]", "0:1"):
+@given(st.lists(st.lists(st.integers(0, 10**12), min_size=1, max_size=3), min_size=1, max_size=6), st.data())
+def test_any_slab_comes_back(numbers, data):
+    text = "".join(f"[{':'.join(map(str, n))}]" + "]" * data.draw(st.integers(0, 2)) for n in numbers)
+    assert parse_slab(text) == tuple(Span(n[0], n[-1], n[1] if len(n) == 3 else None) for n in numbers)
+
+
+def test_counts_and_what_is_no_slab():
+    assert [s.count for s in parse_slab("[9][4:9][4:2:9][4:3:10]")] == [1, 6, 3, 3]
+    for bad in ("[1:2:3:4]", "[5:b:6]", "[]", "2:3", "", "]", "[1]x"):
         with pytest.raises(QueryError):
             parse_slab(bad)

@@ -6,65 +6,66 @@ from slabworks.plans.query import parse_query
 from slabworks.plans.schema import TYPES, BindError, Schema, Variable
 
 T = TYPES
-CUBE = (("TIME", "COADSY", "COADSX"), (12, 90, 180))
-COADS = Schema(
-    "coads",
+CUBE = (("depth", "lat", "lon"), (10, 30, 70))
+SEA = Schema(
+    "sea",
     [
-        Variable("COADSY", T["Float64"], ("COADSY",), (90,)),
-        Variable("COADSX", T["Float64"], ("COADSX",), (180,)),
-        Variable("TIME", T["Float64"], ("TIME",), (12,)),
-        *(Variable(n, T["Float32"], *CUBE) for n in ("AIRT", "UWND", "SST", "VWND")),
+        Variable("lat", T["Float64"], ("lat",), (30,)),
+        Variable("lon", T["Float64"], ("lon",), (70,)),
+        Variable("depth", T["Float64"], ("depth",), (10,)),
+        *(Variable(n, T["Float32"], *CUBE) for n in ("salt", "heat")),
     ],
 )
 
 
-def ask(text, schema=COADS):
+def ask(text, schema=SEA):
     return schema.bind(parse_query(text))
 
 
+# The layout of schema text is the protocol's.
 def grid(name):
     return f"""    Grid {{
      ARRAY:
-        Float32 {name}[TIME = 12][COADSY = 90][COADSX = 180];
+        Float32 {name}[depth = 10][lat = 30][lon = 70];
      MAPS:
-        Float64 TIME[TIME = 12];
-        Float64 COADSY[COADSY = 90];
-        Float64 COADSX[COADSX = 180];
+        Float64 depth[depth = 10];
+        Float64 lat[lat = 30];
+        Float64 lon[lon = 70];
     }} {name};
 """
 
 
 def test_all_variables_by_name():
-    x, y, t = "    Float64 COADSX[COADSX = 180];\n", "    Float64 COADSY[COADSY = 90];\n", "    Float64 TIME[TIME = 12];\n"
-    assert str(COADS.bind(())) == "Dataset {\n" + grid("AIRT") + x + y + grid("SST") + t + grid("UWND") + grid("VWND") + "} coads;"
+    depth, lat, lon = "    Float64 depth[depth = 10];\n", "    Float64 lat[lat = 30];\n", "    Float64 lon[lon = 70];\n"
+    assert str(SEA.bind(())) == "Dataset {\n" + depth + grid("heat") + lat + lon + grid("salt") + "} sea;"
 
 
-def test_golden_texts():
-    assert str(ask("TIME")) == "Dataset {\n    Float64 TIME[TIME = 12];\n} coads;"
-    assert str(ask("TIME[0:5]")) == "Dataset {\n    Float64 TIME[TIME = 6];\n} coads;"
-    assert str(ask("SST")) == "Dataset {\n" + grid("SST") + "} coads;"
-    assert str(ask("SST.SST")) == "Dataset {\n    Structure {\n        Float32 SST[TIME = 12][COADSY = 90][COADSX = 180];\n    } SST;\n} coads;"
-    assert str(ask("SST.TIME[0:5]")) == "Dataset {\n    Structure {\n        Float64 TIME[TIME = 6];\n    } SST;\n} coads;"
+def test_texts_of_each_form():
+    assert str(ask("depth")) == "Dataset {\n    Float64 depth[depth = 10];\n} sea;"
+    assert str(ask("depth[1:7]")) == "Dataset {\n    Float64 depth[depth = 7];\n} sea;"
+    assert str(ask("salt")) == "Dataset {\n" + grid("salt") + "} sea;"
+    assert str(ask("salt.salt")) == "Dataset {\n    Structure {\n        Float32 salt[depth = 10][lat = 30][lon = 70];\n    } salt;\n} sea;"
+    assert str(ask("salt.depth[1:7]")) == "Dataset {\n    Structure {\n        Float64 depth[depth = 7];\n    } salt;\n} sea;"
 
 
 def test_sizes():
-    whole, slab, time = ask("SST.SST"), ask("SST.SST[0:5][0:10][10:20]"), ask("SST.TIME[0:5]")
-    assert (whole.stored_bytes, whole.wire_bytes) == (777_600, 777_608)
-    assert (slab.stored_bytes, slab.wire_bytes) == (2_904, 2_912)
-    assert "[TIME = 6][COADSY = 11][COADSX = 11]" in str(slab)
-    assert time.stored_bytes == 48
-    assert whole.content_length == len(str(whole)) + 8 + 777_608
-    g = ask("SST[1][2:3]")
-    assert [leaf.counts for leaf in g.leaves] == [(1, 2, 180), (1,), (2,), (180,)]
+    whole, slab, depth = ask("salt.salt"), ask("salt.salt[2:4][5:9][60:69]"), ask("salt.depth[1:7]")
+    assert (whole.stored_bytes, whole.wire_bytes) == (84_000, 84_008)
+    assert (slab.stored_bytes, slab.wire_bytes) == (600, 608)
+    assert "[depth = 3][lat = 5][lon = 10]" in str(slab)
+    assert depth.stored_bytes == 56
+    assert whole.content_length == len(str(whole)) + 8 + 84_008
+    g = ask("salt[1][2:3]")
+    assert [leaf.counts for leaf in g.leaves] == [(1, 2, 70), (1,), (2,), (70,)]
     assert [leaf.starts for leaf in g.leaves] == [(1, 2, 0), (1,), (2,), (0,)]
 
 
 def test_order_is_that_of_the_source():
-    assert [p.outer for p in ask("SST,TIME,COADSX,COADSY").parts] == ["COADSY", "COADSX", "TIME", "SST"]
-    assert [(p.outer, p.kind) for p in ask("SST.TIME,TIME,SST,SST.SST").parts] == [("TIME", "variable"), ("SST", "structure"), ("SST", "grid"), ("SST", "structure")]
+    assert [p.outer for p in ask("heat,depth,salt,lon,lat").parts] == ["lat", "lon", "depth", "salt", "heat"]
+    assert [(p.outer, p.kind) for p in ask("salt.depth,depth,salt,salt.salt").parts] == [("depth", "variable"), ("salt", "structure"), ("salt", "grid"), ("salt", "structure")]
 
 
-@pytest.mark.parametrize("text", ["SST[0:2:5][0:70][0:70],TIME", "nothing", "SST.nothing", "nothing.SST", "TIME[12]", "TIME[0:12]", "TIME[5:4]", "TIME[0][0]", "", "sst", "SST[0][0:90]"])
+@pytest.mark.parametrize("text", ["salt[0:3:9][0:4],depth", "nothing", "salt.nothing", "nothing.salt", "depth[10]", "depth[0:10]", "depth[8:2]", "depth[0][0]", "", "SALT", "salt[0][0:30]"])
 def test_queries_that_do_not_fit(text):
     with pytest.raises(BindError):
         ask(text)
@@ -91,11 +92,11 @@ def test_odd_shapes():
 
 
 def test_attribute_text():
-    common = [Attribute("_FillValue", "Float32", (-1e34,)), Attribute("history", "String", ("From coads_climatology",)), Attribute("DIMENSION_LIST", "String", ("x",)), Attribute("flag", "unsupported", (1,))]
-    text = attribute_text(["TIME", "SST"], {None: [Attribute("history", "String", ("a",))], "SST": [*common, Attribute("n", "Int16", (1, 2)), Attribute("u", "UInt16", (1,)), Attribute("b", "Byte", (200,))]})
+    common = [Attribute("_FillValue", "Float32", (-1e34,)), Attribute("history", "String", ("made by hand",)), Attribute("DIMENSION_LIST", "String", ("x",)), Attribute("flag", "unsupported", (1,))]
+    text = attribute_text(["depth", "salt"], {None: [Attribute("history", "String", ("a",))], "salt": [*common, Attribute("n", "Int16", (1, 2)), Attribute("u", "UInt16", (1,)), Attribute("b", "Byte", (200,))]})
     assert text == (
-        'Attributes {\n    NC_GLOBAL {\n        String history "a";\n    }\n    TIME {\n    }\n    SST {\n        Float32 _FillValue -1.0E34;\n'
-        '        String history "From coads_climatology";\n        Int16 n 1, 2;\n        \n        Byte b 200;\n    }\n}'
+        'Attributes {\n    NC_GLOBAL {\n        String history "a";\n    }\n    depth {\n    }\n    salt {\n        Float32 _FillValue -1.0E34;\n'
+        '        String history "made by hand";\n        Int16 n 1, 2;\n        \n        Byte b 200;\n    }\n}'
     )
     assert attribute_text([], {}) == "Attributes {\n}"
     assert [real(x) for x in (0.0, 1.0, -2.5e-7, float("nan"), float("inf"))] == ["+0.0E0", "+1.0E0", "-2.5E-7", "NaN", "+inf"]

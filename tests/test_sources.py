@@ -1,5 +1,6 @@
 import json
 import os
+import re
 import threading
 import urllib.error
 import urllib.request
@@ -14,12 +15,13 @@ from slabworks.config import load
 from slabworks.functions.attributes import Attribute
 from slabworks.functions.wire import wire_dtype
 from slabworks.operators.catalog import Catalog, NotListed, list_folder
-from slabworks.operators.join_existing import Piece, pieces
+from slabworks.operators.join_existing import Piece, first_member, joined_range, pieces
 from slabworks.plans.schema import TYPES, BindError, Schema, Variable
 from slabworks.server import Service, serve
 from slabworks.sources.aggregate import DescriptionError, JoinedSource, read_description
 from slabworks.sources.base import ArraySource, Dataset, Stale
 from slabworks.sources.chunks import ChunkStore, write_store
+from slabworks.sources.tables import NotDense, TableSource
 from slabworks.sources.scan import dataset_files, open_dataset, open_folder
 
 
@@ -221,21 +223,21 @@ def test_grid_cells_have_map_values(spark, months):
     assert len(rows) == 8 and [(r["time"], r["y"], r["x"]) for r in rows[:2]] == [(31, 2.0, 0.0), (31, 2.0, 1.0)] and rows[0]["value"] == 31008.0
 
 
-PATHS = ["coads1.nc", "coads2.nc", "path1/hula.nc", "path1/hula2.nc", "path1/sub/hula3.nc", "path2/bula.nc", "path3/path4/foo.nc"]
+PATHS = ["sea.h5", "air.h5", "north/ice.nc", "north/snow.nc", "north/deep/cold.nc", "south/sun.nc", "west/far/wind.nc"]
 
 
 def test_catalog(spark):
     c = Catalog(PATHS)
-    assert c.folder("path1/") == c.folder("path1") == (["sub"], ["hula.nc", "hula2.nc"])
-    assert c.folder("path3/") == (["path4"], [])
-    assert c.folder() == (["path1", "path2", "path3"], ["coads1.nc", "coads2.nc"])
-    for missing in ("coads1.nc", "path1/non-exist.nc", "missing_path1/", "path"):
+    assert c.folder("north/") == c.folder("north") == (["deep"], ["ice.nc", "snow.nc"])
+    assert c.folder("west/") == (["far"], [])
+    assert c.folder() == (["north", "south", "west"], ["air.h5", "sea.h5"])
+    for missing in ("sea.h5", "north/none.nc", "east/", "nor"):
         with pytest.raises(NotListed):
             c.folder(missing)
     with pytest.raises(NotListed):
         c.get("nothing")
     keys = spark.createDataFrame([(p,) for p in [*PATHS, PATHS[0]]], "key string")
-    for folder in ("", "path1", "path3/", "none"):
+    for folder in ("", "north", "west/", "none"):
         folders, names = c.folder(folder) if folder != "none" else ([], [])
         assert sorted(map(tuple, list_folder(keys, folder).collect())) == sorted([("folder", f) for f in folders] + [("dataset", n) for n in names])
 
@@ -290,3 +292,60 @@ def test_large_boxes_are_encoded_by_tasks(spark, months, monkeypatch):
     small = b"".join(d.dods("P[2:20]")[1])
     monkeypatch.setattr(body, "SMALL_CELLS", 10)
     assert b"".join(d.dods("P[2:20]")[1]) == small
+
+
+def test_an_index_with_gaps_or_repeats_is_refused(spark):
+    def table(*index):
+        return spark.createDataFrame([(i, float(k)) for k, i in enumerate(index)], "n long, v double")
+
+    assert TableSource(table(2, 0, 1), "t", "n").length == 3 and TableSource(table(), "t", "n").length == 0
+    for bad in ((0, 2), (1, 2), (0, 1, 1, 3), (0, None), (0, 1, 1), (0, 0, 3, 3)):
+        with pytest.raises(NotDense):
+            TableSource(table(*bad), "t", "n")
+
+
+def test_changes_and_failures_are_told_by_the_status(spark, months):
+    class Failing(NumpySource):
+        def cells(self, name, starts, counts):
+            return super().cells(name, starts, counts).withColumn("value", F.raise_error(F.lit("lost")).cast("int"))
+
+    failing = Failing(spark, months[0].arrays)
+    service = Service(Catalog({"a": Dataset("a", months[0]), "b": Dataset("b", failing)}))
+    assert service.reply("/data/b.dods", "time").status == 500
+    months[0].changed += 1
+    try:
+        assert service.reply("/data/a.dods", "time").status == 503
+    finally:
+        months[0].changed -= 1
+    reply = service.reply("/data/a.dods", "time[0:3]")
+    assert reply.status == 200 and len(b"".join(reply.body)) == int(reply.headers["Content-Length"])
+
+
+def test_kept_data_is_given_back(spark, months):
+    from slabworks.functions import index
+
+    index.release()
+    source = JoinedSource(list(months), "time")
+    with Dataset("d", source) as d:
+        kept = d.source.coordinate
+        assert kept.storageLevel.useMemory and d.cells("time")[0][1].count() == 59
+    assert not kept.storageLevel.useMemory
+    rows = index.dense_index(spark.range(20).toDF("x"), ["x"])
+    assert sorted(map(tuple, rows.collect())) == [(k, k) for k in range(20)] and len(index._HELD) == 1
+    index.release()
+    assert not index._HELD and sorted(map(tuple, rows.collect())) == [(k, k) for k in range(20)]
+
+
+def test_ranges_of_joined_tables_read_only_their_members(spark, tmp_path):
+    rows = [(m, k, float(100 * m + k)) for m, n in ((3, 5), (1, 4), (2, 6)) for k in range(n)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "m int, k int, c double").write.partitionBy("m").parquet(path)
+    table = spark.read.parquet(path)
+    whole = sorted((r["m"], r["k"]) for r in table.collect())
+    for start, count in ((0, 15), (3, 4), (4, 6), (14, 1), (0, 0), (9, 3)):
+        found = joined_range(table, F.col("m"), F.col("c"), "k", start, count, "i")
+        assert sorted((r["i"], r["m"], r["k"]) for r in found.collect()) == [(i, *whole[i]) for i in range(start, start + count)]
+    only = joined_range(table, F.col("m"), F.col("c"), "k", 4, 6, "i")
+    assert re.search(r"PartitionFilters: \[.*m#\d+ <=> 2\)?\]", only._jdf.queryExecution().toString())
+    first = first_member(table, F.col("m"), F.col("c"), "k")
+    assert {r["m"] for r in first.collect()} == {1} and first.count() == 4 and first_member(table.limit(0), F.col("m"), F.col("c"), "k").count() == 0
