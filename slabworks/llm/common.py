@@ -20,6 +20,20 @@ from ..session import importable
 _FALLBACK: dict[str, str] = {}
 
 
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def cleared(spark: SparkSession):
+    """Deletes what operators wrote to the shared folder within the block, which has to write its results elsewhere."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,7 +57,10 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_root(spark)}/slabworks-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/slabworks-{what}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:
@@ -161,6 +178,12 @@ def maybe(rows: DataFrame, key: Column, keys: DataFrame, of: Column) -> DataFram
     return found.select(*rows.columns, F.coalesce(F.bit_get(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias("__maybe"))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns ``c0, c1, …``, and the columns that give it back under its own names."""
+    names = docs.columns
+    return docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]), [F.col(f"c{k}").alias(c) for k, c in enumerate(names)]
+
+
 def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """``docs`` with ``__key``, by which rows can be ordered: ids first by value, null ids last, ties by text."""
     sha = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
@@ -177,8 +200,9 @@ def keep_rows(docs: DataFrame, found: DataFrame, id_col: str, text: str, size: s
     """
     contested = found.where(F.col(size) > 1).groupBy("__key").agg(F.max("kept").alias("__kept")).withColumnRenamed("__key", "__of")
     contested = saved(contested, "contested")
-    rows = maybe(keyed(docs, id_col, text), F.col("__key"), contested, F.col("__of"))
-    alone = rows.where(~F.col("__maybe")).select(*docs.columns)
+    own, back = numbered(docs)  # columns may have any name
+    rows = maybe(keyed(own, *(f"c{docs.columns.index(c)}" for c in (id_col, text))), F.col("__key"), contested, F.col("__of"))
+    alone = rows.where(~F.col("__maybe")).select(*back)
     shared = rows.where("__maybe").dropDuplicates(["__key"])  # combined in the tasks before rows are moved
     decided = shared.join(contested.hint("merge"), F.col("__key") == F.col("__of"), "left").where(F.coalesce("__kept", F.lit(True)))
-    return alone.unionByName(decided.select(*docs.columns))
+    return alone.unionByName(decided.select(*back))

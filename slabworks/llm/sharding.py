@@ -19,7 +19,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import numbered, saved
 
 VIRTUAL_NODES = 64
 SLOTS = 1 << 16
@@ -84,19 +84,20 @@ def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", virtual_nod
 
     Counts differ by at most one. A row's place on the ring is the hash of its id; a
     null id's is the hash of the other columns, ids may repeat, and rows that agree in every
-    column may take each other's places. Columns of the same names are replaced; names
-    that begin with two underscores are the operator's own and mustn't be there. No
-    rows give no rows.
+    column may take each other's places. Columns of the same names are replaced; others may
+    have any name. No rows give no rows.
     """
     spark = docs.sparkSession
     nodes = ring(spark, shards, virtual_nodes, slots)
     owner = [r["shard"] for r in nodes.orderBy("arc").collect()]
     if missing := set(range(shards)) - set(owner):
         raise ValueError(f"no virtual node is left of shards {sorted(missing)}: raise virtual_nodes or slots")
-    others = [c for c in docs.columns if c not in (id_col, "shard", "slot") and docs.schema[c].dataType.typeName() not in ("map", "variant")]
-    place = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit("null"), *others)).otherwise(F.xxhash64(F.lit("row"), F.col(id_col)))
-    part = F.pmod(F.xxhash64(F.lit("part"), F.col(id_col), *others), F.lit(PARTS))
-    rows = docs.drop("shard", "slot").withColumn("__hash", place).withColumn("__slot", F.pmod("__hash", F.lit(slots))).withColumn("__part", part)
+    rows, back = numbered(docs.drop("shard", "slot"))  # columns may have any name
+    whole = [c for c in docs.columns if c not in ("shard", "slot")]
+    own = F.col(f"c{whole.index(id_col)}")
+    rest = [F.col(f"c{k}") for k, c in enumerate(whole) if c != id_col and docs.schema[c].dataType.typeName() not in ("map", "variant")]
+    place = F.when(own.isNull(), F.xxhash64(F.lit("null"), *rest)).otherwise(F.xxhash64(F.lit("row"), own))
+    rows = rows.withColumn("__hash", place).withColumn("__slot", F.pmod("__hash", F.lit(slots))).withColumn("__part", F.pmod(F.xxhash64(F.lit("part"), own, *rest), F.lit(PARTS)))
     rows = rows.join(F.broadcast(slot_table(nodes, slots)), "__slot")  # ``slots`` rows, whatever the input
     sizes = saved(rows.groupBy("__arc", "__part").agg(F.count(F.lit(1)).alias("__n")), "arcs")  # ``PARTS`` rows for each arc at most
     counts = [0] * len(owner)
@@ -109,11 +110,11 @@ def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", virtual_nod
     names = ("__of", "__first", "__last", "shard", "__at")
     listed = F.from_json(F.lit(json.dumps([dict(zip(names, p, strict=True)) for p in plan])), kind)
     table = spark.range(1).select(F.inline(listed))
-    order = ["__hash", id_col, *others]
-    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__arc", "__part").orderBy(*order)) - 1)
-    ranked = ranked.join(F.broadcast(starts), ["__arc", "__part"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
+    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__arc", "__part").orderBy("__hash", own, *rest)) - 1)
+    # the rows lie by arc and part already, so only the starts are moved to them
+    ranked = ranked.join(starts.hint("merge"), ["__arc", "__part"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
     placed = ranked.join(F.broadcast(table), (F.col("__arc") == F.col("__of")) & (F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__last")))
-    return placed.withColumn("slot", F.col("__at") + F.col("__rank") - F.col("__first")).select(*[c for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
+    return placed.select(*back, "shard", (F.col("__at") + F.col("__rank") - F.col("__first")).alias("slot"))
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, keep_rows, keyed, saved, texts, with_id
+from .common import join_groups, keep_rows, keyed, saved, scratch, texts, with_id
 
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 SLICE = 1 << 16
@@ -165,7 +165,9 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root``: connected components of ``a, b`` by alternating large and small stars.
 
     Every node of an edge gets the smallest node that it reaches. Each round halves
-    the paths or so; its rows are written to the shared folder.
+    the paths or so; its rows are written to the shared folder and deleted after the next.
+    The joins have unique nodes on one side, so that a node with very many edges is split
+    by Spark's adaptive skew join.
     """
 
     def lowest(both: DataFrame) -> DataFrame:
@@ -184,16 +186,17 @@ def components(edges: DataFrame) -> DataFrame:
             made = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return made.where("u != v").distinct()
 
-    e = saved(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
-    while True:
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-        e = saved(star(star(e, small=False), small=True), "edges")
-    stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    with scratch(edges.sparkSession) as save:
+        e = save(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+        state = None
+        while True:
+            now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == state:
+                break
+            state = now
+            e = save(star(star(e, small=False), small=True), "edges")
+        stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return saved(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:

@@ -32,6 +32,6 @@ def edges(spark, more=()):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([*EDGES, *more], "doc_id long, text string")
-    for c in ("id", "key", "row", "words", "score", "label", "fp", "recipe", "kept", "h"):
+    for c in ("id", "key", "row", "words", "score", "label", "fp", "recipe", "kept", "h", "__key", "__n", "__hash", "__slot", "__arc", "__rank", "__row", "__of", "__maybe", "a.b"):
         df = df.withColumn(c, F.lit(None).cast("int"))
     return df

@@ -1,3 +1,4 @@
+import os
 import subprocess
 import sys
 
@@ -7,7 +8,7 @@ from tables import EDGES, rows
 from test_decontaminate import fewest
 from test_jaccard import reach
 
-from slabworks.llm import decontaminate, piece_codec
+from slabworks.llm import common, decontaminate, piece_codec
 from slabworks.llm.language_id import has_letter
 
 SF = "/root/testdata/sf0.001"
@@ -66,6 +67,13 @@ def test_edges_and_empty_tables(spark, tmp_path):
     assert docs.count() == 5
 
 
+def test_a_run_leaves_its_result_alone(spark, monkeypatch, tmp_path):
+    """Tables that stages wrote on the way are deleted when the next stage has been written."""
+    monkeypatch.setattr(common, "shared_root", lambda spark: f"file://{tmp_path}")
+    assert p.run(spark, SF).count() > 0
+    assert [x.rpartition("-")[0] for x in os.listdir(tmp_path)] == ["slabworks-stage-sentencepiece"]
+
+
 def test_language_stage_decides_by_its_model(spark):
     """A text with letters goes where the model finds it far from every language; without a model it stays."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
