@@ -7,6 +7,7 @@ import os
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 from functools import cached_property, reduce
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,6 +82,16 @@ class JoinedSource(ArraySource):
             return self.coordinate.where(F.col(f"i_{self.dim}").between(starts[0], starts[0] + counts[0] - 1))
         return self._joined(name, starts, counts)
 
+    def runs(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...]) -> Iterator[DataFrame] | None:
+        """Members' runs one after the other, if all that are touched have them; places count in each member."""
+        if not self.joins(self._schema.find(name)):
+            return self.members[0].runs(name, starts, counts)
+        parts = pieces(self.sizes, starts[0], counts[0])
+        found = [self.members[p.ordinal].runs(name, (p.start, *starts[1:]), (p.count, *counts[1:])) for p in parts]
+        if not found or any(f is None for f in found):
+            return None
+        return chain.from_iterable(found)
+
     def _joined(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...]) -> DataFrame:
         """Members that the range doesn't touch aren't in the plan at all."""
         axis = f"i_{self._schema.find(name).axes[0]}"

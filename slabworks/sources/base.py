@@ -12,7 +12,7 @@ from ..functions.wire import SEPARATOR, length_header
 from ..operators.grid import attach_maps
 from ..plans.query import EVERYTHING, QueryError, Term, parse_query
 from ..plans.schema import Answer, Leaf, Part, Schema
-from ..streaming.body import array_bytes
+from ..streaming.body import array_bytes, run_bytes
 
 
 class Stale(RuntimeError):
@@ -45,6 +45,13 @@ class ArraySource(ABC):
         """The source's own bytes, if it is one file."""
         raise FileNotFoundError("this dataset has no file of its own")
 
+    def runs(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...]) -> Iterator[DataFrame] | None:
+        """The box as it is stored, if it is stored in order: DataFrames of ``place, values``, one after the other.
+
+        ``values`` is a run of the box in row-major order, ``place`` that of its first cell.
+        """
+        return None
+
     def close(self) -> None:
         """Give back what the source keeps in Spark; it can still be read."""
 
@@ -65,6 +72,9 @@ class Together(ArraySource):
     def cells(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...]) -> DataFrame:
         return self.of[name].cells(name, starts, counts)
 
+    def runs(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...]) -> Iterator[DataFrame] | None:
+        return self.of[name].runs(name, starts, counts)
+
     def attributes(self) -> dict[str | None, list[Attribute]]:
         return {None: [a for s in self.sources for a in s.attributes().get(None, [])]} | {name: s.attributes().get(name, []) for name, s in self.of.items()}
 
@@ -145,6 +155,10 @@ class Dataset:
             for leaf in answer.leaves:
                 if not leaf.scalar:
                     yield length_header(leaf.cells)
+                if (runs := self.source.runs(leaf.name, leaf.starts, leaf.counts)) is not None:
+                    self.check()
+                    yield from run_bytes(runs, leaf.type)
+                    continue
                 axes = [f"i_{a}" for a in self.schema.find(leaf.name).axes]
                 yield from array_bytes(self.leaf(leaf), axes, leaf.type, leaf.cells)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 from functools import reduce
 from math import prod
 
@@ -21,6 +22,8 @@ from ..plans.schema import TYPES, Schema, Variable
 from .base import ArraySource
 
 SCHEMA_FILE = "_schema.json"
+#: Cells that the driver holds while it streams chunks that are stored in order.
+RUN_CELLS = 1 << 22
 
 
 def chunk_rows(cells: DataFrame, v: Variable, chunk: tuple[int, ...]) -> DataFrame:
@@ -79,10 +82,30 @@ class ChunkStore(ArraySource):
     def stamp(self) -> object:
         return os.stat(os.path.join(self.path, SCHEMA_FILE)).st_mtime_ns
 
+    def rows(self, v: Variable) -> DataFrame:
+        """A variable's chunks: ``c_<k>…, payload``."""
+        keys = "".join(f"c_{k} int, " for k in range(len(self.chunk[v.name])))
+        return self.spark.read.schema(f"{keys}payload array<{v.type.spark}>").parquet(f"{self.path}/variable={v.name}")
+
+    def runs(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...]) -> Iterator[DataFrame] | None:
+        """A box that is a run of the outermost dimension, where chunks are that as well: some chunks at a time, told to the scan."""
+        v, chunk = self._schema.find(name), self.chunk[name]
+        if not chunk or chunk[1:] != v.shape[1:] or counts[1:] != v.shape[1:] or not prod(counts):
+            return None
+        inner, step = prod(v.shape[1:]), max(1, RUN_CELLS // prod(chunk))
+        last = (starts[0] + counts[0] - 1) // chunk[0]
+
+        def some(low: int) -> DataFrame:
+            rows = self.rows(v).where(F.col("c_0").between(low, min(last, low + step - 1)))
+            first = F.col("c_0").cast("long") * chunk[0]
+            begin, end = F.greatest(first, F.lit(starts[0])), F.least(first + chunk[0], F.lit(min(v.shape[0], starts[0] + counts[0])))
+            return rows.select(((begin - starts[0]) * inner).alias("place"), F.slice("payload", ((begin - first) * inner + 1).cast("int"), ((end - begin) * inner).cast("int")).alias("values"))
+
+        return map(some, range(starts[0] // chunk[0], last + 1, step))
+
     def cells(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...]) -> DataFrame:
         v, chunk = self._schema.find(name), self.chunk[name]
-        keys = "".join(f"c_{k} int, " for k in range(len(chunk)))
-        rows = self.spark.read.schema(f"{keys}payload array<{v.type.spark}>").parquet(f"{self.path}/variable={name}")
+        rows = self.rows(v)
         for k, (start, count, n, size) in enumerate(zip(starts, counts, chunk, v.shape, strict=True)):
             if prod(counts) and count != size:
                 rows = rows.where(F.col(f"c_{k}").between(start // n, (start + count - 1) // n))

@@ -36,6 +36,15 @@ def encoded_rows(cells: DataFrame, axes: list[str], kind: ElementType, place: Co
     return ordered.select(at, F.col("value").cast(kind.spark).alias("value")).mapInArrow(run, "first long, payload binary")
 
 
+def run_bytes(runs: Iterator[DataFrame], kind: ElementType) -> Iterator[bytes]:
+    """The wire bytes of runs that are stored in order: no exchange, no Python worker; the driver holds one DataFrame's rows."""
+    for df in runs:
+        table = df.select("place", F.col("values").cast(f"array<{kind.spark}>").alias("values")).toArrow().sort_by("place")
+        for chunk in table.column("values").chunks:
+            for k in range(len(chunk)):
+                yield encode(chunk.slice(k, 1).flatten(), kind)
+
+
 def array_bytes(cells: DataFrame, axes: list[str], kind: ElementType, count: int | None = None) -> Iterator[bytes]:
     """The wire bytes in order, a task's worth at a time on the driver.
 

@@ -349,3 +349,18 @@ def test_ranges_of_joined_tables_read_only_their_members(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[.*m#\d+ <=> 2\)?\]", only._jdf.queryExecution().toString())
     first = first_member(table, F.col("m"), F.col("c"), "k")
     assert {r["m"] for r in first.collect()} == {1} and first.count() == 4 and first_member(table.limit(0), F.col("m"), F.col("c"), "k").count() == 0
+
+
+@pytest.mark.parametrize("run", [1, 30, 1 << 20])
+def test_chunks_in_order_are_streamed_as_they_lie(spark, months, tmp_path, monkeypatch, run):
+    from slabworks.sources import chunks
+
+    monkeypatch.setattr(chunks, "RUN_CELLS", run)
+    for name, source in zip(("jan", "feb"), months):
+        write_store(str(tmp_path / f"{name}.slab"), source, chunk_cells=40)  # three rows of the outermost dimension
+    jan, feb = (ChunkStore(spark, str(tmp_path / f"{n}.slab")) for n in ("jan", "feb"))
+    d, plain = Dataset("d", JoinedSource([feb, jan], "time")), Dataset("d", JoinedSource(list(months), "time"))
+    assert d.source.runs("P", (3, 0, 0), (40, 3, 4)) is not None and d.source.runs("P", (3, 0, 0), (40, 3, 2)) is None
+    for text in ("P", "P[3:40]", "P.P[30:31]", "P.P[58]", "P[2:9][1]", "time[5:33]", "mask", "mask[1:2]", None):
+        assert b"".join(d.dods(text)[1]) == b"".join(plain.dods(text)[1])
+    assert "Exchange" not in next(jan.runs("P", (3, 0, 0), (5, 3, 4)))._jdf.queryExecution().executedPlan().toString()
