@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from . import chat_format, decontaminate, exact_dedup, kneser_ney, language_id, license_scan, piece_codec, quality, sharding, simhash
+from . import centroids, chat_format, decontaminate, exact_dedup, filter_audit, kneser_ney, language_id, license_scan, piece_codec, quality, sharding, simhash
 from .common import small_batches
 
 _QUERIES = {
@@ -18,6 +18,8 @@ _QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_sentencepiece": piece_codec.op5_sentencepiece,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op13_centroids": centroids.op13_centroids,
 }
 
 
@@ -35,4 +37,6 @@ QUERIES = {name: _prepared(query) for name, query in _QUERIES.items()}
 SQL = {
     "op2_chat_format": chat_format.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op11_filter_audit": filter_audit.SQL,
+    "op13_centroids": centroids.SQL,
 }

@@ -12,7 +12,7 @@ def rows(table="documents", columns="doc_id, text", sf=SF):
 def against_sql(found, sql, sf=SF, **frames):
     """The DataFrame's rows and the SQL's, sorted, with columns in the order of their names."""
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, frame in frames.items():
         con.register(name, frame)

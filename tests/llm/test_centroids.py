@@ -1,0 +1,94 @@
+import hashlib
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tables import SF, against_sql
+
+from slabworks.llm import centroids as c
+
+
+def brute(rows, k, n_rounds, scale=64, width=64):
+    """``id, cluster, distance, …`` with every distance computed in Python's whole numbers."""
+    kept = []
+    for i, v in rows:
+        if v is not None and len(v) == width and all(x is not None and math.isfinite(x) for x in v):
+            kept.append((i, [max(-c.MOST, min(c.MOST, math.floor(scale * x))) for x in v]))
+    if not kept:
+        return []
+    sha = lambda i: hashlib.sha256(f"1:{i}".encode()).hexdigest()
+    start = [v for _, _, v in sorted((i is None, "" if i is None else sha(i), v) for i, v in kept)[:k]]
+    assign = lambda: [min((sum((a - b) ** 2 for a, b in zip(v, m, strict=True)), j) for j, m in enumerate(start)) for _, v in kept]
+    for _ in range(n_rounds):
+        own = assign()
+        for j in range(len(start)):
+            mine = [v for (_, v), (_, o) in zip(kept, own, strict=True) if o == j]
+            if mine:
+                start[j] = [sum(x) // len(mine) for x in zip(*mine, strict=True)]
+    own = assign()
+    total = sum(d for d, _ in own)
+    fits = lambda x: x if x < 1 << 63 else None
+    return [(i, j, d, fits(sum(x for x, o in own if o == j)), fits(total), hashlib.sha256(",".join(map(str, start[j])).encode()).hexdigest()) for (i, _), (d, j) in zip(kept, own, strict=True)]
+
+
+def found(df):
+    return sorted(map(str, (tuple(r) for r in df.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256").collect())))
+
+
+def edge_rows():
+    rng = np.random.default_rng(7)
+    rows = [(k, (rng.normal(size=64) * 0.02).tolist()) for k in range(60)]  # components of -1 and 0 mostly: many ties
+    rows += [(k, [0.0] * 64) for k in range(100, 140)] + [(5, [0.25] * 64), (5, [0.25] * 64), (None, [0.5] * 64), (None, None), (200, None), (201, []), (202, [1.0] * 63), (203, [1.0] * 65)]
+    rows += [(204, [math.nan] + [0.0] * 63), (205, [math.inf] * 64), (206, [None] + [0.0] * 63), (207, [1e30] * 64), (208, [-1e30] * 64)]
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_every_distance_in_whole_numbers(spark, kind):
+    rows = edge_rows()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+    for name in ("id", "v", "own", "x", "n", "label", "cluster", "upper", "a.b"):
+        df = df.withColumn(name, F.lit(None).cast("int"))
+    if kind == "float":
+        rows = [(i, v and [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
+    assert found(c.cluster(df)) == sorted(map(str, brute(rows, 16, 3)))
+
+
+def test_few_rows_and_none(spark):
+    rows = [(3, [0.0] * 64), (3, [1.0] * 64), (4, [1.0] * 64)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(c.cluster(df)) == sorted(map(str, brute(rows, 16, 3)))
+    assert c.cluster(df.limit(0)).collect() == []
+
+
+def test_bounds_hold_and_spare_distances():
+    rng = np.random.default_rng(1)
+    middle = rng.integers(-50, 50, (16, 64))
+    x = (middle[rng.integers(0, 16, 3000)] + rng.integers(-6, 7, (3000, 64))).astype(np.int64)
+    now = x[:16].copy()
+    state, computed = c.first_state(x, now), []
+    for _ in range(5):
+        before, now = now, np.stack([x[state.own == j].sum(0) // max(1, (state.own == j).sum()) if (state.own == j).any() else now[j] for j in range(16)])
+        stored = c.State(x, state.own, c._stored(state.upper, True), c._stored(state.lower, False))
+        state = c.next_state(stored, before, now)
+        computed.append(state.computed)
+        d = ((x[:, None] - now[None]) ** 2).sum(-1)
+        assert (state.own == d.argmin(1)).all()
+        assert (state.upper >= np.sqrt(d[np.arange(3000), state.own])).all() and (state.lower <= np.sqrt(d)).all()
+    assert computed[-1] < 0.2 * 16 * 3000
+
+
+def test_ties_are_never_pruned():
+    """Points half way between two centroids, after moves that bring them there."""
+    x = np.array([[0, 0], [2, 0], [4, 0], [1, 0], [3, 0]], np.int64)
+    before = np.array([[9, 0], [0, 0], [4, 0]], np.int64)
+    for now in ([[2, 0], [0, 0], [4, 0]], [[0, 0], [2, 0], [2, 0]], [[4, 0], [4, 0], [0, 0]]):
+        now = np.array(now, np.int64)
+        d = ((x[:, None] - now[None]) ** 2).sum(-1)
+        assert (c.next_state(c.first_state(x, before), before, now).own == d.argmin(1)).all()
+
+
+def test_query_gives_the_rows_of_its_sql(spark):
+    ours, theirs = against_sql(c.op13_centroids(spark, SF), c.SQL)
+    assert ours == theirs and ours
