@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from . import centroids, chat_format, decontaminate, exact_dedup, filter_audit, kneser_ney, language_id, license_scan, piece_codec, quality, sharding, simhash
+from . import centroids, chat_format, decontaminate, exact_dedup, filter_audit, kneser_ney, language_id, license_scan, piece_codec, quality, sharding, simhash, toxicity
 from .common import small_batches
 
 _QUERIES = {
@@ -19,6 +19,7 @@ _QUERIES = {
     "op5_sentencepiece": piece_codec.op5_sentencepiece,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_centroids": centroids.op13_centroids,
 }
 
