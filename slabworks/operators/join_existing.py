@@ -7,7 +7,6 @@ aggregate and their offsets a running sum over one row a member.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +15,10 @@ from ..functions.index import dense_index
 from .slab import within
 
 
+#: A table of more members than this isn't broadcast on our word; Spark chooses the join.
+BROADCAST_MEMBERS = 1_000_000
+
+
 def member_stats(table: DataFrame, member: Column, coordinate: Column, order: str) -> DataFrame:
     """``member, n, rank``: rows of each member, and its coordinate in the row that is first by ``order``."""
     return table.groupBy(member.alias("member")).agg(F.count(F.lit(1)).alias("n"), F.min_by(coordinate, F.col(order)).cast("double").alias("rank"))
@@ -35,24 +38,32 @@ def joined(table: DataFrame, member: Column, coordinate: Column, order: str, ind
     they are.
     """
     members = member_offsets(member_stats(table, member, coordinate, order)).select(F.col("member").alias("__m"), "ordinal")
-    rows = table.withColumn("member", member).join(members, F.col("member").eqNullSafe(F.col("__m"))).drop("__m")
-    return dense_index(rows, ["ordinal", order], index)
+    return dense_index(_of_members(table, member, members), ["ordinal", order], index)
+
+
+def _of_members(table: DataFrame, member: Column, members: DataFrame) -> DataFrame:
+    """Rows of ``table`` whose member is in ``__m``, with ``member`` and the other columns of ``members``.
+
+    Hot members make no hot task where ``members`` is sent to all tasks, as Spark
+    does below its own limit; beyond it adaptive execution splits them.
+    """
+    return table.withColumn("member", member).join(members, F.col("member").eqNullSafe(F.col("__m"))).drop("__m")
 
 
 def joined_range(table: DataFrame, member: Column, coordinate: Column, order: str, start: int, count: int, index: str = "i_joined") -> DataFrame:
-    """``joined``, cut to ``count`` rows from ``start`` on; only members that the range touches are read and numbered.
+    """``joined``, cut to ``count`` rows from ``start`` on; only members that the range touches are numbered.
 
-    The driver gets a row for each member, as for every dataset that is joined.
+    Where ``member`` is a partition column, members that aren't touched aren't read: the
+    few that are reach the scan by dynamic partition pruning. The plan is the same for
+    any number of members; the driver gets two numbers.
     """
-    members = member_offsets(member_stats(table, member, coordinate, order)).orderBy("ordinal").collect()
-    touched = pieces([m["n"] for m in members], start, count)
-    rows = table.withColumn("member", member)
-    if not touched:
-        return joined(table, member, coordinate, order, index).limit(0)
-    spans = [(members[p.ordinal]["member"], p.ordinal) for p in touched]
-    is_one = reduce(Column.__or__, [F.col("member").eqNullSafe(F.lit(name)) for name, _ in spans])
-    ordinal = reduce(lambda c, s: c.when(F.col("member").eqNullSafe(F.lit(s[0])), s[1]), spans, F).cast("int")
-    numbered = dense_index(rows.where(is_one).withColumn("ordinal", ordinal), ["ordinal", order], index).withColumn(index, F.col(index) + touched[0].offset)
+    members = member_offsets(member_stats(table, member, coordinate, order))
+    touched = members.where((F.col("member_start") < start + count) & (F.col("member_start") + F.col("n") > start) & F.lit(count > 0))
+    touched = touched.select(F.col("member").alias("__m"), "ordinal", "member_start")
+    first, n = touched.agg(F.min("member_start"), F.count(F.lit(1))).first()
+    names = touched.drop("member_start")
+    rows = _of_members(table, member, F.broadcast(names) if n <= BROADCAST_MEMBERS else names)
+    numbered = dense_index(rows, ["ordinal", order], index).withColumn(index, F.col(index) + (first or 0))
     return numbered.where(within(F.col(index), start, count))
 
 

@@ -13,19 +13,32 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder that the driver and all executors see, by a path that ``open`` takes: below ``spark.checkpoint.dir``, or, where that isn't set, of this machine alone until the driver ends."""
+def shared_path(spark: SparkSession, what: str) -> str:
+    """The path of a new folder that the driver and all executors see: below ``spark.checkpoint.dir``, or, where that isn't set, of this machine alone until the driver ends."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="slabworks-")
         atexit.register(shutil.rmtree, root, True)
-    path = f"{'/' + root[5:].lstrip('/') if root.startswith('file:') else root.rstrip('/')}/slabworks-{what}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/slabworks-{what}-{uuid.uuid4().hex}"
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """``shared_path`` as a folder that exists, by a path that ``open`` takes."""
+    path = posix(shared_path(spark, what))
     os.makedirs(path)
     return path
 
 
+def posix(path: str) -> str:
+    """The path of a folder on a mounted file system, as ``open`` takes it."""
+    path = "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+    if "://" in path:
+        raise ValueError(f"this needs a folder on a mounted file system, not {path}")
+    return path
+
+
 def importable(spark: SparkSession) -> SparkSession:
     """Put the package on the path of Python workers, for sessions begun in another folder.
 
@@ -37,3 +50,41 @@ def importable(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole or not at all, on whatever file system Spark reaches by the path."""
+    fs, p = _file_system(spark, path)
+    tmp = p.suffix(f".{uuid.uuid4().hex}.tmp")
+    out = fs.create(tmp, True)
+    out.write(text.encode())
+    out.close()
+    if fs.exists(p):
+        fs.delete(p, False)
+    if not fs.rename(tmp, p):
+        raise OSError(f"can't write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _file_system(spark, path)
+    found = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(found, "UTF-8")
+    finally:
+        found.close()
+
+
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file was last changed, in milliseconds."""
+    fs, p = _file_system(spark, path)
+    return fs.getFileStatus(p).getModificationTime()
+
+
+def plain(path: str) -> str:
+    """A path as text that is the same however Spark spells it."""
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path.rstrip("/")

@@ -13,30 +13,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.attributes import Attribute
-from ..operators.join_existing import pieces
+from ..operators.join_existing import Piece, pieces
 from ..operators.slab import index_type
 from ..plans.schema import Schema, Variable
+from ..session import plain
 from .base import ArraySource
+from .chunks import SCHEMA_FILE, ChunkStore, store_of, store_stamps, taken_apart
+
+#: Of more stores than this a job lists when they were changed; of fewer the driver asks for each.
+LISTED = 32
 
 
 class JoinedSource(ArraySource):
     """Members in the order of their first coordinate; the first gives schema and attributes.
 
     Variables whose first dimension isn't ``dim`` come from the first member. The
-    coordinate is read once and kept; overlaps and repeats stay.
+    coordinate is read once and kept; overlaps and repeats stay. Members that are
+    chunk stores alike in types and chunks are read by one scan, however many they are.
     """
 
     def __init__(self, members: list[ArraySource], dim: str, stamp: Callable[[], object] | None = None):
         if not members:
             raise ValueError("no members")
-        lengths, heads = [], []
-        for k, m in enumerate(members):
-            v = m.schema().find(dim)
-            lengths.append(v.shape[0])
-            if not v.shape[0]:
+        lengths = [m.schema().find(dim).shape[0] for m in members]
+        for k, n in enumerate(lengths):
+            if not n:
                 raise ValueError(f"member {k} has no {dim}")
-            heads.append(m.cells(dim, (0,), (1,)).select(F.lit(k).alias("k"), F.col("value").cast("double").alias("rank")))
-        found = {r["k"]: r["rank"] for r in reduce(DataFrame.unionByName, heads).collect()}  # a row for each member, one job
+        if alike(members, dim):
+            heads = first_values(members, dim)
+        else:
+            heads = reduce(DataFrame.unionByName, [m.cells(dim, (0,), (1,)).select(F.lit(k).alias("k"), F.col("value").cast("double").alias("rank")) for k, m in enumerate(members)])
+        found = {r["k"]: r["rank"] for r in heads.collect()}  # a row for each member, one job
         known = [k for k in range(len(members)) if not math.isnan(found[k])]
         order = sorted(range(len(members)), key=lambda k: found[k]) if len(known) == len(members) else _insertion(members, found)
         self.members = [members[k] for k in order]
@@ -62,7 +69,10 @@ class JoinedSource(ArraySource):
         return self.members[0].attributes()
 
     def stamp(self) -> object:
-        return (self._stamp() if self._stamp else None, tuple(m.stamp() for m in self.members))
+        own = self._stamp() if self._stamp else None
+        if len(self.members) > LISTED and all(isinstance(m, ChunkStore) for m in self.members):
+            return (own, store_stamps(self.members[0].spark, [m.path for m in self.members]))
+        return (own, tuple(m.stamp() for m in self.members))
 
     @cached_property
     def coordinate(self) -> DataFrame:
@@ -94,15 +104,43 @@ class JoinedSource(ArraySource):
 
     def _joined(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...]) -> DataFrame:
         """Members that the range doesn't touch aren't in the plan at all."""
-        axis = f"i_{self._schema.find(name).axes[0]}"
+        v = self._schema.find(name)
+        axis, touched = f"i_{v.axes[0]}", pieces(self.sizes, starts[0], counts[0])
+        own = [self.members[p.ordinal] for p in touched]
+        if touched and alike(own, name):
+            return taken_apart(self._chunks(v, own, touched), v, own[0].chunk[name], starts, counts, F.col("n"), F.col("member_start"))
         parts = [
             self.members[p.ordinal].cells(name, (p.start, *starts[1:]), (p.count, *counts[1:])).withColumn(axis, (F.col(axis).cast("long") + p.offset).cast(index_type(sum(self.sizes))))
-            for p in pieces(self.sizes, starts[0], counts[0])
+            for p in touched
         ]
         if not parts:
             return self.members[0].cells(name, (0, *starts[1:]), (0, *counts[1:])).limit(0)
         return reduce(DataFrame.unionByName, parts)
 
+    def _chunks(self, v: Variable, own: list[ChunkStore], touched: list[Piece]) -> DataFrame:
+        """Chunks of stores that lie anywhere, by one scan; a small table says where each begins in the whole."""
+        spark = own[0].spark
+        begin = spark.createDataFrame([(plain(m.path), self.sizes[p.ordinal], p.offset) for m, p in zip(own, touched, strict=True)], "of string, n long, member_start long")
+        # a member may be listed twice: its chunks are read once and have a row for each
+        return own[0].rows(v, [m.path for m in own]).withColumn("store", store_of(F.col("_metadata.file_path"))).join(F.broadcast(begin), F.col("store") == F.col("of"))
+
+
+def alike(members: list[ArraySource], name: str) -> bool:
+    """Are all of them chunk stores that can be read by one scan of a variable?"""
+    if not all(isinstance(m, ChunkStore) and name in m.chunk for m in members):
+        return False
+    of = {(m.chunk[name], m.schema().find(name).type.name, m.schema().find(name).shape[1:]) for m in members}
+    return len(of) == 1
+
+
+def first_values(stores: list[ChunkStore], dim: str) -> DataFrame:
+    """``k, rank``: the first value of each store's coordinate, by one scan of first chunks."""
+    spark = stores[0].spark
+    rows = stores[0].rows(stores[0].schema().find(dim), [m.path for m in stores]).where("c_0 = 0")
+    heads = rows.select(store_of(F.col("_metadata.file_path")).alias("store"), F.get("payload", F.lit(0)).cast("double").alias("rank"))
+    own = spark.createDataFrame([(k, plain(m.path)) for k, m in enumerate(stores)], "k int, of string")
+    return heads.join(F.broadcast(own), F.col("store") == F.col("of")).select("k", "rank")
+
 
 def _insertion(members: list[ArraySource], rank: dict[int, float]) -> list[int]:
     """A stable order in which a rank that isn't a number counts as equal to any other."""
@@ -160,7 +198,7 @@ def scan_members(folder: str, suffix: str, ignore: str | None = None) -> Iterato
     if own.startswith(".") and own not in (".", ".."):
         return
     for top, folders, files in os.walk(folder, followlinks=True):
-        stores = [d for d in folders if os.path.exists(os.path.join(top, d, "_schema.json"))]
+        stores = [d for d in folders if os.path.exists(os.path.join(top, d, SCHEMA_FILE))]
         folders[:] = sorted(d for d in folders if not d.startswith(".") and d not in stores)
         for name in sorted([*files, *stores]):
             path = os.path.join(top, name)

@@ -8,7 +8,6 @@ that it meets are taken apart into cells.
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 from functools import reduce
 from math import prod
@@ -19,9 +18,10 @@ from pyspark.sql import functions as F
 from ..functions.attributes import Attribute
 from ..operators.slab import index_type, restrict
 from ..plans.schema import TYPES, Schema, Variable
+from ..session import modified, plain, read_text, write_text
 from .base import ArraySource
 
-SCHEMA_FILE = "_schema.json"
+SCHEMA_FILE = "schema.json"
 #: Cells that the driver holds while it streams chunks that are stored in order.
 RUN_CELLS = 1 << 22
 
@@ -47,25 +47,79 @@ def write_store(path: str, source: ArraySource, chunk_cells: int = 65_536, only:
         if only is not None and v.name not in only:
             continue
         chunk, left = [], chunk_cells
-        for n in reversed(v.shape):
-            chunk.insert(0, max(1, min(n, left)))
+        for k, n in reversed(list(enumerate(v.shape))):
+            chunk.insert(0, max(1, min(n, left) if k else left))  # of the outermost alike in stores of any length
             left //= max(1, chunk[0])
         rows = chunk_rows(source.cells(v.name, (0,) * len(v.shape), v.shape), v, tuple(chunk))
         keys = [f"c_{k}" for k in range(len(chunk))]
         rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else rows
         rows.write.parquet(f"{path}/variable={v.name}")
         book["variables"].append({"name": v.name, "type": v.type.name, "dims": list(v.dims), "shape": list(v.shape), "chunk": chunk})
-    with open(os.path.join(path, f".{SCHEMA_FILE}.tmp"), "w") as f:
-        json.dump(book, f)
-    os.replace(os.path.join(path, f".{SCHEMA_FILE}.tmp"), os.path.join(path, SCHEMA_FILE))
+    write_text(rows.sparkSession, f"{path}/{SCHEMA_FILE}", json.dumps(book))
+
+
+def store_of(path: Column) -> Column:
+    """The store that a file of a variable lies in, as ``session.plain`` spells it."""
+    return F.regexp_replace(F.regexp_extract(path, r"^(.*)/variable=[^/]*/.*$", 1), "^file:/+", "/")
+
+
+def open_stores(spark: SparkSession, paths: list[str]) -> list[ChunkStore]:
+    """Many stores opened by one job: their schema files are read by tasks, a row for each store comes to the driver."""
+    files = spark.read.format("binaryFile").load([f"{p}/{SCHEMA_FILE}" for p in dict.fromkeys(paths)])
+    rows = files.select("path", "modificationTime", F.col("content").cast("string").alias("text")).collect()
+    found = {plain(r["path"]).removesuffix(f"/{SCHEMA_FILE}"): r for r in rows}
+    return [ChunkStore(spark, p, json.loads(found[plain(p)]["text"])) for p in paths]
+
+
+def store_stamps(spark: SparkSession, paths: list[str]) -> tuple:
+    """What ``ChunkStore.stamp`` tells of many stores, by one listing."""
+    files = spark.read.format("binaryFile").load([f"{p}/{SCHEMA_FILE}" for p in dict.fromkeys(paths)])
+    return tuple(sorted((plain(r["path"]), r["at"]) for r in files.select("path", F.unix_millis("modificationTime").alias("at")).collect()))
+
+
+def taken_apart(rows: DataFrame, v: Variable, chunk: tuple[int, ...], starts: tuple[int, ...], counts: tuple[int, ...], length: Column | None = None, offset: Column | None = None) -> DataFrame:
+    """The cells of a box, of rows of chunks; only chunks that it meets are taken apart.
+
+    Where chunks are of members of a joined array, ``length`` is the member's extent of
+    the outermost axis and ``offset`` its first index in the whole.
+    """
+    if not all(counts):
+        rows = rows.limit(0)
+    begin = F.lit(starts[0]) - (F.lit(0) if offset is None else offset) if chunk else F.lit(0)
+    for k, (start, count, n, size) in enumerate(zip(starts, counts, chunk, v.shape, strict=True)):
+        if not all(counts) or count == size:
+            continue
+        if k or offset is None:
+            rows = rows.where(F.col(f"c_{k}").between(start // n, (start + count - 1) // n))
+        else:
+            rows = rows.where(((F.col("c_0").cast("long") + 1) * n > begin) & (F.col("c_0").cast("long") * n < begin + count))
+    sizes = [F.lit(size) for size in v.shape]
+    if length is not None:
+        sizes[0] = length
+    extents = [F.least(F.lit(n), size - F.col(f"c_{k}").cast("long") * n).cast("int") for k, (n, size) in enumerate(zip(chunk, sizes, strict=True))]
+    skip, payload = F.lit(0), F.col("payload")
+    if chunk and counts[0] != v.shape[0]:  # of the outermost axis only the rows in the box are taken out of the payload
+        inner, first = reduce(Column.__mul__, extents[1:], F.lit(1)), F.col("c_0").cast("long") * chunk[0]
+        low = F.greatest(F.lit(0), begin - first)
+        high = F.least(extents[0], begin + counts[0] - first)
+        skip, payload = (low * inner).cast("int"), F.slice("payload", (low * inner + 1).cast("int"), F.greatest(F.lit(0), (high - low) * inner).cast("int"))
+    kept = [] if length is None else [length.alias("n"), offset.alias("member_start")]
+    rows = rows.select(*[f"c_{k}" for k in range(len(chunk))], *kept, skip.alias("skip"), F.posexplode(payload).alias("at", "value"))
+    left, index = F.col("at") + F.col("skip"), []
+    for k in reversed(range(len(chunk))):
+        extent = extents[k]
+        at = F.col(f"c_{k}").cast("long") * chunk[k] + left % extent + (F.col("member_start") if kept and not k else 0)
+        index.insert(0, at.cast(index_type(v.shape[k])).alias(f"i_{v.axes[k]}"))
+        left = F.floor(left / extent)
+    cells = rows.select(*index, "value")
+    return restrict(cells, v.axes, starts, counts, v.shape) if all(counts) else cells
 
 
 class ChunkStore(ArraySource):
     """A chunk store on disk."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        with open(os.path.join(path, SCHEMA_FILE)) as f:
-            book = json.load(f)
+    def __init__(self, spark: SparkSession, path: str, book: dict | None = None):
+        book = book or json.loads(read_text(spark, f"{path}/{SCHEMA_FILE}"))
         self.spark, self.path, self.book = spark, path, book
         self.chunk = {v["name"]: tuple(v["chunk"]) for v in book["variables"]}
         self._schema = Schema("", [Variable(v["name"], TYPES[v["type"]], tuple(v["dims"]), tuple(v["shape"])) for v in book["variables"]])
@@ -80,12 +134,12 @@ class ChunkStore(ArraySource):
         return {name: [Attribute(a, kind, tuple(values)) for a, kind, values in own] for name, own in self.book["attributes"]}
 
     def stamp(self) -> object:
-        return os.stat(os.path.join(self.path, SCHEMA_FILE)).st_mtime_ns
+        return modified(self.spark, f"{self.path}/{SCHEMA_FILE}")
 
-    def rows(self, v: Variable) -> DataFrame:
-        """A variable's chunks: ``c_<k>…, payload``."""
+    def rows(self, v: Variable, stores: list[str] | None = None) -> DataFrame:
+        """A variable's chunks: ``c_<k>…, payload``; with ``stores``, those of other stores that are cut alike."""
         keys = "".join(f"c_{k} int, " for k in range(len(self.chunk[v.name])))
-        return self.spark.read.schema(f"{keys}payload array<{v.type.spark}>").parquet(f"{self.path}/variable={v.name}")
+        return self.spark.read.schema(f"{keys}payload array<{v.type.spark}>").parquet(*[f"{p}/variable={v.name}" for p in dict.fromkeys(stores or [self.path])])
 
     def runs(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...]) -> Iterator[DataFrame] | None:
         """A box that is a run of the outermost dimension, where chunks are that as well: some chunks at a time, told to the scan."""
@@ -104,23 +158,5 @@ class ChunkStore(ArraySource):
         return map(some, range(starts[0] // chunk[0], last + 1, step))
 
     def cells(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...]) -> DataFrame:
-        v, chunk = self._schema.find(name), self.chunk[name]
-        rows = self.rows(v)
-        for k, (start, count, n, size) in enumerate(zip(starts, counts, chunk, v.shape, strict=True)):
-            if prod(counts) and count != size:
-                rows = rows.where(F.col(f"c_{k}").between(start // n, (start + count - 1) // n))
-        extents = [F.least(F.lit(n), F.lit(size) - F.col(f"c_{k}").cast("long") * n).cast("int") for k, (n, size) in enumerate(zip(chunk, v.shape, strict=True))]
-        skip, payload = F.lit(0), F.col("payload")
-        if chunk and counts[0] != v.shape[0]:  # of the outermost axis only the rows in the box are taken out of the payload
-            inner, first = reduce(Column.__mul__, extents[1:], F.lit(1)), F.col("c_0").cast("long") * chunk[0]
-            low = F.greatest(F.lit(0), F.lit(starts[0]) - first)
-            high = F.least(extents[0], F.lit(starts[0] + counts[0]) - first)
-            skip, payload = (low * inner).cast("int"), F.slice("payload", (low * inner + 1).cast("int"), F.greatest(F.lit(0), (high - low) * inner).cast("int"))
-        rows = rows.select(*[f"c_{k}" for k in range(len(chunk))], skip.alias("skip"), F.posexplode(payload).alias("at", "value"))
-        left, index = F.col("at") + F.col("skip"), []
-        for k in reversed(range(len(chunk))):
-            extent = extents[k]
-            index.insert(0, (F.col(f"c_{k}").cast("long") * chunk[k] + left % extent).cast(index_type(v.shape[k])).alias(f"i_{v.axes[k]}"))
-            left = F.floor(left / extent)
-        cells = rows.select(*index, "value")
-        return restrict(cells, v.axes, starts, counts, v.shape) if all(counts) else cells.limit(0)
+        v = self._schema.find(name)
+        return taken_apart(self.rows(v), v, self.chunk[name], starts, counts)

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from ..operators.catalog import Catalog
 from .aggregate import JoinedSource, read_description
 from .base import ArraySource, Dataset
-from .chunks import SCHEMA_FILE, ChunkStore
+from .chunks import SCHEMA_FILE, ChunkStore, open_stores
 from .hdf5 import Hdf5Source
 
 log = logging.getLogger(__name__)
@@ -40,7 +40,9 @@ def open_source(spark: SparkSession, path: str) -> ArraySource:
         return ChunkStore(spark, path)
     if path.endswith(f".{DESCRIPTION}"):
         dim, members = read_description(path)
-        return JoinedSource([open_source(spark, m) for m in members], dim, lambda: os.stat(path).st_mtime_ns)
+        stores = all(os.path.isdir(m) for m in members)
+        opened = open_stores(spark, members) if stores else [open_source(spark, m) for m in members]
+        return JoinedSource(opened, dim, lambda: os.stat(path).st_mtime_ns)
     return Hdf5Source(spark, path)
 
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from slabworks import queries, service_queries
+from slabworks import member_queries, queries, service_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
