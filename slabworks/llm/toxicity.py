@@ -150,9 +150,9 @@ def fit(rows: list[np.ndarray], labels: list[int], share: float, epochs: int = E
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
             learner.learn(rows[k], labels[k], weigh[labels[k]])
-    w = learner.weights(np.arange(SIZE + 1))
-    at = np.flatnonzero(w[:-1])
-    return Model(at.astype(np.int32), w[at].astype(np.float32), float(w[-1]))
+    at = np.append(np.flatnonzero(np.abs(learner.z[:-1]) > learner.l1), SIZE)  # no other weight differs from zero
+    w = learner.weights(at)
+    return Model(at[:-1].astype(np.int32), w[:-1].astype(np.float32), float(w[-1]))
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
