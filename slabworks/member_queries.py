@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.index import dense_index
-from .queries import WIDTH, day, only, query, read
+from .queries import WIDTH, _CELLS, day, embeddings, only, query, read
 from .session import shared_path
+from .sources import cells_format
 from .sources.base import Dataset, Together
+from .sources.chunks import ChunkStore, write_store
 from .sources.members import MemberStore, write_members
 from .sources.tables import TableSource
+from .streaming import segments
 
 _STORES: dict[tuple[str, str, str], str] = {}
 
@@ -101,3 +104,44 @@ def members_grid(spark, sf_dir):
 def stored_numbering(spark, sf_dir) -> DataFrame:
     """All rows numbered by a stored, range-partitioned table and sums of its files' counts."""
     return dense_index(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])
+
+
+def tiled(spark: SparkSession, sf_dir: str) -> str:
+    """``embedding`` in chunks of 32 by 8, in the order of their numbers, made once for a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, "tiled")
+    if key not in _STORES:
+        path = shared_path(spark, "tiled")
+        write_store(path, embeddings(spark, sf_dir).source, only=["embedding"], chunks={"embedding": (32, 8)})
+        _STORES[key] = path
+    return _STORES[key]
+
+
+@query(f"{_CELLS} WHERE d BETWEEN 17 AND 19")
+def tiles_inner_range(spark, sf_dir):
+    """A narrow range of the inner axis over all of the outer one: chunks beside it aren't read."""
+    return only(Dataset("tiled", ChunkStore(spark, tiled(spark, sf_dir))), f"embedding[0:{embeddings(spark, sf_dir).source.length - 1}][17:19]")
+
+
+@query("SELECT DISTINCT vec_id::INT // 32 AS c_0, d::INT // 8 AS c_1 FROM embeddings, range(64) t(d) WHERE vec_id BETWEEN 64 AND 127 AND d BETWEEN 32 AND 47")
+def tiles_met(spark, sf_dir):
+    """The chunks that the numbers' ranges give for a box that is a whole part of the grid: those of the box."""
+    store = ChunkStore(spark, tiled(spark, sf_dir))
+    return store.met(store.schema().find("embedding"), (64, 32), (64, 16)).select("c_0", "c_1")
+
+
+@query(f"SELECT i_dim, count(*) AS n, sum(value::DOUBLE) > 0 AS positive FROM ({_CELLS}) WHERE i_vec BETWEEN 40 AND 90 AND i_dim > 60 GROUP BY 1")
+def cells_format_where(spark, sf_dir):
+    """A predicate on indices in Spark's SQL, as a box of the data source."""
+    cells_format.register(spark)
+    cells = spark.read.format("array_cells").load(tiled(spark, sf_dir)).where("i_vec BETWEEN 40 AND 90 AND i_dim > 60")
+    return cells.groupBy("i_dim").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("value").cast("double")) > 0).alias("positive"))
+
+
+@query("SELECT vec_id::INT AS place, printf('%08x', label) AS word FROM embeddings")
+def segments_payload(spark, sf_dir):
+    """A data response written by tasks: the words of its segments, read by tasks again."""
+    path = shared_path(spark, "response")
+    segments.write_dods(embeddings(spark, sf_dir), "label", path)
+    found = segments.stored_payload(spark, path, 0)
+    word = found.select("first", "payload", F.explode(F.sequence(F.lit(0), (F.octet_length("payload") / 4).cast("int") - 1)).alias("k"))
+    return word.select((F.col("first") / 4 + F.col("k")).cast("int").alias("place"), F.lower(F.hex(F.substring("payload", (F.col("k") * 4 + 1).cast("int"), F.lit(4)))).alias("word"))

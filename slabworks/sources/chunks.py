@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.attributes import Attribute
+from ..operators import zorder
 from ..operators.slab import index_type, restrict
 from ..plans.schema import TYPES, Schema, Variable
 from ..session import modified, plain, read_text, write_text
@@ -25,6 +26,13 @@ SCHEMA_FILE = "schema.json"
 #: Cells that the driver holds while it streams chunks that are stored in order.
 RUN_CELLS = 1 << 22
 
+#: Rows of a page where chunks lie by their Z-numbers: what a range reads besides its own.
+PAGES = {"parquet.page.row.count.limit": "4"}
+
+
+def grid_of(shape: tuple[int, ...], chunk: tuple[int, ...]) -> tuple[int, ...]:
+    return tuple(max(1, -(-n // c)) for n, c in zip(shape, chunk, strict=True))
+
 
 def chunk_rows(cells: DataFrame, v: Variable, chunk: tuple[int, ...]) -> DataFrame:
     """``variable, c_<k>…, payload``: the cells of each chunk in row-major order; a chunk bounds what is gathered."""
@@ -39,8 +47,12 @@ def chunk_rows(cells: DataFrame, v: Variable, chunk: tuple[int, ...]) -> DataFra
     return grouped.select(*[f"c_{k}" for k in range(len(chunk))], F.transform("cells", lambda c: c["value"]).alias("payload"))
 
 
-def write_store(path: str, source: ArraySource, chunk_cells: int = 65_536, only: list[str] | None = None) -> None:
-    """Write variables of a source as a chunk store; chunks are cut along the outer dimensions first."""
+def write_store(path: str, source: ArraySource, chunk_cells: int = 65_536, only: list[str] | None = None, chunks: dict[str, tuple[int, ...]] | None = None) -> None:
+    """Write variables of a source as a chunk store; chunks are cut along the outer dimensions first.
+
+    ``chunks`` gives the chunks of variables that are asked for by boxes in any axis:
+    those lie in the order of their Z-numbers, a few to a page, so near ones are read together.
+    """
     schema, attributes = source.schema(), source.attributes()
     book = {"variables": [], "listed": source.listed(), "attributes": [[name, [[a.name, a.type, list(a.values)] for a in own]] for name, own in attributes.items()]}
     for v in schema.variables:
@@ -50,11 +62,17 @@ def write_store(path: str, source: ArraySource, chunk_cells: int = 65_536, only:
         for k, n in reversed(list(enumerate(v.shape))):
             chunk.insert(0, max(1, min(n, left) if k else left))  # of the outermost alike in stores of any length
             left //= max(1, chunk[0])
+        ordered = v.name in (chunks or {})
+        chunk = list(chunks[v.name]) if ordered else chunk
         rows = chunk_rows(source.cells(v.name, (0,) * len(v.shape), v.shape), v, tuple(chunk))
         keys = [f"c_{k}" for k in range(len(chunk))]
+        own = {"name": v.name, "type": v.type.name, "dims": list(v.dims), "shape": list(v.shape), "chunk": chunk}
+        if ordered:
+            rows = rows.withColumn("z", zorder.number([F.col(k) for k in keys], grid_of(v.shape, tuple(chunk))))
+            keys, own["z"] = ["z"], True
         rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else rows
-        rows.write.parquet(f"{path}/variable={v.name}")
-        book["variables"].append({"name": v.name, "type": v.type.name, "dims": list(v.dims), "shape": list(v.shape), "chunk": chunk})
+        rows.write.options(**(PAGES if ordered else {})).parquet(f"{path}/variable={v.name}")
+        book["variables"].append(own)
     write_text(rows.sparkSession, f"{path}/{SCHEMA_FILE}", json.dumps(book))
 
 
@@ -122,6 +140,7 @@ class ChunkStore(ArraySource):
         book = book or json.loads(read_text(spark, f"{path}/{SCHEMA_FILE}"))
         self.spark, self.path, self.book = spark, path, book
         self.chunk = {v["name"]: tuple(v["chunk"]) for v in book["variables"]}
+        self.numbered = {v["name"] for v in book["variables"] if v.get("z")}
         self._schema = Schema("", [Variable(v["name"], TYPES[v["type"]], tuple(v["dims"]), tuple(v["shape"])) for v in book["variables"]])
 
     def schema(self) -> Schema:
@@ -139,12 +158,13 @@ class ChunkStore(ArraySource):
     def rows(self, v: Variable, stores: list[str] | None = None) -> DataFrame:
         """A variable's chunks: ``c_<k>…, payload``; with ``stores``, those of other stores that are cut alike."""
         keys = "".join(f"c_{k} int, " for k in range(len(self.chunk[v.name])))
-        return self.spark.read.schema(f"{keys}payload array<{v.type.spark}>").parquet(*[f"{p}/variable={v.name}" for p in dict.fromkeys(stores or [self.path])])
+        number = "z bigint, " if v.name in self.numbered else ""
+        return self.spark.read.schema(f"{keys}{number}payload array<{v.type.spark}>").parquet(*[f"{p}/variable={v.name}" for p in dict.fromkeys(stores or [self.path])])
 
     def runs(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...]) -> Iterator[DataFrame] | None:
         """A box that is a run of the outermost dimension, where chunks are that as well: some chunks at a time, told to the scan."""
         v, chunk = self._schema.find(name), self.chunk[name]
-        if not chunk or chunk[1:] != v.shape[1:] or counts[1:] != v.shape[1:] or not prod(counts):
+        if not chunk or name in self.numbered or chunk[1:] != v.shape[1:] or counts[1:] != v.shape[1:] or not prod(counts):
             return None
         inner, step = prod(v.shape[1:]), max(1, RUN_CELLS // prod(chunk))
         last = (starts[0] + counts[0] - 1) // chunk[0]
@@ -159,4 +179,13 @@ class ChunkStore(ArraySource):
 
     def cells(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...]) -> DataFrame:
         v = self._schema.find(name)
-        return taken_apart(self.rows(v), v, self.chunk[name], starts, counts)
+        return taken_apart(self.met(v, starts, counts), v, self.chunk[name], starts, counts)
+
+    def met(self, v: Variable, starts: tuple[int, ...], counts: tuple[int, ...]) -> DataFrame:
+        """A variable's chunks, without those that their numbers tell to lie outside a box."""
+        rows, chunk = self.rows(v), self.chunk[v.name]
+        if v.name not in self.numbered or counts == v.shape or not all(counts):
+            return rows
+        low, high = tuple(s // n for s, n in zip(starts, chunk, strict=True)), tuple((s + c - 1) // n for s, c, n in zip(starts, counts, chunk, strict=True))
+        found = zorder.ranges(low, high, grid_of(v.shape, chunk))
+        return rows.where(reduce(Column.__or__, [F.col("z").between(a, b) for a, b in found]))
