@@ -3,13 +3,16 @@
 Templates are short licence texts. Their words, but for the stop words, are licence
 words; each has postings: the templates and offsets where it stands. A file looks up
 its licence words with the highest inverse document frequency (over all files scanned),
-all their places are shifted by the postings' offsets, and a template is a candidate
-where it would have to start. A candidate stands if the template's key phrase stands in
-its place word by word, whichever of its words were looked up.
-
-Base phrases are templates that are their own key phrase. The rarest word of each key
-phrase is looked up whatever its rank in the file, so a file that quotes many licences
-loses none of them, and every place of a base phrase is found.
+all their places are shifted by the postings' offsets to where a template would have to
+start, and the postings are intersected: a start is a candidate if two of the words that
+were looked up, or more, agree on it. A candidate stands if its key phrase is there, of
+which one word may differ ("licence" for "license"), but none of its digits and not its
+rarest word, as these tell licences apart.
+
+A short quotation may have one rare word only. So the rarest word of each key phrase is
+looked up whatever its rank, and where a key phrase stands word for word its template is
+found with no word to agree. Base phrases are templates that are their own key phrase,
+and have no other word than theirs, so each of their places is found, and nothing else.
 """
 
 from __future__ import annotations
@@ -59,6 +62,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), GAP), "")
 
 
+#: Words of a key phrase that has enough others to be told by, if one of them differs.
+LONG_KEY = 4
+
+
 def collection(base=BASE, templates=TEMPLATES) -> list[dict]:
     out = []
     for is_base, rows in ((True, [(label, p, p) for label, p in base]), (False, templates)):
@@ -80,6 +87,13 @@ def _literal(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
+def must(template: dict, rank: dict[str, int]) -> list[int]:
+    """Places in its key phrase of the words that tell it from other licences: digits, and the rarest."""
+    key = template["key"]
+    rarest = min((k for k, w in enumerate(key) if w in rank), key=lambda k: rank[key[k]])
+    return sorted({rarest, *(k for k, w in enumerate(key) if w.isdigit())})
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", base=BASE, templates=TEMPLATES, looked_up: int = LOOKED_UP) -> DataFrame:
     """``id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, matches`` of every row.
 
@@ -106,21 +120,30 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", base=BASE,
             postings[t["words"][k]].append({"t": n, "at": k})
         weight = [idf[w] if w in rank else 1.0 for w in t["words"]]
         parts = [{"at": k, "word": w, "weight": weight[k] / sum(weight)} for k, w in enumerate(t["words"])]
-        table.append({"label": t["label"], "base": t["base"], "parts": parts, "size": len(t["words"]), "first": t["key"][0], "key": " ".join(t["key"]), "key_at": t["key_at"], "key_size": len(t["key"])})
+        table.append({"label": t["label"], "base": t["base"], "parts": parts, "size": len(t["words"]), "first": t["key"][0], "key": " ".join(t["key"]), "key_at": t["key_at"], "key_size": len(t["key"]), "must": must(t, rank)})
     always = sorted({min((w for w in t["key"] if w in rank), key=rank.get) for t in all_templates})
 
     part = "array<struct<at:int,word:string,weight:double>>"
-    templates_ = _literal(table, f"array<struct<label:string,base:boolean,parts:{part},size:int,first:string,key:string,key_at:int,key_size:int>>")
+    templates_ = _literal(table, f"array<struct<label:string,base:boolean,parts:{part},size:int,first:string,key:string,key_at:int,key_size:int,must:array<int>>>")
     postings_ = _literal(postings, "map<string,array<struct<t:int,at:int>>>")
     ranks_ = _literal(rank, "map<string,int>")
     by_rank = F.array_sort(F.transform(F.array_intersect("words", F.array(*map(F.lit, vocabulary))), lambda w: F.struct(ranks_[w].alias("rank"), w.alias("word"))))
     best = F.transform(F.slice(by_rank, 1, looked_up), lambda x: x["word"])
     looked = F.array_union(best, F.array_intersect(F.transform(by_rank, lambda x: x["word"]), F.array(*map(F.lit, always))))
-    found = rows.withColumn("n_words", F.size("words").cast("long")).withColumn("looked", looked)
+    found = rows.withColumn("n_words", F.size("words").cast("long")).withColumn("best", best).withColumn("looked", looked)
     places = F.when(F.size("looked") > 0, F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains("looked", F.get("words", i)))).otherwise(F.array().cast("array<int>"))
-    shifted = F.flatten(F.transform(places, lambda i: F.transform(postings_[F.get("words", i)], lambda p: p["t"].cast("long") * SPAN + (i - p["at"] + SHIFT))))
+    found = found.withColumn("places", places)
+    looked_places, best_places = F.col("places"), F.filter("places", lambda i: F.array_contains("best", F.get("words", i)))
+
+    def shifted(at: Column, postings: Column) -> Column:
+        """Where templates would start, of places of words: one for each posting."""
+        return F.flatten(F.transform(at, lambda i: F.transform(postings[F.get("words", i)], lambda p: p["t"].cast("long") * SPAN + (i - p["at"] + SHIFT))))
+
     # a candidate is one long, its template above its start: arrays of longs are made distinct by hashing
-    found = found.withColumn("starts", F.array_distinct(shifted))
+    found = found.withColumn("starts", F.array_distinct(shifted(looked_places, postings_)))
+    # of the words that were looked up for their rank, each start as often as words agree on it
+    agreeing = F.sort_array(shifted(best_places, postings_))
+    found = found.withColumn("agreeing", agreeing).withColumn("agreed", F.array_distinct(F.filter("agreeing", lambda c, i: c == F.get("agreeing", i + 1))))
 
     def template(c: Column) -> Column:
         return F.get(templates_, (c / SPAN).cast("int"))
@@ -133,13 +156,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", base=BASE,
         first = F.get("words", F.when(key_from >= 0, key_from)) == t["first"]  # most candidates end here
         return F.when(first, F.array_join(F.slice("words", key_from + 1, t["key_size"]), " ") == t["key"]).otherwise(F.lit(False))
 
+    def key_nearly_stands(c: Column) -> Column:
+        t = template(c)
+        stands = lambda p: F.get("words", F.when(start(c) + p["at"] >= 0, start(c) + p["at"])) == p["word"]
+        key = F.slice(t["parts"], t["key_at"] + 1, t["key_size"])
+        musts = F.forall(t["must"], lambda k: F.coalesce(stands(F.get(key, k)), F.lit(False)))
+        return ~t["base"] & (t["key_size"] >= LONG_KEY) & (F.size(F.filter(key, stands)) == t["key_size"] - 1) & musts
+
     def judged(c: Column) -> Column:
         t = template(c)
         stands = F.filter(t["parts"], lambda p: F.get("words", F.when(start(c) + p["at"] >= 0, start(c) + p["at"])) == p["word"])
         coverage = F.aggregate(stands, F.lit(0.0), lambda a, p: a + p["weight"])
         return F.struct(t["label"].alias("label"), start(c).cast("long").alias("start"), F.least(F.round(coverage, 9), F.lit(1.0)).alias("coverage"), t["base"].alias("base"))
 
-    found = found.withColumn("matches", F.transform(F.filter("starts", key_stands), judged))
+    found = found.withColumn("matches", F.transform(F.concat(F.filter("starts", key_stands), F.filter("agreed", key_nearly_stands)), judged))
     found = found.select("id", "n_words", F.array_sort(F.transform("matches", lambda m: F.struct(m["start"], m["label"], m["coverage"], m["base"]))).alias("matches"))
     base_ = found.withColumn("base", F.filter("matches", lambda m: m["base"]))
     label = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda m: m["label"]))), ",")
