@@ -14,6 +14,7 @@ from .sources.chunks import ChunkStore, write_store
 from .sources.members import MemberStore, write_members
 from .sources.tables import TableSource
 from .streaming import segments
+from .streaming.member_table import follow, followed
 
 _STORES: dict[tuple[str, str, str], str] = {}
 
@@ -145,3 +146,14 @@ def segments_payload(spark, sf_dir):
     found = segments.stored_payload(spark, path, 0)
     word = found.select("first", "payload", F.explode(F.sequence(F.lit(0), (F.octet_length("payload") / 4).cast("int") - 1)).alias("k"))
     return word.select((F.col("first") / 4 + F.col("k")).cast("int").alias("place"), F.lower(F.hex(F.substring("payload", (F.col("k") * 4 + 1).cast("int"), F.lit(4)))).alias("word"))
+
+
+@query(_MONTHS)
+def members_followed(spark, sf_dir):
+    """The member table of a store that grew by three appends, as a stream of its files keeps it."""
+    path, counts = shared_path(spark, "growing"), shared_path(spark, "counts")
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    for k, years in enumerate(((1994, 9999), (0, 1992), (1993, 1993))):
+        write_members(path, rows.where(F.year("o_orderdate").between(*years)), F.date_format("o_orderdate", "MM-yyyy"), "o_orderkey", "time", day(), ["time"], append=k > 0)
+        follow(spark, path, counts, f"{counts}-checkpoint").awaitTermination()
+    return followed(spark, counts)

@@ -71,7 +71,7 @@ def write_members(
     numbered = dense_index(rows, ["member", "__order"], "__i")
     first = numbered.groupBy("member").agg(F.min("__i").alias("__first")).withColumnRenamed("member", "__m")
     numbered = numbered.join(first, F.col("member") == F.col("__m")).withColumn("__k", F.col("__i") - F.col("__first"))
-    for v in found:
+    for v in sorted(found, key=lambda v: v["name"] == dim):  # the coordinate last: whoever sees it finds the rest
         n = v["chunk"][0]
         cell = F.struct((F.col("__k") % n).cast("int").alias("at"), F.col(v["name"]).alias("value"))
         made = numbered.select("member", F.floor(F.col("__k") / n).cast("int").alias("c_0"), cell.alias("cell")).groupBy("member", "c_0").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
@@ -89,10 +89,23 @@ def opened(spark: SparkSession, path: str, book: dict) -> DataFrame:
 
     Members are ordered by their first coordinate (one that isn't a number comes last), then by name.
     """
+    return merged(partial_stats(spark.read.schema(coordinate_schema(book)).parquet(f"{path}/variable={book['dim']}")))
+
+
+def coordinate_schema(book: dict) -> str:
     dim = next(v for v in book["variables"] if v["name"] == book["dim"])
-    rows = spark.read.schema(f"c_0 int, payload array<{TYPES[dim['type']].spark}>, member string").parquet(f"{path}/variable={dim['name']}")
-    stats = rows.groupBy("member").agg(F.sum(F.size("payload")).alias("n"), F.min_by(F.get("payload", F.lit(0)), "c_0").cast("double").alias("rank"))
-    return member_offsets(stats)
+    return f"c_0 int, payload array<{TYPES[dim['type']].spark}>, member string"
+
+
+def partial_stats(rows: DataFrame) -> DataFrame:
+    """``member, n, head``: of some of the coordinate's chunks, the members' rows, and the first chunk with its first value."""
+    head = F.struct("c_0", F.get("payload", F.lit(0)).cast("double").alias("rank"))
+    return rows.groupBy("member").agg(F.sum(F.size("payload")).alias("n"), F.min(head).alias("head"))
+
+
+def merged(partial: DataFrame) -> DataFrame:
+    """The member table, of partial counts that together cover each chunk once."""
+    return member_offsets(partial.groupBy("member").agg(F.sum("n").alias("n"), F.min("head").alias("head")).select("member", "n", F.col("head.rank").alias("rank")))
 
 
 class MemberStore(ArraySource):
