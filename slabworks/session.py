@@ -85,6 +85,12 @@ def modified(spark: SparkSession, path: str) -> int:
     return fs.getFileStatus(p).getModificationTime()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
 def plain(path: str) -> str:
     """A path as text that is the same however Spark spells it."""
     return "/" + path[5:].lstrip("/") if path.startswith("file:") else path.rstrip("/")

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.attributes import Attribute
+from ..operators.coordinate import LONGEST, segment_cells, segments
 from ..operators.join_existing import Piece, pieces
 from ..operators.slab import index_type
 from ..plans.schema import Schema, Variable
-from ..session import plain
+from ..session import delete, plain, shared_path
 from .base import ArraySource
-from .chunks import SCHEMA_FILE, ChunkStore, store_of, store_stamps, taken_apart
+from .chunks import SCHEMA_FILE, ChunkStore, chunk_rows, store_of, store_stamps, taken_apart
 
 #: Of more stores than this a job lists when they were changed; of fewer the driver asks for each.
 LISTED = 32
@@ -28,7 +29,7 @@ class JoinedSource(ArraySource):
     """Members in the order of their first coordinate; the first gives schema and attributes.
 
     Variables whose first dimension isn't ``dim`` come from the first member. The
-    coordinate is read once and kept; overlaps and repeats stay. Members that are
+    coordinate is read once and kept as segments; overlaps and repeats stay. Members that are
     chunk stores alike in types and chunks are read by one scan, however many they are.
     """
 
@@ -76,11 +77,23 @@ class JoinedSource(ArraySource):
 
     @cached_property
     def coordinate(self) -> DataFrame:
-        return self._joined(self.dim, (0,), (sum(self.sizes),)).cache()
+        """The joined coordinate as segments, found once and written to the shared folder: a row for each 65,536 values at most."""
+        v, total = self._schema.find(self.dim), sum(self.sizes)
+        if alike(self.members, self.dim):
+            chunk = self.members[0].chunk[self.dim][0]
+            rows = self._chunks(v, self.members, pieces(self.sizes, 0, total))
+            stretches = rows.select((F.col("member_start") + F.col("c_0").cast("long") * chunk).alias("at"), "payload")
+        else:
+            rows = chunk_rows(self._joined(self.dim, (0,), (total,)), v, (LONGEST,))
+            stretches = rows.select((F.col("c_0").cast("long") * LONGEST).alias("at"), "payload")
+        found = segments(stretches, v.type.spark)
+        spark, self._kept = found.sparkSession, shared_path(found.sparkSession, "coordinate")
+        found.write.parquet(self._kept)
+        return spark.read.schema(found.schema).parquet(self._kept)
 
     def close(self) -> None:
         if kept := self.__dict__.pop("coordinate", None):
-            kept.unpersist()
+            delete(kept.sparkSession, self._kept)
         for m in self.members:
             m.close()
 
@@ -89,7 +102,7 @@ class JoinedSource(ArraySource):
         if not self.joins(v):
             return self.members[0].cells(name, starts, counts)
         if name == self.dim:
-            return self.coordinate.where(F.col(f"i_{self.dim}").between(starts[0], starts[0] + counts[0] - 1))
+            return segment_cells(self.coordinate, f"i_{self.dim}", index_type(sum(self.sizes)), v.type.spark, starts[0], counts[0])
         return self._joined(name, starts, counts)
 
     def runs(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...]) -> Iterator[DataFrame] | None:

@@ -325,8 +325,10 @@ def test_kept_data_is_given_back(spark, months):
     source = JoinedSource(list(months), "time")
     with Dataset("d", source) as d:
         kept = d.source.coordinate
-        assert kept.storageLevel.useMemory and d.cells("time")[0][1].count() == 59
-    assert not kept.storageLevel.useMemory
+        assert kept.count() == 1 and kept.first()["values"] is None and d.cells("time")[0][1].count() == 59
+        path = d.source._kept.removeprefix("file:")
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
 
 
 def test_ranges_of_joined_tables_read_only_their_members(spark, tmp_path):
