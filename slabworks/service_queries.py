@@ -110,18 +110,19 @@ def description_members(spark, sf_dir):
 BAD = {"empty": "", "other first": f"<variable/>{JOIN.format('')}", "union": '<aggregation type="union" dimName="event"/>', "no type": '<aggregation dimName="event"/>', "no dimension": '<aggregation type="joinExisting"/>', "no suffix": JOIN.format('<scan location="."/>')}
 
 
-@query(values("description, refused", *((k, True) for k in BAD)))
+@query(f"SELECT r_name AS region, description, refused, CASE WHEN NOT refused THEN 'along ' || r_name END AS dim FROM region, ({values('description, refused', *((k, True) for k in BAD), ('supported', False))})")
 def description_errors(spark, sf_dir):
+    """Descriptions along a dimension that is named after each region: which are refused, and the dimension of the others."""
     top, rows = shared_folder(spark, "bad"), []
-    for name, inner in BAD.items():
-        with open(f"{top}/bad.ncml", "w") as f:
-            f.write(NCML.format(inner))
-        try:
-            read_description(f"{top}/bad.ncml")
-            rows.append((name, False))
-        except DescriptionError:
-            rows.append((name, True))
-    return spark.createDataFrame(rows, "description string, refused boolean")
+    for r in read(spark, sf_dir, "region").select("r_name").toLocalIterator():
+        for kind, inner in (BAD | {"supported": JOIN.format("")}).items():
+            with open(f"{top}/bad.ncml", "w") as f:
+                f.write(NCML.format(inner).replace('dimName="event"', f'dimName="along {r["r_name"]}"'))
+            try:
+                rows.append((r["r_name"], kind, False, read_description(f"{top}/bad.ncml")[0]))
+            except DescriptionError:
+                rows.append((r["r_name"], kind, True, None))
+    return spark.createDataFrame(rows, "region string, description string, refused boolean, dim string")
 
 
 def joined_events(spark: SparkSession, sf_dir: str, name: str = "joined") -> Dataset:
@@ -169,11 +170,15 @@ def joined_folder_members_read(spark, sf_dir):
     return spark.createDataFrame(sorted(rows), "box string, member string")
 
 
-@query(_line_sql('Attributes {\n    NC_GLOBAL {\n        String title "x";\n    }\n    value {\n        Float64 limit +1.5E0, -2.0E7;\n        Int16 flag 3;\n        \n        Byte b 255;\n    }\n}'))
+_FILTERED = 'Attributes {\n    NC_GLOBAL {\n        String title "{n} events";\n    }\n    value {\n        Float64 limit +1.5E0, -2.0E7;\n        Int16 flag 3;\n        Int32 rows {n};\n        \n        Byte b 255;\n    }\n}'
+
+
+@query(_line_sql(_FILTERED).replace("FROM embeddings", "FROM events"))
 def attribute_filter(spark, sf_dir):
     """Attributes of the file's own book-keeping and of types that aren't served are left out; unsigned ones keep a line."""
-    own = [Attribute("limit", "Float64", (1.5, -2e7)), Attribute("_Netcdf4Dimid", "Int32", (0,)), Attribute("flag", "Int16", (3,)), Attribute("odd", "unsupported", (1,)), Attribute("u", "UInt16", (1,)), Attribute("b", "Byte", (255,)), Attribute("DIMENSION_LIST", "String", ("x",))]
-    return lines(spark, attribute_text(["value"], {None: [Attribute("title", "String", ("x",)), Attribute("_NCProperties", "String", ("y",))], "value": own}))
+    n = events(spark, sf_dir).source.length
+    own = [Attribute("limit", "Float64", (1.5, -2e7)), Attribute("_Netcdf4Dimid", "Int32", (n,)), Attribute("flag", "Int16", (3,)), Attribute("rows", "Int32", (n,)), Attribute("odd", "unsupported", (n,)), Attribute("u", "UInt16", (n,)), Attribute("b", "Byte", (255,)), Attribute("DIMENSION_LIST", "String", ("x",))]
+    return lines(spark, attribute_text(["value"], {None: [Attribute("title", "String", (f"{n} events",)), Attribute("_NCProperties", "String", ("y",))], "value": own}))
 
 
 _WHOLE_EVENTS = [f"    {t} {v}[event = {{n}}];" for t, v in (("Int64", "event"), ("Int64", "user_id"), ("Float64", "value"))]
@@ -413,14 +418,22 @@ def request_log(spark, sf_dir):
     return spark.createDataFrame(seen, "method string, path string, status int")
 
 
-@query(values("source, data, host, port, root_url, index", ("none", "data/", "127.0.0.1", 8001, "", "./slabworks.index"), ("file", "d/", "0.0.0.0", 80, "/x", "i"), ("options", "one", "::1", 9, "/y", "i")))
+_CONFIGS = """SELECT n_name AS name, s.source, CASE s.source WHEN 'none' THEN 'data/' WHEN 'file' THEN n_name || '/' ELSE 'one' END AS data, CASE s.source WHEN 'none' THEN '127.0.0.1' WHEN 'file' THEN '0.0.0.0' ELSE '::1' END AS host,
+  (CASE s.source WHEN 'none' THEN 8001 WHEN 'file' THEN 8100 + n_nationkey ELSE 9000 + n_nationkey END)::INT AS port, CASE s.source WHEN 'none' THEN '' WHEN 'file' THEN '/x' ELSE '/y' END AS root_url, CASE s.source WHEN 'none' THEN './slabworks.index' ELSE n_name END AS index
+  FROM nation, (VALUES ('none'), ('file'), ('options')) s(source)"""
+
+
+@query(_CONFIGS)
 def service_config(spark, sf_dir):
-    top = shared_folder(spark, "config")
-    for name, body in (("none", ""), ("some", 'data = "d/"\naddress = "0.0.0.0:80"\nroot_url = "/x"\n[db]\npath = "i"\n')):
-        with open(f"{top}/{name}.toml", "w") as f:
-            f.write(body)
-    found = [("none", load(["-c", f"{top}/none.toml"])), ("file", load(["-c", f"{top}/some.toml"])), ("options", load(["-c", f"{top}/some.toml", "-a", "[::1]:9", "--root-url", "/y", "one", "two"]))]
-    return spark.createDataFrame([(n, c.data, *c.host_port, c.root_url, c.index) for n, c in found], "source string, data string, host string, port int, root_url string, index string")
+    """Settings of a service for each nation: without a file, by its file, and by options above its file."""
+    top, rows = shared_folder(spark, "config"), []
+    for n in read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")).toLocalIterator():
+        for kind, body in (("none", ""), ("some", f'data = "{n["name"]}/"\naddress = "0.0.0.0:{8100 + n["key"]}"\nroot_url = "/x"\n[db]\npath = "{n["name"]}"\n')):
+            with open(f"{top}/{kind}.toml", "w") as f:
+                f.write(body)
+        found = [("none", load(["-c", f"{top}/none.toml"])), ("file", load(["-c", f"{top}/some.toml"])), ("options", load(["-c", f"{top}/some.toml", "-a", f"[::1]:{9000 + n['key']}", "--root-url", "/y", "one", "two"]))]
+        rows += [(n["name"], source, c.data, *c.host_port, c.root_url, c.index) for source, c in found]
+    return spark.createDataFrame(rows, "name string, source string, data string, host string, port int, root_url string, index string")
 
 
 def grid_file(spark: SparkSession, sf_dir: str) -> str:
