@@ -42,7 +42,7 @@ def test_stages_against_brute_force(spark):
     items = [decontaminate.normalise(t.encode()) for _, t in rows("benchmark", "item_id, text", SF)]
     want = list(brute(rows(sf=SF), items))
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert [n for n, _ in p.STAGES] == ["language_id", "exact_dedup", "simhash_near_dedup", "decontamination", "sentencepiece"]
+    assert [n for n, _ in p.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontamination", "sentencepiece"]
     for (_, stage), ids in zip(p.STAGES[:4], want):
         docs = stage(spark, docs, SF)
         assert docs.columns == COLUMNS and sorted(r["doc_id"] for r in docs.select("doc_id").collect()) == sorted(ids)
