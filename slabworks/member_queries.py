@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.index import dense_index
-from .queries import WIDTH, _CELLS, day, embeddings, only, query, read
+from .queries import WIDTH, _CELLS, day, embeddings, events, only, query, read
 from .session import shared_path
 from .sources import cells_format
 from .sources.base import Dataset, Together
@@ -130,6 +130,44 @@ def tiles_met(spark, sf_dir):
     return store.met(store.schema().find("embedding"), (64, 32), (64, 16)).select("c_0", "c_1")
 
 
+def chunked(spark: SparkSession, sf_dir: str) -> str:
+    """``value`` of the events in chunks of 64, made once for a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, "chunked")
+    if key not in _STORES:
+        path = shared_path(spark, "chunked")
+        write_store(path, events(spark, sf_dir).source, only=["value"], chunk_cells=64)
+        _STORES[key] = path
+    return _STORES[key]
+
+
+@query("SELECT event_id::INT AS i_event, value FROM events WHERE event_id >= 5 AND (event_id - 5) % 171 = 0")
+def strided_box(spark, sf_dir):
+    """Every 171st cell of a chunked variable: chunks that the steps pass over aren't taken apart."""
+    d = Dataset("chunked", ChunkStore(spark, chunked(spark, sf_dir)), steps=True)
+    return only(d, f"value[5:171:{d.schema.find('value').shape[0] - 1}]")
+
+
+@query("SELECT DISTINCT event_id::INT // 64 AS c_0 FROM events WHERE event_id >= 5 AND (event_id - 5) % 171 = 0")
+def strided_chunks(spark, sf_dir):
+    """The chunks that it takes apart: those with a cell of it."""
+    store = ChunkStore(spark, chunked(spark, sf_dir))
+    v = store.schema().find("value")
+    return store.hit(v, (5,), ((v.shape[0] - 6) // 171 + 1,), (171,)).select("c_0")
+
+
+@query(f"SELECT i_vec, i_dim, value FROM ({_CELLS}) WHERE i_vec >= 3 AND (i_vec - 3) % 70 = 0 AND i_dim BETWEEN 1 AND 61 AND (i_dim - 1) % 20 = 0")
+def strided_tiles(spark, sf_dir):
+    """Steps in both axes over chunks in the order of their numbers."""
+    d = Dataset("tiled", ChunkStore(spark, tiled(spark, sf_dir)), steps=True)
+    return only(d, f"embedding[3:70:{d.schema.find('embedding').shape[0] - 1}][1:20:61]")
+
+
+@query("SELECT event_id::INT AS i_event, value FROM events WHERE event_id BETWEEN 10 AND 900 AND (event_id - 10) % 7 = 0")
+def strided_table(spark, sf_dir):
+    source = events(spark, sf_dir).source
+    return only(Dataset("events", source, steps=True), "value[10:7:900]")
+
+
 @query(f"SELECT i_dim, count(*) AS n, sum(value::DOUBLE) > 0 AS positive FROM ({_CELLS}) WHERE i_vec BETWEEN 40 AND 90 AND i_dim > 60 GROUP BY 1")
 def cells_format_where(spark, sf_dir):
     """A predicate on indices in Spark's SQL, as a box of the data source."""

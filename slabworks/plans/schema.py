@@ -77,13 +77,17 @@ class Variable:
 
 @dataclass(frozen=True)
 class Leaf:
-    """A box of one variable: ``starts`` and ``counts`` of each axis, and the dimensions as shown."""
+    """A box of one variable: ``starts`` and ``counts`` of each axis, and the dimensions as shown.
+
+    With ``steps`` it takes every so many indices of each axis; None if that is every one.
+    """
 
     name: str
     type: ElementType
     shown: tuple[tuple[str, int], ...]
     starts: tuple[int, ...]
     counts: tuple[int, ...]
+    steps: tuple[int, ...] | None = None
 
     @property
     def cells(self) -> int:
@@ -178,14 +182,15 @@ class Schema:
         """More than one dimension, and each is a variable too."""
         return len(v.dims) > 1 and all(d in self.by_name for d in v.dims)
 
-    def bind(self, terms: Sequence[Term]) -> Answer:
+    def bind(self, terms: Sequence[Term], steps: bool = False) -> Answer:
         """Without terms all variables by name; else what is asked for, in the order of the source.
 
-        Terms of one outer variable keep the order asked for, and repeats stay.
+        Terms of one outer variable keep the order asked for, and repeats stay. Steps in
+        ranges are an error unless ``steps`` allows them.
         """
         if not terms:
             return Answer(self.dataset, tuple(self._whole(self.by_name[n]) for n in sorted(self.by_name, key=str.encode)))
-        parts = [self._part(t) for t in terms]
+        parts = [self._part(t, steps) for t in terms]
         return Answer(self.dataset, tuple(sorted(parts, key=lambda p: self.position(p.outer))))
 
     def _whole(self, v: Variable) -> Part:
@@ -196,25 +201,38 @@ class Schema:
             return Part("grid", v.name, (leaf(v), *(leaf(self.by_name[d]) for d in v.dims)))
         return Part("variable", v.name, (leaf(v),))
 
-    def _part(self, term: Term) -> Part:
+    def _part(self, term: Term, stepped: bool) -> Part:
         outer = self.find(term.variable)
         v = outer if term.member is None else self.find(term.member)
-        starts, counts = box(v, term.spans)
-        array = Leaf(v.name, v.type, tuple(zip(v.dims, counts, strict=False)), starts, counts)
+        starts, counts = box(v, term.spans, stepped)
+        steps = steps_of(v, term.spans)
+        array = Leaf(v.name, v.type, tuple(zip(v.dims, counts, strict=False)), starts, counts, steps)
         if term.member is not None:
             return Part("structure", outer.name, (array,))
         if not self.gridded(v):
             return Part("variable", v.name, (array,))
-        maps = (Leaf(d, self.by_name[d].type, ((d, n),), (at,), (n,)) for d, at, n in zip(v.dims, starts, counts, strict=False))
+        each = steps or (1,) * len(counts)
+        maps = (Leaf(d, self.by_name[d].type, ((d, n),), (at,), (n,), (s,) if s > 1 else None) for d, at, n, s in zip(v.dims, starts, counts, each, strict=False))
         return Part("grid", v.name, (array, *maps))
 
 
-def box(v: Variable, spans: tuple[Span, ...] | None) -> tuple[tuple[int, ...], tuple[int, ...]]:
-    """Starts and counts of each axis; axes without a bracket are whole, and nothing is clamped."""
+def steps_of(v: Variable, spans: tuple[Span, ...] | None) -> tuple[int, ...] | None:
+    """Steps of each axis; None if all are 1. A range of one index has none."""
+    steps = tuple((s.step or 1) if s.count > 1 else 1 for s in spans or ())
+    return steps + (1,) * (len(v.shape) - len(steps)) if any(s > 1 for s in steps) else None
+
+
+def box(v: Variable, spans: tuple[Span, ...] | None, stepped: bool = False) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Starts and counts of each axis; axes without a bracket are whole, and nothing is clamped.
+
+    The ends of a range have to be in the dimension, also one that its steps don't reach.
+    """
     if spans is None:
         return (0,) * len(v.shape), v.shape
-    if any(s.step is not None for s in spans):
+    if any(s.step is not None for s in spans) and not stepped:
         raise BindError(f"{v.name}: steps aren't supported")
+    if any(s.step == 0 for s in spans):
+        raise BindError(f"{v.name}: a step of 0")
     if len(spans) > len(v.shape):
         raise BindError(f"{v.name}: more brackets than dimensions")
     if any(s.last < s.first for s in spans):
@@ -223,6 +241,6 @@ def box(v: Variable, spans: tuple[Span, ...] | None) -> tuple[tuple[int, ...], t
     if any(at >= n for at, n in zip(starts, v.shape, strict=True)):
         raise BindError(f"{v.name}: an index is out of range")
     counts = tuple(s.count for s in spans) + v.shape[len(spans) :]
-    if any(at + c > n for at, c, n in zip(starts, counts, v.shape, strict=True)):
+    if any(s.last >= n for s, n in zip(spans, v.shape, strict=False)):
         raise BindError(f"{v.name}: a range ends past its dimension")
     return starts, counts

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from ..functions.attributes import Attribute, attribute_text
 from ..functions.wire import SEPARATOR, length_header
 from ..operators.grid import attach_maps
+from ..operators.slab import covering, pick
 from ..plans.query import EVERYTHING, QueryError, Term, parse_query
 from ..plans.schema import Answer, Leaf, Part, Schema
 from ..streaming.body import array_bytes, run_bytes
@@ -29,6 +30,10 @@ class ArraySource(ABC):
     def cells(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...]) -> DataFrame:
         """``i_<axis>…, value``: a row for each cell of the box, with indices of the whole array."""
 
+    def strided(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...], steps: tuple[int, ...]) -> DataFrame:
+        """``cells``, of ``counts`` indices of each axis that are ``steps`` apart."""
+        return pick(self.cells(name, starts, covering(counts, steps)), self.schema().find(name).axes, starts, steps)
+
     def attributes(self) -> dict[str | None, list[Attribute]]:
         """Attributes of each variable, and under None of the dataset."""
         return {None: []}
@@ -72,6 +77,9 @@ class Together(ArraySource):
     def cells(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...]) -> DataFrame:
         return self.of[name].cells(name, starts, counts)
 
+    def strided(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...], steps: tuple[int, ...]) -> DataFrame:
+        return self.of[name].strided(name, starts, counts, steps)
+
     def runs(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...]) -> Iterator[DataFrame] | None:
         return self.of[name].runs(name, starts, counts)
 
@@ -90,10 +98,13 @@ class Together(ArraySource):
 
 
 class Dataset:
-    """A source under a key: schema and attributes are read once, at opening."""
+    """A source under a key: schema and attributes are read once, at opening.
+
+    With ``steps`` queries may have ranges ``[first:step:last]``, which are errors else.
+    """
 
-    def __init__(self, key: str, source: ArraySource):
-        self.key, self.source = key, source
+    def __init__(self, key: str, source: ArraySource, steps: bool = False):
+        self.key, self.source, self.steps = key, source, steps
         self.schema = Schema(key, source.schema().variables)
         self._attributes = attribute_text(source.listed(), source.attributes())
         self._stamp = source.stamp()
@@ -110,7 +121,7 @@ class Dataset:
             raise
 
     def bind(self, query: str | None = None, on_malformed: str = "error") -> Answer:
-        return self.schema.bind(self.terms(query, on_malformed))
+        return self.schema.bind(self.terms(query, on_malformed), self.steps)
 
     def das(self) -> str:
         """Attribute text; no job, no file access."""
@@ -128,6 +139,8 @@ class Dataset:
     def leaf(self, leaf: Leaf) -> DataFrame:
         """The cells of one box, unless the source has changed."""
         self.check()
+        if leaf.steps is not None:
+            return self.source.strided(leaf.name, leaf.starts, leaf.counts, leaf.steps)
         return self.source.cells(leaf.name, leaf.starts, leaf.counts)
 
     def cells(self, query: str | None = None) -> list[tuple[Part, DataFrame]]:
@@ -155,7 +168,7 @@ class Dataset:
             for leaf in answer.leaves:
                 if not leaf.scalar:
                     yield length_header(leaf.cells)
-                if (runs := self.source.runs(leaf.name, leaf.starts, leaf.counts)) is not None:
+                if leaf.steps is None and (runs := self.source.runs(leaf.name, leaf.starts, leaf.counts)) is not None:
                     self.check()
                     yield from run_bytes(runs, leaf.type)
                     continue

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.attributes import Attribute
 from ..operators import zorder
-from ..operators.slab import index_type, restrict
+from ..operators.slab import chunks_hit, covering, index_type, pick, restrict
 from ..plans.schema import TYPES, Schema, Variable
 from ..session import modified, plain, read_text, write_text
 from .base import ArraySource
@@ -181,6 +181,19 @@ class ChunkStore(ArraySource):
         v = self._schema.find(name)
         return taken_apart(self.met(v, starts, counts), v, self.chunk[name], starts, counts)
 
+    def strided(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...], steps: tuple[int, ...]) -> DataFrame:
+        v = self._schema.find(name)
+        cells = taken_apart(self.hit(v, starts, counts, steps), v, self.chunk[name], starts, covering(counts, steps))
+        return pick(cells, v.axes, starts, steps)
+
+    def hit(self, v: Variable, starts: tuple[int, ...], counts: tuple[int, ...], steps: tuple[int, ...]) -> DataFrame:
+        """A variable's chunks, without those that the steps pass over."""
+        rows = self.met(v, starts, covering(counts, steps))
+        for k, (start, count, step, n) in enumerate(zip(starts, counts, steps, self.chunk[v.name], strict=True)):
+            found = chunks_hit(F.col(f"c_{k}"), start, count, step, n)
+            rows = rows if found is None else rows.where(found)
+        return rows
+
     def met(self, v: Variable, starts: tuple[int, ...], counts: tuple[int, ...]) -> DataFrame:
         """A variable's chunks, without those that their numbers tell to lie outside a box."""
         rows, chunk = self.rows(v), self.chunk[v.name]

@@ -100,8 +100,9 @@ def put(path: str, value: object) -> None:
 def place(leaf: Leaf, axes: list[str]) -> Column:
     """A cell's place in the row-major order of its box."""
     out = F.lit(0).cast("long")
-    for axis, start, count in zip(axes, leaf.starts, leaf.counts, strict=True):
-        out = out * count + (F.col(axis) - start)
+    for axis, start, count, step in zip(axes, leaf.starts, leaf.counts, leaf.steps or (1,) * len(axes), strict=True):
+        at = F.col(axis) - start
+        out = out * count + (at if step == 1 else F.floor(at / step))
     return out
 
 
