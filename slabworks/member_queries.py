@@ -130,6 +130,30 @@ def tiles_met(spark, sf_dir):
     return store.met(store.schema().find("embedding"), (64, 32), (64, 16)).select("c_0", "c_1")
 
 
+def bucketed(spark: SparkSession, sf_dir: str) -> Dataset:
+    """``embedding`` and the map ``vec`` bucketed alike by chunks of ``vec``, made once for a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, "bucketed")
+    if key not in _STORES:
+        path = shared_path(spark, "bucketed")
+        write_store(path, embeddings(spark, sf_dir).source, only=["embedding", "vec", "dim"], chunk_cells=1024, buckets={"embedding": ("vec", 8)})
+        _STORES[key] = path
+    return Dataset("bucketed", ChunkStore(spark, _STORES[key]), steps=True)
+
+
+_GRID = f"SELECT i_vec, i_dim, value, i_vec::BIGINT AS vec, i_dim AS dim FROM ({_CELLS})"
+
+
+@query(_GRID)
+def bucketed_grid(spark, sf_dir):
+    """All cells with both maps; neither the array nor its long map is moved."""
+    return bucketed(spark, sf_dir).grid("embedding")
+
+
+@query(f"{_GRID} WHERE i_vec BETWEEN 33 AND 90 AND i_dim BETWEEN 7 AND 55 AND (i_dim - 7) % 12 = 0")
+def bucketed_grid_box(spark, sf_dir):
+    return bucketed(spark, sf_dir).grid("embedding[33:90][7:12:55]")
+
+
 def chunked(spark: SparkSession, sf_dir: str) -> str:
     """``value`` of the events in chunks of 64, made once for a session."""
     key = (spark.sparkContext.applicationId, sf_dir, "chunked")

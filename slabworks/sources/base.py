@@ -34,6 +34,10 @@ class ArraySource(ABC):
         """``cells``, of ``counts`` indices of each axis that are ``steps`` apart."""
         return pick(self.cells(name, starts, covering(counts, steps)), self.schema().find(name).axes, starts, steps)
 
+    def gridded(self, array: Leaf, maps: list[Leaf]) -> DataFrame | None:
+        """A grid's cells with a column for each map's value, if the source has a better way than joining cells."""
+        return None
+
     def attributes(self) -> dict[str | None, list[Attribute]]:
         """Attributes of each variable, and under None of the dataset."""
         return {None: []}
@@ -83,6 +87,10 @@ class Together(ArraySource):
     def runs(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...]) -> Iterator[DataFrame] | None:
         return self.of[name].runs(name, starts, counts)
 
+    def gridded(self, array: Leaf, maps: list[Leaf]) -> DataFrame | None:
+        source = self.of[array.name]
+        return source.gridded(array, maps) if all(self.of[m.name] is source for m in maps) else None
+
     def attributes(self) -> dict[str | None, list[Attribute]]:
         return {None: [a for s in self.sources for a in s.attributes().get(None, [])]} | {name: s.attributes().get(name, []) for name, s in self.of.items()}
 
@@ -153,6 +161,9 @@ class Dataset:
         if part.kind != "grid":
             raise ValueError(f"{part.outer} is no grid")
         array, *maps = part.leaves
+        self.check()
+        if (cells := self.source.gridded(array, maps)) is not None:
+            return cells
         return attach_maps(self.leaf(array), [(m.name, self.leaf(m)) for m in maps], [m.cells for m in maps])
 
     def dods(self, query: str | None = None, on_malformed: str = "error") -> tuple[int, Iterator[bytes]]:

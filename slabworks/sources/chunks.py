@@ -3,10 +3,14 @@
 A variable's rows are in ``variable=<name>``, sorted by chunk, so a box prunes by
 partition, by row-group statistics and by the pushed-down chunk predicate; only chunks
 that it meets are taken apart into cells.
+
+A variable may be bucketed by its chunk numbers of one axis, as is the map of that axis:
+a grid's cells then get the map's values bucket by bucket, and the array isn't moved.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from functools import reduce
@@ -17,8 +21,9 @@ from pyspark.sql import functions as F
 
 from ..functions.attributes import Attribute
 from ..operators import zorder
+from ..operators import grid
 from ..operators.slab import chunks_hit, covering, index_type, pick, restrict
-from ..plans.schema import TYPES, Schema, Variable
+from ..plans.schema import TYPES, Leaf, Schema, Variable
 from ..session import modified, plain, read_text, write_text
 from .base import ArraySource
 
@@ -47,32 +52,65 @@ def chunk_rows(cells: DataFrame, v: Variable, chunk: tuple[int, ...]) -> DataFra
     return grouped.select(*[f"c_{k}" for k in range(len(chunk))], F.transform("cells", lambda c: c["value"]).alias("payload"))
 
 
-def write_store(path: str, source: ArraySource, chunk_cells: int = 65_536, only: list[str] | None = None, chunks: dict[str, tuple[int, ...]] | None = None) -> None:
+def cut(v: Variable, cells: int) -> tuple[int, ...]:
+    """A chunk of so many cells, whole in the inner dimensions first."""
+    chunk, left = [], cells
+    for k, n in reversed(list(enumerate(v.shape))):
+        chunk.insert(0, max(1, min(n, left) if k else left))  # of the outermost alike in stores of any length
+        left //= max(1, chunk[0])
+    return tuple(chunk)
+
+
+def table_name(path: str, own: dict) -> str:
+    """The catalog's name for a bucketed variable's files; another layout at a path has another name."""
+    return "slabworks_" + hashlib.md5(f"{plain(path)}\n{json.dumps(own, sort_keys=True)}".encode()).hexdigest()
+
+
+def write_store(path: str, source: ArraySource, chunk_cells: int = 65_536, only: list[str] | None = None, chunks: dict[str, tuple[int, ...]] | None = None, buckets: dict[str, tuple[str, int]] | None = None) -> None:
     """Write variables of a source as a chunk store; chunks are cut along the outer dimensions first.
 
     ``chunks`` gives the chunks of variables that are asked for by boxes in any axis:
     those lie in the order of their Z-numbers, a few to a page, so near ones are read together.
+
+    ``buckets`` gives the dimension of a grid's array, and a number, by whose chunks the
+    array and that dimension's map are bucketed. All its maps are cut as it is. Each
+    bucket is written by one task; choose their number so that one is of some hundred MB.
     """
     schema, attributes = source.schema(), source.attributes()
+    cuts = {v.name: cut(v, chunk_cells) for v in schema.variables} | {name: tuple(c) for name, c in (chunks or {}).items()}
+    bucketed: dict[str, tuple[str, int]] = {}
+    fixed = {name: tuple(c) for name, c in (chunks or {}).items()}
+    for name, (dim, n) in (buckets or {}).items():
+        v = schema.find(name)
+        if not schema.gridded(v) or dim not in v.dims:
+            raise ValueError(f"{name} isn't a grid over {dim}")
+        for d, size in zip(v.dims, cuts[name], strict=True):
+            if fixed.setdefault(d, (size,)) != (size,):
+                raise ValueError(f"{d} is cut in two ways")
+            cuts[d] = (size,)
+        if bucketed.setdefault(dim, ("c_0", n)) != ("c_0", n):
+            raise ValueError(f"{dim} has two numbers of buckets")
+        bucketed[name] = (f"c_{v.dims.index(dim)}", n)
     book = {"variables": [], "listed": source.listed(), "attributes": [[name, [[a.name, a.type, list(a.values)] for a in own]] for name, own in attributes.items()]}
     for v in schema.variables:
         if only is not None and v.name not in only:
             continue
-        chunk, left = [], chunk_cells
-        for k, n in reversed(list(enumerate(v.shape))):
-            chunk.insert(0, max(1, min(n, left) if k else left))  # of the outermost alike in stores of any length
-            left //= max(1, chunk[0])
-        ordered = v.name in (chunks or {})
-        chunk = list(chunks[v.name]) if ordered else chunk
+        chunk, ordered = list(cuts[v.name]), v.name in (chunks or {})
         rows = chunk_rows(source.cells(v.name, (0,) * len(v.shape), v.shape), v, tuple(chunk))
         keys = [f"c_{k}" for k in range(len(chunk))]
         own = {"name": v.name, "type": v.type.name, "dims": list(v.dims), "shape": list(v.shape), "chunk": chunk}
         if ordered:
             rows = rows.withColumn("z", zorder.number([F.col(k) for k in keys], grid_of(v.shape, tuple(chunk))))
             keys, own["z"] = ["z"], True
+        book["variables"].append(own)
+        if v.name in bucketed:
+            key, n = own["bucket"] = bucketed[v.name]
+            writer = rows.repartition(n, key).write.format("parquet").options(**(PAGES if ordered else {}))
+            at = f"{path}/variable={v.name}"
+            writer.bucketBy(n, key).sortBy(*dict.fromkeys([key, *keys])).option("path", at).saveAsTable(table_name(at, own))
+            continue
         rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else rows
         rows.write.options(**(PAGES if ordered else {})).parquet(f"{path}/variable={v.name}")
-        book["variables"].append(own)
     write_text(rows.sparkSession, f"{path}/{SCHEMA_FILE}", json.dumps(book))
 
 
@@ -95,11 +133,12 @@ def store_stamps(spark: SparkSession, paths: list[str]) -> tuple:
     return tuple(sorted((plain(r["path"]), r["at"]) for r in files.select("path", F.unix_millis("modificationTime").alias("at")).collect()))
 
 
-def taken_apart(rows: DataFrame, v: Variable, chunk: tuple[int, ...], starts: tuple[int, ...], counts: tuple[int, ...], length: Column | None = None, offset: Column | None = None) -> DataFrame:
+def taken_apart(rows: DataFrame, v: Variable, chunk: tuple[int, ...], starts: tuple[int, ...], counts: tuple[int, ...], length: Column | None = None, offset: Column | None = None, beside: dict[int, str] | None = None) -> DataFrame:
     """The cells of a box, of rows of chunks; only chunks that it meets are taken apart.
 
     Where chunks are of members of a joined array, ``length`` is the member's extent of
-    the outermost axis and ``offset`` its first index in the whole.
+    the outermost axis and ``offset`` its first index in the whole. ``beside`` names the maps
+    of some axes: their values in the chunk are in the columns ``map_<k>``, and cells get theirs.
     """
     if not all(counts):
         rows = rows.limit(0)
@@ -122,14 +161,16 @@ def taken_apart(rows: DataFrame, v: Variable, chunk: tuple[int, ...], starts: tu
         high = F.least(extents[0], begin + counts[0] - first)
         skip, payload = (low * inner).cast("int"), F.slice("payload", (low * inner + 1).cast("int"), F.greatest(F.lit(0), (high - low) * inner).cast("int"))
     kept = [] if length is None else [length.alias("n"), offset.alias("member_start")]
-    rows = rows.select(*[f"c_{k}" for k in range(len(chunk))], *kept, skip.alias("skip"), F.posexplode(payload).alias("at", "value"))
-    left, index = F.col("at") + F.col("skip"), []
+    rows = rows.select(*[f"c_{k}" for k in range(len(chunk))], *kept, *(f"map_{k}" for k in beside or {}), skip.alias("skip"), F.posexplode(payload).alias("at", "value"))
+    left, index, values = F.col("at") + F.col("skip"), [], []
     for k in reversed(range(len(chunk))):
         extent = extents[k]
         at = F.col(f"c_{k}").cast("long") * chunk[k] + left % extent + (F.col("member_start") if kept and not k else 0)
         index.insert(0, at.cast(index_type(v.shape[k])).alias(f"i_{v.axes[k]}"))
+        if k in (beside or {}):
+            values.insert(0, F.get(F.col(f"map_{k}"), (left % extent).cast("int")).alias(beside[k]))
         left = F.floor(left / extent)
-    cells = rows.select(*index, "value")
+    cells = rows.select(*index, "value", *values)
     return restrict(cells, v.axes, starts, counts, v.shape) if all(counts) else cells
 
 
@@ -141,6 +182,7 @@ class ChunkStore(ArraySource):
         self.spark, self.path, self.book = spark, path, book
         self.chunk = {v["name"]: tuple(v["chunk"]) for v in book["variables"]}
         self.numbered = {v["name"] for v in book["variables"] if v.get("z")}
+        self.bucketed = {v["name"]: v for v in book["variables"] if v.get("bucket")}
         self._schema = Schema("", [Variable(v["name"], TYPES[v["type"]], tuple(v["dims"]), tuple(v["shape"])) for v in book["variables"]])
 
     def schema(self) -> Schema:
@@ -155,11 +197,62 @@ class ChunkStore(ArraySource):
     def stamp(self) -> object:
         return modified(self.spark, f"{self.path}/{SCHEMA_FILE}")
 
-    def rows(self, v: Variable, stores: list[str] | None = None) -> DataFrame:
-        """A variable's chunks: ``c_<k>…, payload``; with ``stores``, those of other stores that are cut alike."""
+    def columns(self, v: Variable) -> str:
         keys = "".join(f"c_{k} int, " for k in range(len(self.chunk[v.name])))
         number = "z bigint, " if v.name in self.numbered else ""
-        return self.spark.read.schema(f"{keys}{number}payload array<{v.type.spark}>").parquet(*[f"{p}/variable={v.name}" for p in dict.fromkeys(stores or [self.path])])
+        return f"{keys}{number}payload array<{v.type.spark}>"
+
+    def rows(self, v: Variable, stores: list[str] | None = None) -> DataFrame:
+        """A variable's chunks: ``c_<k>…, payload``; with ``stores``, those of other stores that are cut alike."""
+        return self.spark.read.schema(self.columns(v)).parquet(*[f"{p}/variable={v.name}" for p in dict.fromkeys(stores or [self.path])])
+
+    def table(self, v: Variable) -> DataFrame:
+        """A bucketed variable's chunks, as a table that tells how they are bucketed.
+
+        The catalog keeps an external table for each such variable until ``close``.
+        """
+        own, path = self.bucketed[v.name], f"{self.path}/variable={v.name}"
+        name, (key, n) = table_name(path, own), own["bucket"]
+        if not self.spark.catalog.tableExists(name):
+            order = ["z"] if v.name in self.numbered else [f"c_{k}" for k in range(len(v.shape))]
+            at = path.replace("\\", "\\\\").replace("'", "\\'")
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {name} ({self.columns(v)}) USING parquet "
+                f"CLUSTERED BY ({key}) SORTED BY ({', '.join(dict.fromkeys([key, *order]))}) INTO {n} BUCKETS LOCATION '{at}'"
+            )
+        return self.spark.table(name)
+
+    def close(self) -> None:
+        for v in self.bucketed.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {table_name(f'{self.path}/variable={v["name"]}', v)}")
+
+    def gridded(self, array: Leaf, maps: list[Leaf]) -> DataFrame | None:
+        """Chunks of a bucketed array meet those of its maps before they are taken apart.
+
+        The map of the bucketed axis meets it bucket by bucket, without an exchange.
+        Others are broadcast up to ``BROADCAST_CELLS``; of longer ones the chunks, not the
+        cells, are shuffled.
+        """
+        v, chunk = self._schema.find(array.name), self.chunk[array.name]
+        if v.name not in self.bucketed or not all(array.counts) or any(self.chunk[m.name] != (n,) for m, n in zip(maps, chunk, strict=True)):
+            return None
+        steps = array.steps or (1,) * len(chunk)
+        counts, (key, buckets) = covering(array.counts, steps), self.bucketed[v.name]["bucket"]
+        rows = self.hit(v, array.starts, array.counts, steps, self.table(v))
+        sides = []
+        for k, (m, start, count, n) in enumerate(zip(maps, array.starts, counts, chunk, strict=True)):
+            own, joined = self._schema.find(m.name), key == f"c_{k}" and self.bucketed.get(m.name, {}).get("bucket") == ["c_0", buckets]
+            side = (self.table(own) if joined else self.rows(own)).where(F.col("c_0").between(start // n, (start + count - 1) // n))
+            side = side.select(F.col("c_0").alias(f"c_{k}"), F.col("payload").alias(f"map_{k}"))
+            if joined:  # a bucket of the map is hashed if it is small; else both are sorted
+                side = side.hint("shuffle_hash" if v.shape[k] <= buckets * grid.BROADCAST_CELLS else "merge")
+            elif count <= grid.BROADCAST_CELLS:
+                side = F.broadcast(side)
+            sides.append((not joined, k, side))
+        for _, k, side in sorted(sides, key=lambda s: s[:2]):  # the bucketed one first, while the buckets are as they were
+            rows = rows.join(side, f"c_{k}")
+        cells = taken_apart(rows, v, chunk, array.starts, counts, beside={k: m.name for k, m in enumerate(maps)})
+        return pick(cells, v.axes, array.starts, steps)
 
     def runs(self, name: str, starts: tuple[int, ...], counts: tuple[int, ...]) -> Iterator[DataFrame] | None:
         """A box that is a run of the outermost dimension, where chunks are that as well: some chunks at a time, told to the scan."""
@@ -186,17 +279,17 @@ class ChunkStore(ArraySource):
         cells = taken_apart(self.hit(v, starts, counts, steps), v, self.chunk[name], starts, covering(counts, steps))
         return pick(cells, v.axes, starts, steps)
 
-    def hit(self, v: Variable, starts: tuple[int, ...], counts: tuple[int, ...], steps: tuple[int, ...]) -> DataFrame:
+    def hit(self, v: Variable, starts: tuple[int, ...], counts: tuple[int, ...], steps: tuple[int, ...], rows: DataFrame | None = None) -> DataFrame:
         """A variable's chunks, without those that the steps pass over."""
-        rows = self.met(v, starts, covering(counts, steps))
+        rows = self.met(v, starts, covering(counts, steps), rows)
         for k, (start, count, step, n) in enumerate(zip(starts, counts, steps, self.chunk[v.name], strict=True)):
             found = chunks_hit(F.col(f"c_{k}"), start, count, step, n)
             rows = rows if found is None else rows.where(found)
         return rows
 
-    def met(self, v: Variable, starts: tuple[int, ...], counts: tuple[int, ...]) -> DataFrame:
+    def met(self, v: Variable, starts: tuple[int, ...], counts: tuple[int, ...], rows: DataFrame | None = None) -> DataFrame:
         """A variable's chunks, without those that their numbers tell to lie outside a box."""
-        rows, chunk = self.rows(v), self.chunk[v.name]
+        rows, chunk = self.rows(v) if rows is None else rows, self.chunk[v.name]
         if v.name not in self.numbered or counts == v.shape or not all(counts):
             return rows
         low, high = tuple(s // n for s, n in zip(starts, chunk, strict=True)), tuple((s + c - 1) // n for s, c, n in zip(starts, counts, chunk, strict=True))
