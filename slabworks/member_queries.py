@@ -12,6 +12,7 @@ from .sources import cells_format
 from .sources.base import Dataset, Together
 from .sources.chunks import ChunkStore, write_store
 from .sources.members import MemberStore, write_members
+from .sources.snapshots import Snapshot, commit
 from .sources.tables import TableSource
 from .streaming import segments
 from .streaming.member_table import follow, followed
@@ -154,6 +155,21 @@ def bucketed_grid_box(spark, sf_dir):
     return bucketed(spark, sf_dir).grid("embedding[33:90][7:12:55]")
 
 
+@query("SELECT 1 AS version, event_id::INT AS i_event, value FROM events UNION ALL SELECT 3, event_id::INT, value * 2 FROM events UNION ALL SELECT 3, event_id::INT, user_id::DOUBLE FROM events")
+def snapshot_versions(spark, sf_dir):
+    """Cells of a version that was opened, but not read, before two commits, and of the version after them."""
+    path, source = shared_path(spark, "versions"), events(spark, sf_dir).source
+    old = Dataset("events", commit(spark, path, source, only=["value"]))
+    before = only(old, "value")
+    twice = TableSource(source.table.withColumn("value", F.col("value") * 2), "event", "event_id", length=source.length)
+    commit(spark, path, twice, only=["value"], base=old.source)
+    commit(spark, path, source, only=["user_id"], base=old.source)
+    new = Dataset("events", Snapshot(spark, path))
+    found = [(1, before), (3, only(new, "value")), (3, only(new, "user_id"))]
+    parts = [df.select(F.lit(n).alias("version"), "i_event", F.col("value").cast("double").alias("value")) for n, df in found]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def chunked(spark: SparkSession, sf_dir: str) -> str:
     """``value`` of the events in chunks of 64, made once for a session."""
     key = (spark.sparkContext.applicationId, sf_dir, "chunked")

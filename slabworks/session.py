@@ -70,6 +70,57 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"can't write {path}")
 
 
+def write_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file whole unless there is one; whether this call wrote it, of all that try at once.
+
+    A file written beside it is renamed, which fails where the name is taken: by a hard
+    link on a mounted file system, elsewhere by a rename of Hadoop's without overwriting.
+    """
+    fs, p = _file_system(spark, path)
+    fs.mkdirs(p.getParent())
+    if fs.getUri().getScheme() != "file":
+        return rename_new(spark, path, text)
+    tmp = f"{posix(path)}.{uuid.uuid4().hex}.tmp"
+    with open(tmp, "w", encoding="utf-8") as f:
+        f.write(text)
+        f.flush()
+        os.fsync(f.fileno())
+    try:
+        os.link(tmp, posix(path))
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        os.unlink(tmp)
+
+
+def rename_new(spark: SparkSession, path: str, text: str) -> bool:
+    """``write_once`` by a rename that doesn't overwrite; as atomic as the file system's rename is."""
+    sc, (fs, p) = spark.sparkContext, _file_system(spark, path)
+    tmp = p.suffix(f".{uuid.uuid4().hex}.tmp")
+    out = fs.create(tmp, False)
+    out.write(text.encode())
+    out.close()
+    kind = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = sc._gateway.new_array(kind, 1)
+    options[0] = kind.NONE
+    try:
+        sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), sc._jsc.hadoopConfiguration()).rename(fs.makeQualified(tmp), fs.makeQualified(p), options)
+        return True
+    except Exception:
+        if not fs.exists(p):
+            raise
+        return False
+    finally:
+        fs.delete(tmp, False)
+
+
+def names_in(spark: SparkSession, path: str) -> dict[str, int]:
+    """What a folder holds, each with its time of change in milliseconds; nothing if there is no folder."""
+    fs, p = _file_system(spark, path)
+    return {s.getPath().getName(): s.getModificationTime() for s in fs.listStatus(p)} if fs.exists(p) else {}
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, p = _file_system(spark, path)
     found = fs.open(p)

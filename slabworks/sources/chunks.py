@@ -107,7 +107,7 @@ def write_store(path: str, source: ArraySource, chunk_cells: int = 65_536, only:
             key, n = own["bucket"] = bucketed[v.name]
             writer = rows.repartition(n, key).write.format("parquet").options(**(PAGES if ordered else {}))
             at = f"{path}/variable={v.name}"
-            writer.bucketBy(n, key).sortBy(*dict.fromkeys([key, *keys])).option("path", at).saveAsTable(table_name(at, own))
+            writer.bucketBy(n, key).sortBy(*dict.fromkeys([key, *keys])).options(path=at, ignoreMissingFiles="false").saveAsTable(table_name(at, own))
             continue
         rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else rows
         rows.write.options(**(PAGES if ordered else {})).parquet(f"{path}/variable={v.name}")
@@ -204,7 +204,7 @@ class ChunkStore(ArraySource):
 
     def rows(self, v: Variable, stores: list[str] | None = None) -> DataFrame:
         """A variable's chunks: ``c_<k>…, payload``; with ``stores``, those of other stores that are cut alike."""
-        return self.spark.read.schema(self.columns(v)).parquet(*[f"{p}/variable={v.name}" for p in dict.fromkeys(stores or [self.path])])
+        return self.spark.read.schema(self.columns(v)).option("ignoreMissingFiles", "false").parquet(*[f"{p}/variable={v.name}" for p in dict.fromkeys(stores or [self.path])])
 
     def table(self, v: Variable) -> DataFrame:
         """A bucketed variable's chunks, as a table that tells how they are bucketed.
@@ -217,7 +217,7 @@ class ChunkStore(ArraySource):
             order = ["z"] if v.name in self.numbered else [f"c_{k}" for k in range(len(v.shape))]
             at = path.replace("\\", "\\\\").replace("'", "\\'")
             self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {name} ({self.columns(v)}) USING parquet "
+                f"CREATE TABLE IF NOT EXISTS {name} ({self.columns(v)}) USING parquet OPTIONS (ignoreMissingFiles 'false') "
                 f"CLUSTERED BY ({key}) SORTED BY ({', '.join(dict.fromkeys([key, *order]))}) INTO {n} BUCKETS LOCATION '{at}'"
             )
         return self.spark.table(name)

@@ -13,6 +13,7 @@ from .aggregate import JoinedSource, read_description
 from .base import ArraySource, Dataset
 from .chunks import SCHEMA_FILE, ChunkStore, open_stores
 from .hdf5 import Hdf5Source
+from .snapshots import VERSIONS, Snapshot
 
 log = logging.getLogger(__name__)
 
@@ -25,7 +26,7 @@ STORE = "slab"
 def dataset_files(folder: str) -> Iterator[tuple[str, str]]:
     """``key, path`` of each dataset below a folder; names that start with a dot are skipped, but for the folder's own."""
     for top, folders, files in os.walk(folder, followlinks=True):
-        stores = [d for d in folders if os.path.exists(os.path.join(top, d, SCHEMA_FILE))]
+        stores = [d for d in folders if any(os.path.exists(os.path.join(top, d, x)) for x in (SCHEMA_FILE, VERSIONS))]
         folders[:] = sorted(d for d in folders if not d.startswith(".") and d not in stores)
         for name in sorted([*files, *stores]):
             extension = os.path.splitext(name)[1].removeprefix(".")
@@ -37,10 +38,10 @@ def dataset_files(folder: str) -> Iterator[tuple[str, str]]:
 
 def open_source(spark: SparkSession, path: str) -> ArraySource:
     if os.path.isdir(path):
-        return ChunkStore(spark, path)
+        return Snapshot(spark, path) if os.path.exists(os.path.join(path, VERSIONS)) else ChunkStore(spark, path)
     if path.endswith(f".{DESCRIPTION}"):
         dim, members = read_description(path)
-        stores = all(os.path.isdir(m) for m in members)
+        stores = all(os.path.exists(os.path.join(m, SCHEMA_FILE)) for m in members)
         opened = open_stores(spark, members) if stores else [open_source(spark, m) for m in members]
         return JoinedSource(opened, dim, lambda: os.stat(path).st_mtime_ns)
     return Hdf5Source(spark, path)

@@ -1,0 +1,168 @@
+"""Versions of stores: an answer is of one version or an error; commits that clash are refused."""
+
+import os
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from test_sources import NumpySource, cube, read_dods
+
+from slabworks.functions.attributes import Attribute
+from slabworks.session import rename_new, write_once
+from slabworks.sources.base import Dataset
+from slabworks.sources.scan import open_dataset, open_folder
+from slabworks.sources.snapshots import VERSIONS, Conflict, Expired, Snapshot, commit, expire, versions
+
+
+def generation(spark, k, n=40):
+    arrays = {"y": ("Int64", ("y",), np.arange(n) + k), "x": ("Int64", ("x",), np.arange(5) + k), "a": ("Int32", ("y", "x"), np.full((n, 5), k, "i4")), "b": ("Int32", ("y",), np.full(n, k, "i4"))}
+    return NumpySource(spark, arrays, {None: [Attribute("title", "String", (f"g{k}",))], "b": [Attribute("units", "String", (f"u{k}",))]})
+
+
+def values(df):
+    return {r["value"] for r in df.select("value").distinct().collect()}
+
+
+def test_a_rewrite_between_planning_and_reading(spark, tmp_path):
+    path = str(tmp_path / "s")
+    d = Dataset("d", commit(spark, path, generation(spark, 1), chunk_cells=10))
+    planned, grid, (length, body) = d.cells("a")[0][1], d.grid("a[1:4]"), d.dods("b,a,y")
+    first = next(body)
+    commit(spark, path, generation(spark, 2, n=60), chunk_cells=10)
+    assert values(planned) == {1} and planned.count() == 200 and values(d.cells("b")[0][1]) == {1}
+    assert {(r["value"], r["x"] - r["i_x"]) for r in grid.collect()} == {(1, 1)}
+    assert len(first + b"".join(body)) == length
+    new = Dataset("d", Snapshot(spark, path))
+    assert values(new.cells("a")[0][1]) == {2} and new.schema.find("a").shape == (60, 5) and "g2" in new.das() and "g1" in d.das()
+    assert values(Dataset("d", Snapshot(spark, path, 1)).cells("b")[0][1]) == {1}
+    assert expire(spark, path) == [1] and versions(spark, path) == [2]
+    with pytest.raises(Exception, match="(?i)FileNotFound|does not exist|FILE_NOT_EXIST|READ_FILE"):
+        planned.count()
+    with pytest.raises(Expired):
+        d.cells("a")
+    with pytest.raises(Expired):
+        Snapshot(spark, path, 1)
+    assert values(new.cells("a")[0][1]) == {2}
+    assert sum(n.startswith("data-") for n in os.listdir(path)) == 1
+
+
+def test_files_that_went_are_an_error_also_where_spark_would_pass_over_them(spark, tmp_path):
+    path = str(tmp_path / "s")
+    s = commit(spark, path, generation(spark, 1), chunk_cells=10, buckets={"a": ("y", 3)})
+    d = Dataset("d", s)
+    planned = d.cells("b")[0][1]
+    folder = os.path.join(path, s.manifest["variables"]["b"]["folder"], "variable=b")
+    spark.conf.set("spark.sql.files.ignoreMissingFiles", "true")
+    try:
+        names = [n for n in os.listdir(folder) if n.endswith(".parquet")]
+        assert len(names) == s.manifest["variables"]["b"]["files"]
+        os.remove(os.path.join(folder, names[0]))
+        with pytest.raises(Expired):
+            d.cells("b")
+        with pytest.raises(Exception):
+            planned.count()
+        assert d.grid("a").count() == 200
+        bucket = folder.replace("variable=b", "variable=a")
+        names = sorted(n for n in os.listdir(bucket) if n.endswith(".parquet"))
+        assert len(names) == 3
+        os.remove(os.path.join(bucket, names[0]))
+        with pytest.raises(Exception):
+            d.grid("a").count()
+        with pytest.raises(Expired):
+            d.cells("a")
+    finally:
+        spark.conf.unset("spark.sql.files.ignoreMissingFiles")
+
+
+def test_commits_that_do_not_touch_each_other_both_stand(spark, tmp_path):
+    path = str(tmp_path / "s")
+    base = commit(spark, path, generation(spark, 1))
+    commit(spark, path, generation(spark, 2), only=["a"], base=base)
+    last = commit(spark, path, generation(spark, 3), only=["b"], base=base)
+    assert last.version == 3 and [v.name for v in last.schema().variables] == ["y", "x", "a", "b"]
+    d = Dataset("d", last)
+    assert (values(d.cells("a")[0][1]), values(d.cells("b")[0][1])) == ({2}, {3})
+    assert "u3" in d.das() and last.manifest["variables"]["y"] == base.manifest["variables"]["y"]
+    for given in ({"only": ["a"]}, {"only": ["b"]}, {"only": ["y"], "reads": ["a"]}):
+        with pytest.raises(Conflict):
+            commit(spark, path, generation(spark, 4), base=base, **given)
+    with pytest.raises(Conflict, match="y is 50 long in b and 40 in y"):
+        commit(spark, path, generation(spark, 4, n=50), only=["b"])
+    with pytest.raises(Conflict):
+        commit(spark, path, drop=["a"], base=base)
+    assert sum(n.startswith("data-") for n in os.listdir(path)) == 3
+    gone = commit(spark, path, drop=["a"])
+    assert gone.version == 4 and gone.listed() == ["y", "x", "b"] and expire(spark, path, keep=2) == [1, 2]
+    assert values(Dataset("d", Snapshot(spark, path, 3)).cells("a")[0][1]) == {2}
+
+
+def test_counting_by_many_writers_loses_no_count_and_readers_see_one_version(spark, tmp_path):
+    path, stop, seen = str(tmp_path / "s"), threading.Event(), []
+    pair = lambda k: NumpySource(spark, {"m": ("Int32", (), np.array(k, "i4")), "n": ("Int32", (), np.array(k, "i4"))})
+    commit(spark, path, pair(0))
+
+    def read():
+        while not stop.is_set():
+            d = Dataset("d", Snapshot(spark, path))
+            seen.append(tuple(int(x) for x in read_dods(d, "m,n")))
+
+    def add(_):
+        while True:
+            base = Snapshot(spark, path)
+            (n,) = values(base.cells("n", (), ()))
+            try:
+                return commit(spark, path, pair(n + 1), base=base).version
+            except Conflict:
+                continue
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    try:
+        with ThreadPoolExecutor(3) as pool:
+            made = list(pool.map(add, range(6)))
+    finally:
+        stop.set()
+        reader.join()
+    assert sorted(made) == list(range(2, 8)) and values(Snapshot(spark, path).cells("n", (), ())) == {6}
+    assert seen and all(m == n for m, n in seen) and sum(n.startswith("data-") for n in os.listdir(path)) == 7
+
+
+def test_a_writer_that_fails_leaves_no_version_and_no_data(spark, tmp_path):
+    path = str(tmp_path / "s")
+    commit(spark, path, generation(spark, 1))
+
+    class Failing(NumpySource):
+        def cells(self, name, starts, counts):
+            return super().cells(name, starts, counts).withColumn("value", F.raise_error(F.lit("lost")).cast("int"))
+
+    with pytest.raises(Exception, match="lost"):
+        commit(spark, path, Failing(spark, generation(spark, 2).arrays))
+    assert versions(spark, path) == [1] and sum(n.startswith("data-") for n in os.listdir(path)) == 1
+    os.makedirs(f"{path}/data-underway")
+    expire(spark, path)
+    assert os.path.exists(f"{path}/data-underway")
+    expire(spark, path, left_over_seconds=-5)
+    assert not os.path.exists(f"{path}/data-underway") and values(Dataset("d", Snapshot(spark, path)).cells("a")[0][1]) == {1}
+    with pytest.raises(ValueError):
+        expire(spark, path, keep=0)
+
+
+@pytest.mark.parametrize("write", [write_once, rename_new])
+def test_of_many_that_write_a_name_one_does(spark, tmp_path, write):
+    assert write(spark, f"file://{tmp_path}/1.json", "first") and not write(spark, f"file://{tmp_path}/1.json", "second")
+    assert [(n, (tmp_path / n).read_text()) for n in os.listdir(tmp_path) if not n.startswith(".")] == [("1.json", "first")]
+    if write is write_once:
+        with ThreadPoolExecutor(8) as pool:
+            assert sum(pool.map(lambda k: write(spark, f"{tmp_path}/2.json", str(k)), range(40))) == 1
+
+
+def test_stores_with_versions_are_served(spark, tmp_path):
+    path = str(tmp_path / "north" / "s.slab")
+    commit(spark, path, generation(spark, 1))
+    assert values(open_dataset(spark, path).cells("b")[0][1]) == {1} and os.path.isdir(f"{path}/{VERSIONS}")
+    catalog = open_folder(spark, str(tmp_path))
+    assert catalog.folder("north") == ([], ["s.slab"])
+    empty = Snapshot(spark, str(tmp_path / "none"))
+    assert empty.version == 0 and empty.schema().variables == ()
