@@ -186,6 +186,55 @@ def test_order_4_adds_up(spark):
         assert last + 10 ** next_end(model, files, context) == pytest.approx(1)
 
 
+def test_files_beyond_the_limit_leave_others_mapped(tmp_path, monkeypatch):
+    opened = collections.Counter()
+    monkeypatch.setattr(m, "_mapped", lambda path, f=m._mapped: opened.update([path]) or f(path))
+    monkeypatch.setattr(m, "OPEN_FILES", 8)
+    files = m.Files(str(tmp_path))
+    for k in range(10):
+        files.write("x", k, np.array([k]), np.array([-k]))
+    assert [files.all("x", k % 10)[1].tolist() for k in range(50)] == [[-(k % 10)] for k in range(50)]
+    assert len(files.files) == 8 and sum(opened.values()) <= 10 + 4 * 3  # all of 50 when the oldest makes way
+
+
+@pytest.mark.parametrize("kind", ["string", "binary", "large_string"])
+def test_tokens_of_odd_texts_and_over_batches(monkeypatch, kind):
+    """White space of all kinds and at both ends, bytes that aren't UTF-8, slices that end within a batch and go over batches."""
+    import pyarrow as pa
+
+    texts = [None, "", " \n", "  A b\t\tC ", "a\x0bb\x0cc\x1cd\x85e \u00c9A\u2003z", b"\xff B \xc3", "x " * 50, "a"] * 3
+    raw = [t.encode() if isinstance(t, str) else t for t in texts]
+    batches = [pa.array(raw[a:b], pa.binary()) for a, b in ((0, 9), (9, 9), (9, 10), (10, len(raw)))]
+    batches = [x if kind == "binary" else x.view(pa.string()) if kind == "string" else x.cast(pa.large_binary()).view(pa.large_string()) for x in batches]
+    want = [[m.xxhash.xxh64_intdigest(w) for w in [*(t or b"").lower().split(), b"\n"]] for t in raw]
+    for size in (1, 7, 60, 1 << 20):
+        monkeypatch.setattr(m, "SLICE_TOKENS", size)
+        found = [x.tolist() for h, ends in m.token_hashes(iter(batches)) for x in np.split(h, ends[:-1])]
+        assert found == want
+
+
+def test_files_and_parts_by_size_of_buckets(spark, monkeypatch):
+    """Buckets are as many as the occurrences need, whatever the buckets below; a file is mapped once for all tasks of a process."""
+    import pyarrow as pa
+
+    texts = rows()[:120]
+    plain = Plain3([t for _, t in texts])
+    most = 1500
+    model = m.train(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), bucket_bytes=most * m.BYTES_PER_TOKEN)
+    need = model.n_tokens / most
+    assert need > 10 and all(len(level.contexts) <= 2 * need + 2 for level in model.levels)
+    assert len(m._groups([1] * 4096, 64)) == 64 and m._groups([100, 1, 1, 100, 3], 5).tolist() == [0, 1, 3, 4]
+    cuts = [(10 * k, np.array([0]), np.array([0.0]), np.array([0, 30])) for k in range(9)]
+    assert [base for base, places, _ in m._fewer(cuts, 100) for _ in places] == [30, 60]
+    opened = collections.Counter()
+    monkeypatch.setattr(m, "_mapped", lambda path, f=m._mapped: opened.update([path]) or f(path))
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], ["id", "text"]) for i, t in texts]
+    for _ in range(3):  # tasks of one worker
+        got = dict(zip(*(x for b in m._score_rows(model)(iter(batches)) for x in (b.column("id").to_pylist(), b.column("score").to_pylist()))))
+        assert got == {i: pytest.approx(plain.score(t), rel=1e-9) for i, t in texts}
+    assert set(opened.values()) == {1} and len(opened) <= 3 * 2**model.bits + 2 * sum(len(level.contexts) for level in model.levels)
+
+
 def next_end(model, files, text):
     """log10 of the probability of a text's end, from scores of the tokens one by one."""
     import pyarrow as pa
